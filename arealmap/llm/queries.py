@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, mixing, quality, sharding, simhash
+from . import bpe, exact_dedup, mixing, quality, sharding, simhash, url_filter
 from .common import table
 
 #: The public tokenizer file that op7 reads; a parameter of the operator.
@@ -62,4 +62,8 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op4_source_mixing, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup)}
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op4_source_mixing, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup, op10_url_filter)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, katz, mixing, quality, sharding, simhash, url_filter
+from . import ann, bpe, exact_dedup, katz, mixing, quality, sharding, simhash, suffix_dedup, url_filter
 from .common import table
 
 #: The public tokenizer file that op7 reads; a parameter of the operator.
@@ -42,6 +42,12 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.cuts(table(spark, sf_dir, "documents"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["to"] - x["from"])
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -75,4 +81,4 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_multi_index_hashing, op4_source_mixing, op5_katz_backoff, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_multi_index_hashing, op4_source_mixing, op5_katz_backoff, op6_suffix_array_dedup, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup, op10_url_filter)}

@@ -20,6 +20,7 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,12 +147,30 @@ def _links(radius: int, step: int = 2048):
     return run
 
 
-def links(marks: DataFrame, radius: int = 2, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Edges (a, b) whose components are those of all distinct fingerprints within the radius."""
-    n = radius + 1
-    cuts = [64 * i // n for i in range(n + 1)]
-    blocks = [F.struct(F.lit(i).alias("i"), F.expr(f"shiftrightunsigned(fingerprint, {64 - hi}) & {(1 << (hi - lo)) - 1}L" if hi - lo < 63 else "fingerprint").alias("v")) for i, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False))]
-    routed = marks.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*blocks)).alias("b")).select("fingerprint", "b.i", "b.v")
+def block_masks(radius: int) -> list[int]:
+    """radius + 1 blocks that cover all bits: two fingerprints within the radius agree on one at least."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def random_masks(n: int, radius: int, seed: int = 3) -> list[int]:
+    """Random sets of bits for radii too wide for blocks.
+
+    A set has as many bits as keep some 64 of ``n`` fingerprints together; there are so many
+    sets that two fingerprints at the radius agree on one with a chance of 95 % (e**-3 is left), closer
+    ones more surely.
+    """
+    bits = min(24, max(10, math.ceil(math.log2(max(2, n / 64)))))
+    agree = math.comb(64 - radius, bits) / math.comb(64, bits)
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(x) for x in rng.choice(64, bits, replace=False)) for _ in range(math.ceil(3 / agree))]
+
+
+def links(marks: DataFrame, radius: int = 2, tree_rows: int = TREE_ROWS, masks: list[int] | None = None) -> DataFrame:
+    """Edges (a, b) whose components are those of all distinct fingerprints within the radius that agree on the bits of a mask."""
+    signed = [x - (1 << 64) if x >> 63 else x for x in masks or block_masks(radius)]
+    parts = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fingerprint").bitwiseAND(F.lit(x).cast("long")).alias("v")) for i, x in enumerate(signed)))
+    routed = marks.select("fingerprint").distinct().select("fingerprint", F.explode(parts).alias("b")).select("fingerprint", "b.i", "b.v")
     routed = durable(routed, "routed")
     sizes = routed.groupBy("i", "v").agg(F.count("*").alias("members")).where("members > 1")
     sizes = durable(sizes.withColumn("parts", F.ceil(F.col("members") / tree_rows).cast("int")), "shards")
@@ -192,23 +211,88 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _placed(marks: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fingerprint, low, rows, root): each distinct fingerprint, its smallest id, its rows and its component."""
+    distinct = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
+    nodes = durable(components(edges), "components")
+    return distinct.join(small_side(nodes), distinct["fingerprint"] == nodes["node"], "left").select("fingerprint", "low", "rows", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(doc_id, fingerprint as long, component_id) of each row of ``docs`` (doc_id, text)."""
     marks = durable(fingerprints(docs, words), "simhash")
-    distinct = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("low"))
-    nodes = durable(components(links(marks, radius, tree_rows)), "components")
-    placed = distinct.join(small_side(nodes), distinct["fingerprint"] == nodes["node"], "left").select("fingerprint", "low", F.coalesce("root", "fingerprint").alias("root"))
+    placed = _placed(marks, links(marks, radius, tree_rows))
     linked = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     names = placed.join(linked, "root").select("fingerprint", "component_id")
     return marks.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
-    """The row of the smallest id of each group, with all its columns; of rows that share that id, one stays."""
-    groups = durable(near_groups(docs, words, radius).select(F.col("doc_id").alias("_id"), "component_id"), "near")
-    gone = groups.where("not (_id <=> component_id)").select(F.col("_id").alias("_gone")).distinct()
+#: Documents of a candidate group that one task compares by their shingles.
+GROUP_ROWS = 1500
+
+
+def _shingles(text: str | None, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of a text."""
+    found = (text or "").encode().lower().split()
+    n = max(1, len(found) - words + 1)
+    return np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(found[i : i + words])) for i in range(n)), np.uint64))
+
+
+def _similar(words: int, radius: int, similarity: float):
+    """Of one group: each document's class by exact similarity of shingle sets; the smallest id names it."""
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("text", pa.string())])
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("doc_id")
+        ids, marks = rows.column("doc_id").to_numpy(), rows.column("fingerprint").to_numpy().view(np.uint64)
+        texts = rows.column("text").to_pylist()
+        sets, label = [_shingles(x, words) for x in texts], np.arange(len(ids))
+        apart = np.bitwise_count(marks[:, None] ^ marks[None, :])
+        one, two = np.nonzero(np.triu(apart <= radius, 1))
+        order = np.argsort(apart[one, two], kind="stable")
+        # Closest first; what is already one class needs no comparison.
+        for i, j in zip(one[order].tolist(), two[order].tolist(), strict=True):
+            if label[i] != label[j] and min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])):
+                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if same >= similarity * (len(sets[i]) + len(sets[j]) - same):
+                    low, high = min(label[i], label[j]), max(label[i], label[j])
+                    label[label == high] = low
+        leads = label == np.arange(len(ids))
+        return pa.table([pa.array(ids), pa.array(ids[label]), pa.array([x if lead else None for x, lead in zip(texts, leads, strict=True)], pa.string())], schema=shape)
+
+    return run
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13) -> DataFrame:
+    """(doc_id, group): the documents that are in a group with others, by word shingles alike in ``similarity`` of both.
+
+    SimHash finds candidates: BK-trees over fingerprints that agree on random sets of bits, linked
+    within the radius.  Candidates of one component are then compared by their shingle sets.
+    A component beyond GROUP_ROWS is compared in parts, and the first documents of the parts'
+    classes once more with each other; links between other documents of two parts are not looked for.
+    Rows without an id have no group.
+    """
+    marks = durable(fingerprints(docs.where("doc_id is not null"), words), "simhash")
+    kinds = marks.select("fingerprint").distinct().count()
+    placed = _placed(marks, links(marks, radius, masks=random_masks(kinds, radius)))
+    sizes = placed.groupBy("root").agg(F.sum("rows").alias("members")).where("members > 1")
+    near = durable(marks.join(placed.join(sizes, "root").select("fingerprint", "root", "members"), "fingerprint"), "candidates")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+    held = texts.join(small_side(near), texts["_id"] == near["doc_id"]).select("doc_id", "text", "fingerprint", "root", "members")
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / GROUP_ROWS))
+    compare = _similar(words, radius, similarity)
+    first = durable(held.withColumn("part", part("members")).groupBy("root", "part").applyInArrow(compare, "a long, b long, text string"), "similar")
+    leads = first.where("text is not null").select(F.col("a").alias("doc_id"), "text").join(small_side(near.where(F.col("members") > GROUP_ROWS)), "doc_id")
+    again = leads.groupBy("root").agg(F.count("*").alias("left")).withColumnRenamed("root", "_root")
+    leads = leads.join(again, leads["root"] == again["_root"]).withColumn("part", part("left"))
+    second = leads.groupBy("root", "part").applyInArrow(compare, "a long, b long, text string")
+    nodes = components(first.select("a", "b").unionByName(second.select("a", "b")))
+    low = nodes.groupBy("root").agg(F.min("node").alias("group"))
+    return nodes.join(low, "root").select(F.col("node").alias("doc_id"), "group")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13) -> DataFrame:
+    """The rows of ``docs`` without those of ids that are near copies of a smaller id, with all their columns."""
+    gone = durable(similar_groups(docs, words, similarity, radius).where("doc_id <> group").select(F.col("doc_id").alias("_gone")).distinct(), "near")
     marked = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = marked.join(small_side(gone), F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if groups.where("_id <=> component_id").groupBy("_id").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["_id"])
-    return kept.drop("_id")
+    return marked.join(small_side(gone), F.col("_id") == F.col("_gone"), "left_anti").drop("_id")

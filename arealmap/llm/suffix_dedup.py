@@ -339,6 +339,8 @@ def cuts(docs: DataFrame, hot: int = HOT, partition_anchors: int = PARTITION_ANC
     later = durable(later, "later")
     longer = texts.where(F.octet_length("text") >= LENGTH)
     alone = longer.join(F.broadcast(later) if later.count() * 32 <= BROADCAST_BYTES else later, ["d", "key"], "left_anti")
+    if rows.where("copies > 1").join(firsts, "sha").where("d = first").take(1):  # equal rows of one id: search one of them
+        alone = alone.dropDuplicates(["d", "key"])
 
     parts = max(1, -(-total * 2 // ((WINDOW + 1) * partition_anchors)))
     sent = alone.select("d", "key", "text").mapInArrow(_send(parts), "part int, chunk long, docs binary, body binary")

@@ -368,9 +368,10 @@ def multiplicative_modulator(spark, sf_dir):
     return rounded(fields.multiply(_field(spark), 2.0, F.col("x")), ["iy", "ix"], "vx", "vy")
 
 
-@query(FIELD + " SELECT iy, ix, round(vx * 1.37, 4) + 0.0 AS vx, round(vy * 0.61, 4) + 0.0 AS vy FROM fd")
+@query(FIELD + " SELECT iy, ix, round(vx * 1.37, 6) + 0.0 AS vx, round(vy * 0.61, 6) + 0.0 AS vy FROM fd")
 def axis_aligned_tensor(spark, sf_dir):
-    return rounded(fields.axis_aligned(_field(spark), 1.37, 0.61), ["iy", "ix"], "vx", "vy")
+    held = fields.axis_aligned(_field(spark), 1.37, 0.61)
+    return held.select("iy", "ix", r("vx", 6).alias("vx"), r("vy", 6).alias("vy"))
 
 
 @query(FIELD + """, m AS (SELECT max(sqrt(vx ** 2 + vy ** 2)) AS top FROM fd) SELECT iy, ix, round(sqrt(vx ** 2 + vy ** 2) / top, 4) + 0.0 AS magnitude, round((atan2(vy, vx) + pi()) / (2 * pi()), 4) + 0.0 AS direction FROM fd, m WHERE ix % 4 = 0 AND iy % 4 = 0""")

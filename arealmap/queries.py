@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import geometry as G
+from .kernels import flow, voronoi
 from .operators import adjacency, fields, frames, grids, measure, styling, tilings, topology, vertices
+from .plans import cartograms
+from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -537,3 +540,139 @@ def part_map_adjacency(spark, sf_dir):
 def part_map_errors(spark, sf_dir):
     return rounded(measure.original_state(X.part_map(spark, sf_dir)), ["region_id"], "target_area", "log_error")
 
+
+
+# Solvers: what must hold of their results is compared; the results themselves have no SQL.
+
+
+@query("SELECT 'converged' AS status, TRUE AS within, CAST(25 AS BIGINT) AS regions, 25.0::DOUBLE AS area")
+def flow_cartogram(spark, sf_dir):
+    """The nation map carried until its mean error is under 5 % and its largest under 10 %."""
+    found = cartograms.flow(X.nation_map(spark, sf_dir), options=flow.Options(grid_size=128))
+    last = found.convergence.orderBy(F.desc("iteration")).limit(1).select("status", ((F.col("mean_error_pct") < 5) & (F.col("max_error_pct") < 10)).alias("within"))
+    return last.join(found.regions.agg(F.count("*").alias("regions"), r(F.sum(G.area(F.col("geom"))), 0).alias("area")))
+
+
+@query("SELECT 'converged' AS status, TRUE AS refined")
+def flow_multiresolution(spark, sf_dir):
+    found = cartograms.multiresolution(X.nation_map(spark, sf_dir), min_resolution=32, levels=2, options=flow.Options(mean_tol=0.03, max_tol=0.06))
+    return found.convergence.orderBy(F.desc("run_id"), F.desc("iteration")).limit(1).select("status", (F.col("max_error_pct") < 6).alias("refined"))
+
+
+@query("SELECT 2 AS runs, TRUE AS fell")
+def flow_workflow(spark, sf_dir):
+    """One run refined by another with tighter limits: the second ends below the first."""
+    work = cartograms.Workflow(X.nation_map(spark, sf_dir))
+    work.morph(flow.Options(grid_size=64, mean_tol=0.2, max_tol=0.4))
+    work.morph(flow.Options(grid_size=64, mean_tol=0.05, max_tol=0.1))
+    ends = work.convergence().groupBy("run_id").agg(F.max_by("mean_error_pct", "iteration").alias("e"))
+    return ends.agg(F.countDistinct("run_id").cast("int").alias("runs"), (F.max_by("e", "run_id") < F.max_by("e", -F.col("run_id"))).alias("fell"))
+
+
+def _areas(df: DataFrame, names: list[str], digits: int = 4) -> DataFrame:
+    return df.select("region_id", *(r(F.coalesce(G.area(F.col(f"geometry_{c}")), F.lit(0.0)), digits).alias(f"a_{c}") for c in names))
+
+
+@query(F3 + " SELECT region_id, round(c1 / rs, 4) + 0.0 AS a_c1, round(c2 / rs, 4) + 0.0 AS a_c2, round(c3 / rs, 4) + 0.0 AS a_c3 FROM s")
+def partition_split(spark, sf_dir):
+    """Unit squares cut by shares of their row: parts have just those areas."""
+    regions = X.nation_map(spark, sf_dir).select("region_id", "geom").join(X.nation_flags(spark, sf_dir), "region_id")
+    return _areas(cartograms.partition(regions, ["c1", "c2", "c3"], "split", "row"), ["c1", "c2", "c3"])
+
+
+@query(F3 + " SELECT region_id, round(c1 / rs, 4) + 0.0 AS a_c1, round(c2 / rs, 4) + 0.0 AS a_c2, round(c3 / rs, 4) + 0.0 AS a_c3 FROM s")
+def partition_treemap(spark, sf_dir):
+    regions = X.nation_map(spark, sf_dir).select("region_id", "geom").join(X.nation_flags(spark, sf_dir), "region_id")
+    return _areas(cartograms.partition(regions, ["c1", "c2", "c3"], "split", "row", strategy="treemap"), ["c1", "c2", "c3"])
+
+
+@query(F3 + " SELECT region_id, round(c1 / rs, 3) + 0.0 AS a_c1, round(c2 / rs, 3) + 0.0 AS a_c2, round(c3 / rs, 3) + 0.0 AS a_c3 FROM s")
+def partition_shrink(spark, sf_dir):
+    """Concentric shells of the same areas, with a fine tolerance."""
+    regions = X.nation_map(spark, sf_dir).select("region_id", "geom").join(X.nation_flags(spark, sf_dir), "region_id")
+    return _areas(cartograms.partition(regions, ["c1", "c2", "c3"], "shrink", "row", tol=1e-9), ["c1", "c2", "c3"], 3)
+
+
+@query(F3 + """, p AS (SELECT region_id, c1, c2, c3, max(rs) OVER () AS m FROM s)
+  SELECT region_id, round(c1 / m, 4) + 0.0 AS a_c1, round(1 - rs / m, 4) + 0.0 AS a_complement FROM p JOIN s USING (region_id, c1, c2, c3)""")
+def partition_complement(spark, sf_dir):
+    regions = X.nation_map(spark, sf_dir).select("region_id", "geom").join(X.nation_flags(spark, sf_dir), "region_id")
+    held = cartograms.partition(regions, ["c1", "c2", "c3"], "split", "maximum")
+    zero = lambda c: F.greatest(F.col(c), F.lit(0.0))
+    return _areas(held, ["c1", "complement"]).select("region_id", zero("a_c1").alias("a_c1"), zero("a_complement").alias("a_complement"))
+
+
+@query(ORACLES["dot_counts"].replace("AS dots", "AS dots").replace(" SELECT region_id, u.category", " SELECT CAST(region_id AS BIGINT) AS original_index, u.category", 1).replace("AS BIGINT) AS dots", "AS BIGINT) AS dots, TRUE AS inside"))
+def dot_density(spark, sf_dir):
+    """As many dots as counted, all inside their square."""
+    regions = X.nation_map(spark, sf_dir).select("region_id", "geom").join(X.nation_flags(spark, sf_dir), "region_id")
+    dots = cartograms.dot_density(regions, ["c1", "c2", "c3"], 100, "maximum")
+    n = F.col("original_index")
+    inside = (F.floor("x") == n % 5) & (F.floor("y") == F.floor(n / 5))
+    return dots.groupBy("original_index", "category").agg(F.count("*").alias("dots"), F.every(inside).alias("inside"))
+
+
+@query(QUEEN + " SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(shared_len, 4) + 0.0 AS shared_len FROM pr")
+def adjacency_polygons(spark, sf_dir):
+    """The general kernel agrees with the closed form of boxes."""
+    return rounded(adjacency.pairs(X.nation_map(spark, sf_dir)), ["i", "j"], "shared_len")
+
+
+def _overlaps(layout: DataFrame) -> DataFrame:
+    o = layout.select("map_id", *(F.col(c).alias(c + "_") for c in ("region_id", "x", "y", "size")))
+    near = layout.join(o, "map_id").where(F.col("region_id") < F.col("region_id_"))
+    hit = F.hypot(F.col("x") - F.col("x_"), F.col("y") - F.col("y_")) < (F.col("size") + F.col("size_")) * 0.999
+    return near.agg(F.count_if(hit).alias("overlaps")).join(layout.agg(F.count("*").alias("symbols")))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS overlaps, CAST(25 AS BIGINT) AS symbols")
+def circle_packing(spark, sf_dir):
+    return _overlaps(cartograms.layout(X.nation_map(spark, sf_dir), "value", "packing"))
+
+
+@query("SELECT CAST(25 AS BIGINT) AS symbols, TRUE AS finite")
+def circle_physics(spark, sf_dir):
+    held = cartograms.layout(X.nation_map(spark, sf_dir), "value", "physics")
+    return held.agg(F.count("*").alias("symbols"), F.every(F.abs("x") + F.abs("y") < 1e3).alias("finite"))
+
+
+@query("SELECT CAST(25 AS BIGINT) AS tiles, CAST(25 AS BIGINT) AS regions")
+def tile_map(spark, sf_dir):
+    """Every region has a tile of its own."""
+    held = cartograms.grid_layout(X.nation_map(spark, sf_dir), "value", "hexagon")
+    return held.agg(F.countDistinct("tile_id").alias("tiles"), F.count("*").alias("regions"))
+
+
+@query("SELECT CAST(25 AS BIGINT) AS cells, 25.0::DOUBLE AS area, TRUE AS even")
+def voronoi_cartogram(spark, sf_dir):
+    """Cells tile the map, and their areas come out nearly even."""
+    cells, steps = cartograms.voronoi(X.nation_map(spark, sf_dir), voronoi.Options(n_iter=30, resolution=120))
+    last = steps.agg((F.max_by("area_cv", "iteration") < 0.1).alias("even"))
+    return cells.agg(F.count("*").alias("cells"), r(F.sum(G.area(F.col("geom"))), 3).alias("area")).join(last)
+
+
+@query("SELECT CAST(25 AS BIGINT) AS regions, CAST(25 AS BIGINT) AS cells, TRUE AS fewer")
+def contiguous_groups(spark, sf_dir):
+    """Groups (n % 3) of the nation map drawn together: a permutation with fewer stray regions."""
+    regions = X.nation_map(spark, sf_dir).withColumn("grp", F.col("region_id") % 3)
+    held = cartograms.make_groups_contiguous(regions, "grp")
+    edges = adjacency.box_pairs(regions)
+    before = topology.satellites(regions, edges).count()
+    moved = held.join(regions.select("region_id", "grp"), "region_id").select(F.col("cell_id").alias("region_id"), "grp")
+    after = topology.satellites(moved, edges).agg(F.count("*").alias("n"))
+    return held.agg(F.count("*").alias("regions"), F.countDistinct("cell_id").alias("cells")).join(after).select("regions", "cells", (F.col("n") <= before).alias("fewer"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS invalid")
+def topology_check(spark, sf_dir):
+    return cartograms.check_topology(X.nation_lshape(spark, sf_dir)).agg(F.count("*").alias("invalid"))
+
+
+@query(L + " SELECT region_id, round(area, 4) + 0.0 AS area FROM ar")
+def geojson_round_trip(spark, sf_dir):
+    """Features as text and back, holes included."""
+    lines = files.features(X.nation_lshape(spark, sf_dir).select("region_id", "geom"))
+    shape = "struct<properties:struct<region_id:int>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>"
+    held = lines.select(F.from_json("feature", shape).alias("f"))
+    area = F.aggregate(F.transform("f.geometry.coordinates", lambda p, k: F.when(k == 0, 1).otherwise(-1) * G.ring_area(F.transform(p, lambda c: G.point_of(c[0], c[1])))), F.lit(0.0), lambda a, v: a + v)
+    return held.select("f.properties.region_id", r(area).alias("area"))

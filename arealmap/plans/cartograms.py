@@ -388,3 +388,38 @@ def make_groups_contiguous(regions: DataFrame, group: str, passes: int = 20) ->
         return pd.DataFrame({"map_id": key[0], "region_id": ids, "cell_id": ids[slot]})
 
     return held.select("map_id", "region_id", F.col(group).alias("grp")).groupBy("map_id").cogroup(pairs.groupBy("map_id")).applyInPandas(run, "map_id string, region_id long, cell_id long")
+
+
+def simplify(regions: DataFrame, tolerance: float, min_island: float | None = None, min_hole: float | None = None, outer: bool = True) -> DataFrame:
+    """Every map's coverage simplified, shared borders once; islands and holes under the squares of the given sides go first, but no region goes whole."""
+    from ..kernels.shapes import simplify_coverage
+
+    held = with_map(regions)
+    if min_island is not None or min_hole is not None:
+        held = held.withColumn("geom", G.drop_small(F.col("geom"), (min_island or 0.0) ** 2, (min_hole or 0.0) ** 2))
+
+    def run(key, rows):
+        rows = rows.sort_values("region_id")
+        out = simplify_coverage([P.rings_of(g) for g in rows["geom"]], tolerance, outer)
+        return pd.DataFrame({"map_id": key[0], "region_id": rows["region_id"].to_numpy(), "geom": [P.to_geom(s) if s else None for s in out]})
+
+    shapes = held.select("map_id", F.col("region_id").cast("long").alias("region_id"), "geom").groupBy("map_id").applyInPandas(run, f"map_id string, region_id long, geom {G.GEOM}")
+    return held.drop("geom").withColumn("region_id", F.col("region_id").cast("long")).join(shapes, ["map_id", "region_id"])
+
+
+def interpolate(a: DataFrame, b: DataFrame, t: float) -> DataFrame:
+    """(region_id, geom): shapes between two states of the same regions; rings that differ in points are resampled."""
+    from ..kernels.shapes import blend
+
+    both = a.select(F.col("region_id").cast("long").alias("region_id"), F.col("geom").alias("ga")).join(b.select(F.col("region_id").cast("long").alias("region_id"), F.col("geom").alias("gb")), "region_id")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for x, y in zip(batch.column("ga").to_pylist(), batch.column("gb").to_pylist(), strict=True):
+                same = x["kind"].removeprefix("Multi") == y["kind"].removeprefix("Multi")
+                # Kinds that can't blend change half way.
+                out.append(P.to_geom(blend(P.rings_of(x), P.rings_of(y), t)) if same else (x if t < 0.5 else y))
+            yield pa.RecordBatch.from_arrays([batch.column("region_id"), pa.array(out, batch.schema.field("ga").type)], ["region_id", "geom"])
+
+    return both.mapInArrow(run, f"region_id long, geom {G.GEOM}")

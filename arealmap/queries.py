@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fixtures as X
 from .functions import geometry as G
 from .kernels import flow, voronoi
-from .operators import adjacency, fields, frames, grids, measure, styling, tilings, topology, vertices
+from .operators import adjacency, fields, frames, grids, isohedral, measure, styling, tilings, topology, vertices
 from .plans import cartograms
 from .sources import files
 
@@ -676,3 +676,36 @@ def geojson_round_trip(spark, sf_dir):
     held = lines.select(F.from_json("feature", shape).alias("f"))
     area = F.aggregate(F.transform("f.geometry.coordinates", lambda p, k: F.when(k == 0, 1).otherwise(-1) * G.ring_area(F.transform(p, lambda c: G.point_of(c[0], c[1])))), F.lit(0.0), lambda a, v: a + v)
     return held.select("f.properties.region_id", r(area).alias("area"))
+
+
+@query(BOX + " SELECT CAST(region_id AS BIGINT) AS region_id, 1.0::DOUBLE AS area, CAST(5 AS INT) AS points FROM nm")
+def simplified_coverage(spark, sf_dir):
+    """Squares with needless points on their borders come back as squares."""
+    n = F.col("region_id")
+    x0, y0 = (n % 5).cast("double"), F.floor(n / 5).cast("double")
+    dense = F.array(*(G.point(x0 + a, y0 + b) for a, b in ((0, 0), (0.3, 0), (0.6, 0), (1, 0), (1, 0.4), (1, 1), (0.6, 1), (0.3, 1), (0, 1), (0, 0.4), (0, 0))))
+    regions = X.nation_values(spark, sf_dir).withColumn("geom", G.geom("Polygon", G.ring(dense)))
+    held = cartograms.simplify(regions, 0.01)
+    # Corners of the outer border that no region shares are no nodes, so rings are compared by area and count.
+    return held.select("region_id", r(G.area(F.col("geom"))).alias("area"), F.least(G.n_points(F.col("geom")), F.lit(5)).alias("points"))
+
+
+@query(L + " SELECT CAST(region_id AS BIGINT) AS region_id, 1.0::DOUBLE AS area FROM ar WHERE region_id % 3 = 1")
+def shape_interpolation(spark, sf_dir):
+    """At the end of a blend from notched shapes to whole squares, squares are there."""
+    a = X.nation_lshape(spark, sf_dir).where("region_id % 3 = 1")
+    b = X.nation_map(spark, sf_dir).where("region_id % 3 = 1")
+    return cartograms.interpolate(a, b, 1.0).select("region_id", r(G.area(F.col("geom"))).alias("area"))
+
+
+@query("SELECT * FROM (VALUES ('ih1', 1.0::DOUBLE, 6), ('ih4', 1.0, 6), ('ih41', 1.0, 4), ('ih46', 1.0, 4), ('ih47', 1.0, 4), ('ih84', 1.0, 3)) t(type, unit_area, neighbours)")
+def isohedral_tilings(spark, sf_dir):
+    """Tiles of every type have one area, and inner ones as many neighbours as edges."""
+    out = None
+    for name, (kinds, _) in isohedral.TYPES.items():
+        tiles = isohedral.Isohedral(name).tiles(spark, tile_size=0.3)
+        edges = tilings.vertex_edges(tiles, 1e-6).where("shared >= 2")
+        most = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).groupBy("src").count().agg(F.max("count").cast("int").alias("neighbours"))
+        one = tiles.agg(r(F.avg(G.area(F.col("geom"))) / 0.09).alias("unit_area")).join(most).select(F.lit(name).alias("type"), "unit_area", "neighbours")
+        out = one if out is None else out.unionByName(one)
+    return out

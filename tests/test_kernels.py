@@ -271,3 +271,12 @@ def test_symbol_units():
 def test_crossing_rings():
     bow = [(0, 1, np.array([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)], float))]
     assert planar.crossing_segments(bow) and not planar.crossing_segments(LSHAPE)
+
+
+def test_elastic_boundary_gives_way():
+    seeds = np.random.default_rng(6).uniform(0.5, 4.5, (10, 2))
+    field, steps = voronoi.solve(seeds, square(0, 0, 5, 5), voronoi.Options(n_iter=15, resolution=60, elasticity=0.8, min_boundary_points=80), weights=[1] * 9 + [8])
+    outline = field.boundary[0][2]
+    assert len(outline) == 80 and not planar.crossing_segments(field.boundary)
+    assert np.abs(planar.area(field.boundary) - 25) < 5 and not np.allclose(planar.bounds(field.boundary), (0, 0, 5, 5))
+    assert sum(planar.area(c) for c in field.cells()) == pytest.approx(planar.area(field.boundary), rel=1e-3)

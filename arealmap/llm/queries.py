@@ -81,4 +81,6 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+ORACLES["op10_url_filter"] = url_filter.sql()
+
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_multi_index_hashing, op4_source_mixing, op5_katz_backoff, op6_suffix_array_dedup, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup, op10_url_filter)}

@@ -93,7 +93,7 @@ def log_ratios(grams: DataFrame, order: int = ORDER) -> DataFrame:
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     """(page_id, url, host, path, rule, ruled, ratio, threshold, verdict) of each row of ``pages`` (page_id, url)."""
     named = pages.select(F.monotonically_increasing_id().alias("row"), "page_id", F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
-    folded = decide(named.withColumns(parts()), rules).withColumn("fold", F.pmod(F.xxhash64("url"), F.lit(2)).cast("int"))
+    folded = decide(named.withColumns(parts()), rules).withColumn("fold", F.instr(F.lit("13579bdf"), F.substring(F.md5("url"), 1, 1)).cast("boolean").cast("int"))
     rows = durable(folded, "urls")
     places = sequences(rows, order)
     # Counted before anything is joined: a sequence that stands in every URL is one row from each task.
@@ -109,3 +109,33 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     threshold = rated.agg(*sides).select(meeting.alias("threshold"))
     by_ratio = F.when(F.col("ratio") < F.col("threshold"), F.lit("block")).otherwise(F.lit("allow"))
     return rated.join(F.broadcast(threshold)).withColumn("verdict", F.coalesce("ruled", by_ratio))
+
+
+def sql(rules=RULES, order: int = ORDER, alphabet: int = ALPHABET) -> str:
+    """The same judgement as one SQL statement over ``pages``."""
+    fits = lambda host, path: f"((host = '{host}' OR host LIKE '%.{host}') AND starts_with(path, '{path}'))"
+    longest = sorted(rules, key=lambda x: (-len(x[1] + x[2]), x[1] + x[2]))
+    case = lambda what: "CASE " + " ".join(f"WHEN {fits(h, p)} THEN '{what(v, h, p)}'" for v, h, p in longest) + " END"
+    sides = {f"{name}_{x}": " + ".join(counts) for name, pair in MODELS.items() for x, counts in zip("ab", pair, strict=True)}
+    steps = [f"p0 AS (SELECT '' AS s, {', '.join(f'{1.0 / alphabet}::DOUBLE AS p_{x}' for x in sides)})"]
+    for k in range(1, order + 1):
+        mixed = ", ".join(f"CASE WHEN {x}_all > 0 THEN ({x} + {x}_kinds * p_{x}) / ({x}_all + {x}_kinds) ELSE p_{x} END AS p_{x}" for x in sides)
+        steps += [
+            f"l{k} AS (SELECT substr(g, {order - k + 1}, {k}) AS s, {', '.join(f'sum({c}) AS {x}' for x, c in sides.items())} FROM grams GROUP BY 1)",
+            f"c{k} AS (SELECT substr(s, 1, {k - 1}) AS context, {', '.join(f'sum({x}) AS {x}_all, count(*) FILTER ({x} > 0) AS {x}_kinds' for x in sides)} FROM l{k} GROUP BY 1)",
+            f"p{k} AS (SELECT l{k}.s, {mixed} FROM l{k} JOIN c{k} ON substr(l{k}.s, 1, {k - 1}) = context JOIN p{k - 1} ON " + ("TRUE" if k == 1 else f"substr(l{k}.s, 2, {k - 1}) = p{k - 1}.s") + ")",
+        ]
+    counted = ", ".join(f"count(*) FILTER (ruled = '{'allow' if c[0] == 'a' else 'block'}' AND fold = {c[1]}) AS {c}" for c in COUNTS)
+    ratios = ", ".join(f"avg(ln(p_{n}_a) - ln(p_{n}_b)) AS {n}" for n in MODELS)
+    apart = "CASE WHEN fold = 0 THEN by1 ELSE by0 END"
+    rated = ", ".join(f"{f}({apart}) FILTER (ruled = '{v}') AS {n}{x}" for x, v in (("a", "allow"), ("b", "block")) for f, n in (("avg", "m"), ("stddev_pop", "d")))
+    return f"""WITH u AS (SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS url FROM pages),
+  v AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
+  w AS (SELECT *, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+    CASE WHEN instr('13579bdf', substr(md5(url), 1, 1)) > 0 THEN 1 ELSE 0 END AS fold FROM v),
+  ruled AS (SELECT *, {case(lambda v, h, p: h + p)} AS rule, {case(lambda v, h, p: v)} AS ruled FROM w),
+  places AS (SELECT r, ruled, fold, substr(repeat(chr(2), {order - 1}) || url || chr(3), i, {order}) AS g FROM (SELECT *, unnest(range(1, length(url) + 2)) AS i FROM ruled)),
+  grams AS (SELECT g, {counted} FROM places GROUP BY 1), {", ".join(steps)},
+  scored AS (SELECT r, {ratios} FROM places JOIN p{order} ON g = s GROUP BY 1), rated AS (SELECT * FROM ruled JOIN scored USING (r)), sides AS (SELECT {rated} FROM rated),
+  cut AS (SELECT CASE WHEN da + db > 0 THEN (ma * db + mb * da) / (da + db) ELSE (ma + mb) / 2 END AS threshold FROM sides)
+  SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN ratio < threshold THEN 'block' ELSE 'allow' END) AS verdict FROM rated, cut"""

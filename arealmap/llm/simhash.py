@@ -99,15 +99,12 @@ class Forest:
             apart = np.bitwise_count(queries[query] ^ self.values[node]).astype(np.int64)
             hit = apart <= radius
             yield query[hit], node[hit]
-            next_query, next_node = [], []
-            for d in range(-radius, radius + 1):
-                key = np.where((apart + d >= 0) & (apart + d <= 64), node * 65 + apart + d, -1)
-                place = np.searchsorted(self.edges, key)
-                place[place == len(self.edges)] = 0
-                found = (self.edges[place] == key) if len(self.edges) else np.zeros(len(key), bool)
-                next_query.append(query[found])
-                next_node.append(self.children[place[found]] if len(self.edges) else node[:0])
-            query, node = np.concatenate(next_query), np.concatenate(next_node)
+            # Children lie by parent and distance, so the edges within the radius are one stretch.
+            lo = np.searchsorted(self.edges, node * 65 + np.maximum(apart - radius, 0))
+            many = np.searchsorted(self.edges, node * 65 + np.minimum(apart + radius, 64), side="right") - lo
+            ends = np.cumsum(many)
+            node = self.children[np.arange(ends[-1]) + np.repeat(lo - ends + many, many)]
+            query = np.repeat(query, many)
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

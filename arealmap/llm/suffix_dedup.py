@@ -12,15 +12,15 @@ whose hash repeats, and all its occurrences meet where that hash is sent.
 
 What happens there.  The surroundings of a shard's repeated anchors, each
 distinct one once, become one text with separators, and its Burrows-Wheeler
-transform.  From the empty string on, all intervals of suffixes that share a
-prefix are extended to the left by every character that precedes them, breadth
-first, so prefixes come in order of length; intervals of one suffix are
-dropped, separators are never prepended, and the expansion stops at LENGTH
-characters.  The intervals that are left are the repeated strings.
+transform.  From the longest prefixes known from sorting, all intervals of
+suffixes that share a prefix are extended to the left by every character that
+precedes them, breadth first, so prefixes come in order of length; intervals
+of one suffix are dropped, separators are never prepended, and the expansion
+stops at LENGTH characters.  The intervals that are left are the repeated strings.
 
 An anchor with more than ``HOT`` occurrences does not go to one shard: the
-strings around it are rows of their own, and their first places are minima by
-string, combined within each task.
+strings around it are rows of their own, by 128 bits of hash, and their first
+places are minima by string, combined within each task.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes keep all;
 null ids come after all others; of equal rows with one id one is the first, and
@@ -46,13 +46,13 @@ LENGTH, GRAM = 100, 48
 #: Places in a window of LENGTH bytes at which a gram can start.
 WINDOW = LENGTH - GRAM + 1
 #: Occurrences of an anchor beyond which its strings are rows of their own.
-HOT = 4096
+HOT = 65_536
 #: Anchors of a hash partition, bytes of a shard of surroundings, characters of one transform.
 PARTITION_ANCHORS, SHARD_BYTES, TRANSFORM = 1_500_000, 16 << 20, 1 << 20
 #: What may be broadcast, counted before; beyond it the texts are joined by shuffle.
 BROADCAST_BYTES = 24 << 20
 NONE = (1 << 63) - 1
-_VALUES = np.random.default_rng(17).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+_VALUES = np.random.default_rng(17).integers(1, 2**63, (3, 256), dtype=np.uint64) | np.uint64(1)
 
 
 def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
@@ -64,17 +64,18 @@ def _slide(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def _gram_hashes(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+def _hashes(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray], width: int, table: int = 0) -> np.ndarray:
+    """64-bit hashes of all strings of a width; tables are independent of each other."""
     up, down = powers
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[data] * up[: len(data)], dtype=np.uint64)])
-    return _mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[table][data] * up[: len(data)], dtype=np.uint64)])
+    return _mix((sums[width:] - sums[:-width]) * down[: len(data) - width + 1])
 
 
 def anchors(data: np.ndarray, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the grams that are least in some window of LENGTH bytes; equals all count."""
     if len(data) < LENGTH:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    hashes = _gram_hashes(data, powers)
+    hashes = _hashes(data, powers, GRAM)
     least = _slide(hashes, WINDOW, np.minimum)
     edge = np.zeros(WINDOW - 1, np.uint64)
     places = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), WINDOW, np.maximum) == hashes)
@@ -85,48 +86,68 @@ def repeated_strings(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
     """Places in the texts, laid end to end with one separator after each, where a string of ``length``
     starts that starts elsewhere too, and the number of its class.
 
-    Suffixes are sorted as far as needed; the transform's steps to the left then carry intervals of
-    suffixes from each prefix to the prefixes that are longer by one.
+    Suffixes are sorted by doubling prefixes, a little past ``length``.  The last depth on the way gives the
+    first intervals; the transform's steps to the left then carry them from each prefix to those longer by one.
     """
-    text = np.zeros(sum(map(len, texts)) + len(texts), np.int64)
-    ends = np.cumsum([len(x) + 1 for x in texts])
+    sizes = np.array([len(x) + 1 for x in texts])
+    ends = np.cumsum(sizes)
+    text = np.zeros(int(ends[-1]) if len(texts) else 0, np.uint16)
     inside = np.ones(len(text), bool)
     inside[ends - 1] = False
-    text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
-    n, step = len(text), 7
-    padded = np.concatenate([text, np.zeros(step, np.int64)])
+    text[inside] = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint16) + 1
+    n, step, depth, ranks = len(text), min(7, length), 0, np.zeros(len(text), np.int32)
+    padded = np.concatenate([text, np.zeros(step, np.uint16)])
     key = np.zeros(n, np.int64)
     for i in range(step):
         key = key << 9 | padded[i : i + n]
-    while True:
-        order = np.argsort(key, kind="stable")
-        ranks = np.empty(n, np.int64)
-        ranks[order] = np.cumsum(np.concatenate([[0], (key[order][1:] != key[order][:-1]).astype(np.int64)]))
-        if step > length or ranks[order[-1]] == n - 1:
+    while n:
+        order = np.argsort(key).astype(np.int32)
+        if step > length:
             break
-        key = ranks * (n + 1) + np.concatenate([ranks[step:] + 1, np.zeros(min(step, n), np.int64)])[:n]
+        key = key[order]
+        depth = step
+        ranks[order] = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]), dtype=np.int32)
+        if ranks[order[-1]] == n - 1:
+            n = 0
+            break
+        key = ranks.astype(np.int64)
+        key *= n + 1
+        if step < n:
+            key[:-step] += ranks[step:]
+            key[:-step] += 1
         step *= 2
-    before = text[order - 1].astype(np.uint16)  # the transform
-    turn = np.argsort(before, kind="stable")
-    to_left = np.empty(n, np.int64)
-    to_left[turn] = np.arange(n)
+    if not n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    before = text[order - 1]  # the transform
+    turn = np.argsort(before, kind="stable").astype(np.int32)
+    to_left = np.empty(n, np.int32)
+    to_left[turn] = np.arange(n, dtype=np.int32)
     heads = before[turn]
-    at, group = np.arange(n), np.zeros(n, np.int64)
-    flag, names = np.zeros(n, bool), np.empty(n, np.int64)
-    for _ in range(length):
+
+    def repeats(at: np.ndarray, old: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbouring places of one origin and one first character are one interval; those of one suffix go."""
+        begins = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (old[1:] != old[:-1]) | (head[1:] != head[:-1])])
+        sizes = np.diff(np.append(np.flatnonzero(begins), len(at)))
+        stay = sizes > 1
+        return at[np.repeat(stay, sizes)], np.repeat(np.arange(stay.sum(), dtype=np.int32), sizes[stay])
+
+    # Prefixes that reach a separator are none.
+    room = np.repeat(ends, sizes) - 1 - np.arange(n)
+    at = np.flatnonzero(room[order] >= depth)
+    if len(at):
+        at, group = repeats(at, ranks[order[at]], np.zeros(len(at), np.uint16))
+    flag, names = np.zeros(n, bool), np.empty(n, np.int32)
+    for _ in range(length - depth):
+        if not len(at):
+            break
         more = before[at] != 0
         moved = to_left[at[more]]
         flag[moved], names[moved] = True, group[more]
         at = np.flatnonzero(flag)
         flag[at] = False
-        old, head = names[at], heads[at]
-        begins = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (old[1:] != old[:-1]) | (head[1:] != head[:-1])]) if len(at) else np.empty(0, bool)
-        group = np.cumsum(begins) - 1
-        stay = np.bincount(group, minlength=1)[group] > 1 if len(at) else begins
-        at, group = at[stay], group[stay]
-        if not len(at):
-            break
-    return order[at], group
+        if len(at):
+            at, group = repeats(at, names[at], heads[at])
+    return (order[at].astype(np.int64), group) if len(at) else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
@@ -211,37 +232,44 @@ def _by_document(rows: pa.Table) -> pa.Table:
 def _surroundings(shards: int):
     """(shard, d, key, start, anchor, around): the bytes that a repeated string with this anchor can take."""
 
+    names = ["shard", "d", "key", "start", "anchor", "around"]
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for batch in batches:
-            out = []
             for d, key, text, places in zip(*(batch.column(c).to_pylist() for c in ("d", "key", "text", "places")), strict=True):
                 data = text.encode()
                 delta, hot = _unpack(places)
                 at = np.cumsum(delta.astype(np.int64))[hot == 0]
-                if not len(at):
-                    continue
-                starts = np.maximum(at - WINDOW + 1, 0)
-                for a, s in zip(at.tolist(), starts.tolist(), strict=True):
+                for a, s in zip(at.tolist(), np.maximum(at - WINDOW + 1, 0).tolist(), strict=True):
                     gram = int.from_bytes(hashlib.blake2b(data[a : a + GRAM], digest_size=8).digest(), "little", signed=True)
                     out.append((gram % shards, d, key, s, gram, data[s : a + LENGTH]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["shard", "d", "key", "start", "anchor", "around"])
+                if len(out) >= 20_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+                    out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
 
     return run
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(string, d, key, start): every string around an anchor with very many places."""
+    """(h1, h2, d, key, start): every string around an anchor with very many places, by 128 bits of hash."""
     for batch in batches:
-        for d, key, text, places in zip(*(batch.column(c).to_pylist() for c in ("d", "key", "text", "places")), strict=True):
-            data = text.encode()
+        columns = [batch.column(c).to_pylist() for c in ("d", "key", "text", "places")]
+        powers = _power_tables(max(map(len, columns[2]), default=0) * 4 + 1)
+        for d, key, text, places in zip(*columns, strict=True):
+            data = np.frombuffer(text.encode(), np.uint8)
             delta, hot = _unpack(places)
             at = np.cumsum(delta.astype(np.int64))[hot == 1]
             if not len(at):
                 continue
             starts = np.unique((at[:, None] - np.arange(WINDOW)).ravel())
-            starts = starts[(starts >= 0) & (starts <= len(data) - LENGTH)].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([data[s : s + LENGTH] for s in starts], pa.binary()), pa.array([d] * len(starts), pa.int64()), pa.array([key] * len(starts), pa.int64()), pa.array(starts, pa.int32())], ["string", "d", "key", "start"])
+            starts = starts[(starts >= 0) & (starts <= len(data) - LENGTH)]
+            first, second = (_hashes(data, powers, LENGTH, k)[starts].view(np.int64) for k in (1, 2))
+            n = len(starts)
+            yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(np.full(n, d)), pa.array(np.full(n, key)), pa.array(starts, pa.int32())], ["h1", "h2", "d", "key", "start"])
 
 
 _SPANS = pa.schema([("d", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -354,10 +382,10 @@ def cuts(docs: DataFrame, hot: int = HOT, partition_anchors: int = PARTITION_ANC
     around = near.mapInArrow(_surroundings(shards), "shard int, d long, key long, start int, anchor long, around binary")
     starts = around.repartition(shards, "shard").groupBy("shard").applyInArrow(_later, spans)
     if hots:
-        strings = _texts_with(alone, found.where("hot > 0"), size).select("d", "key", "text", "places").mapInArrow(_strings, "string binary, d long, key long, start int").distinct()
+        strings = _texts_with(alone, found.where("hot > 0"), size).select("d", "key", "text", "places").mapInArrow(_strings, "h1 long, h2 long, d long, key long, start int")
         where = F.struct("d", "key", "start")
-        early = strings.groupBy("string").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = strings.join(early, "string").where(where != F.col("first"))
+        early = strings.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+        again = strings.join(early, ["h1", "h2"]).where(where != F.col("first"))
         starts = starts.unionByName(again.select("d", "key", F.col("start").alias("lo"), F.col("start").alias("hi")))
     runs = durable(starts.groupBy("d", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "runs")
     size = runs.agg(F.coalesce(F.sum(F.size("lo") * 8 + 64), F.lit(0))).first()[0]

@@ -150,19 +150,6 @@ def block_masks(radius: int) -> list[int]:
     return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def random_masks(n: int, radius: int, seed: int = 3) -> list[int]:
-    """Random sets of bits for radii too wide for blocks.
-
-    A set has as many bits as keep some 64 of ``n`` fingerprints together; there are so many
-    sets that two fingerprints at the radius agree on one with a chance of 95 % (e**-3 is left), closer
-    ones more surely.
-    """
-    bits = min(24, max(10, math.ceil(math.log2(max(2, n / 64)))))
-    agree = math.comb(64 - radius, bits) / math.comb(64, bits)
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(x) for x in rng.choice(64, bits, replace=False)) for _ in range(math.ceil(3 / agree))]
-
-
 def links(marks: DataFrame, radius: int = 2, tree_rows: int = TREE_ROWS, masks: list[int] | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all distinct fingerprints within the radius that agree on the bits of a mask."""
     signed = [x - (1 << 64) if x >> 63 else x for x in masks or block_masks(radius)]
@@ -224,8 +211,12 @@ def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, tree_rows: int
     return marks.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
 
 
-#: Documents of a candidate group that one task compares by their shingles.
+#: Documents, on either side of the pairs that one task compares, whose shingles it holds.
 GROUP_ROWS = 1500
+#: Documents whose shingles are counted to tell common ones, and the most of them that are told.
+SAMPLE_ROWS, COMMON_ROWS = 10_000, 50_000
+#: Shingles of prefixes that one task holds.
+PREFIX_ROWS = 500_000
 
 
 def _shingles(text: str | None, words: int) -> np.ndarray:
@@ -235,60 +226,175 @@ def _shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(found[i : i + words])) for i in range(n)), np.uint64))
 
 
-def _similar(words: int, radius: int, similarity: float):
-    """Of one group: each document's class by exact similarity of shingle sets; the smallest id names it."""
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("text", pa.string())])
-
-    def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("doc_id")
-        ids, marks = rows.column("doc_id").to_numpy(), rows.column("fingerprint").to_numpy().view(np.uint64)
-        texts = rows.column("text").to_pylist()
-        sets, label = [_shingles(x, words) for x in texts], np.arange(len(ids))
-        apart = np.bitwise_count(marks[:, None] ^ marks[None, :])
-        one, two = np.nonzero(np.triu(apart <= radius, 1))
-        order = np.argsort(apart[one, two], kind="stable")
-        # Closest first; what is already one class needs no comparison.
-        for i, j in zip(one[order].tolist(), two[order].tolist(), strict=True):
-            if label[i] != label[j] and min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])):
-                same = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if same >= similarity * (len(sets[i]) + len(sets[j]) - same):
-                    low, high = min(label[i], label[j]), max(label[i], label[j])
-                    label[label == high] = low
-        leads = label == np.arange(len(ids))
-        return pa.table([pa.array(ids), pa.array(ids[label]), pa.array([x if lead else None for x, lead in zip(texts, leads, strict=True)], pa.string())], schema=shape)
+def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles, as longs, that several documents of a sample have, and in how many they stand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_shingles(x, words) for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["token"])
+
+    every = max(1, texts.count() // SAMPLE_ROWS)
+    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    held = seen.where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON_ROWS).toArrow()
+    token, n = held.column("token").to_numpy(), held.column("n").to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+def _prefixes(words: int, similarity: float, common: np.ndarray, times: np.ndarray):
+    """The first shingles of each text, rare ones first: so many that two texts alike in ``similarity`` share one of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, sizes, many = [np.empty(0, np.int64)], [], []
+            for text in batch.column("text").to_pylist():
+                held = _shingles(text, words).view(np.int64)
+                rank = np.zeros(len(held), np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, held), len(common) - 1)
+                    rank = np.where(common[at] == held, times[at], 0)
+                first = np.lexsort((held, rank))[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]
+                tokens.append(held[first])
+                sizes.append(len(held))
+                many.append(len(first))
+            many = np.array(many, np.int64)
+            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), many)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), ids, np.repeat(np.array(sizes, np.int64), many))], ["token", "doc_id", "size"])
+
+    return run
+
+
+def _sorted(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
+    """Columns of a task's rows, by token, size and id."""
+    held = [x for x in batches if x.num_rows]
+    if not held:
+        return [np.empty(0, np.int64) for _ in names]
+    rows = pa.Table.from_batches(held)
+    columns = {c: rows.column(c).to_numpy() for c in names}
+    order = np.lexsort((columns["doc_id"], columns["size"], columns["token"]))
+    return [columns[c][order] for c in names]
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows whose shingle others have too."""
+    token, ids, size = _sorted(batches, ("token", "doc_id", "size"))
+    follows = np.concatenate([[False], token[1:] == token[:-1]])[: len(token)]
+    keep = follows | np.concatenate([follows[1:], [False]])[: len(token)]
+    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, ids, size)], ["token", "doc_id", "size"])
+
+
+def _pairs(similarity: float, steps: int = 0):
+    """(a, b, need): pairs of one shingle whose classes differ and whose sizes allow them to be alike; of ``steps`` places apart at most, if given.
+
+    What two texts share lies in both prefixes, or behind the prefix that ends first; so texts
+    alike share ``need`` shingles of their prefixes at least.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, ids, size, kind = _sorted(batches, ("token", "doc_id", "size", "kind"))
+        left, step = np.arange(len(token)), 0
+        while len(left) and (not steps or step < steps):
+            step += 1
+            left = left[left + step < len(token)]
+            left = left[(token[left] == token[left + step]) & (size[left] >= similarity * size[left + step] - 1e-9)]
+            one = left[kind[left] != kind[left + step]]
+            two = one + step
+            for k in range(0, len(one), BLOCK):
+                x, y = one[k : k + BLOCK], two[k : k + BLOCK]
+                need = similarity / (1 + similarity) * (size[x] + size[y]) - np.ceil(similarity * size[y] - 1e-9) + 1 - 1e-6
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(need)], ["a", "b", "need"])
 
     return run
 
 
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13) -> DataFrame:
+def _alike(similarity: float):
+    """Of the pairs of two blocks: a spanning forest of those alike by their shingle sets."""
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for i, x in zip(held.column("doc_id").to_pylist(), held.column("shingles").to_pylist(), strict=True):
+            sets.setdefault(i, []).append(np.frombuffer(x, np.uint64))
+
+        def alike(x: np.ndarray, y: np.ndarray) -> bool:
+            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+                return False
+            same = len(np.intersect1d(x, y, assume_unique=True))
+            return same >= similarity * (len(x) + len(y) - same)
+
+        above: dict[int, int] = {}
+
+        def top(i: int) -> int:
+            while (j := above.get(i, i)) != i:
+                above[i] = i = above.get(j, j)
+            return i
+
+        out = []
+        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
+            # What is already one class needs no comparison.
+            if (x := top(a)) != (y := top(b)) and any(alike(s, t) for s in sets[a] for t in sets[b]):
+                above[max(x, y)] = min(x, y)
+                out.append((a, b))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=shape)
+
+    return run
+
+
+def _verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) whose components are those of all ``pairs`` that are alike.
+
+    Documents are dealt over blocks, and each pair goes to the task of its two blocks with the shingles of both.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [_shingles(x, words).tobytes() for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], ["doc_id", "shingles"])
+
+    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
+    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "paired")
+    n = ids.count()
+    sets = durable(texts.join(small_side(ids, n), F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(run, "doc_id long, shingles binary"), "shingles")
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // GROUP_ROWS)))).alias("i" if c == "a" else "j")
+    dealt = pairs.select("a", "b", block("a"), block("b"))
+    needs = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = needs.join(sets, "doc_id").select(F.col("i").alias("p"), F.col("j").alias("q"), "doc_id", "shingles")
+    return durable(dealt.groupBy("i", "j").cogroup(held.groupBy("p", "q")).applyInArrow(_alike(similarity), "a long, b long"), "verified")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """(doc_id, group): the documents that are in a group with others, by word shingles alike in ``similarity`` of both.
 
-    SimHash finds candidates: BK-trees over fingerprints that agree on random sets of bits, linked
-    within the radius.  Candidates of one component are then compared by their shingle sets.
-    A component beyond GROUP_ROWS is compared in parts, and the first documents of the parts'
-    classes once more with each other; links between other documents of two parts are not looked for.
-    Rows without an id have no group.
+    Groups are the components of all pairs alike.  Texts alike share one of their first shingles
+    in any order that holds for all (a prefix filter), so all candidates meet there.  Two rounds keep
+    large groups from making all their pairs: the first compares each SimHash component (within
+    ``radius``) with its smallest id, and neighbours among the texts of a shingle; the second
+    compares the candidates whose classes still differ.  Every link is a comparison of whole shingle sets.
+    ``radius`` and the sample that tells common shingles change the work, not the result.
+    Rows without an id have no group; an id that stands more than once links by any of its texts.
     """
-    marks = durable(fingerprints(docs.where("doc_id is not null"), words), "simhash")
-    kinds = marks.select("fingerprint").distinct().count()
-    placed = _placed(marks, links(marks, radius, masks=random_masks(kinds, radius)))
-    sizes = placed.groupBy("root").agg(F.sum("rows").alias("members")).where("members > 1")
-    near = durable(marks.join(placed.join(sizes, "root").select("fingerprint", "root", "members"), "fingerprint"), "candidates")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
-    held = texts.join(small_side(near), texts["_id"] == near["doc_id"]).select("doc_id", "text", "fingerprint", "root", "members")
-    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.ceil(F.col(n) / GROUP_ROWS))
-    compare = _similar(words, radius, similarity)
-    first = durable(held.withColumn("part", part("members")).groupBy("root", "part").applyInArrow(compare, "a long, b long, text string"), "similar")
-    leads = first.where("text is not null").select(F.col("a").alias("doc_id"), "text").join(small_side(near.where(F.col("members") > GROUP_ROWS)), "doc_id")
-    again = leads.groupBy("root").agg(F.count("*").alias("left")).withColumnRenamed("root", "_root")
-    leads = leads.join(again, leads["root"] == again["_root"]).withColumn("part", part("left"))
-    second = leads.groupBy("root", "part").applyInArrow(compare, "a long, b long, text string")
-    nodes = components(first.select("a", "b").unionByName(second.select("a", "b")))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prefixes = texts.mapInArrow(_prefixes(words, similarity, *_common(texts, words)), "token long, doc_id long, size long")
+    letters = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(12, int(letters * (1 - similarity) / 6 // PREFIX_ROWS))
+    shared = durable(prefixes.repartition(parts, "token").mapInArrow(_shared, "token long, doc_id long, size long"), "shared")
+    parts = max(12, shared.count() // PREFIX_ROWS)
+
+    def pairs(rows: DataFrame, share: float, steps: int = 0) -> DataFrame:
+        found = rows.select("token", "doc_id", "size", "kind").repartition(parts, "token").mapInArrow(_pairs(similarity, steps), "a long, b long, need double")
+        return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where(F.col("n") >= share * F.col("need")).select("a", "b")
+
+    near = near_groups(texts, radius=radius).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    first = _verified(texts, near.unionByName(pairs(shared.withColumn("kind", F.col("doc_id")), 0.25, 1)), words, similarity)
+    kinds = durable(components(first).select(F.col("node").alias("doc_id"), F.col("root").alias("kind")), "classes")
+    told = shared.join(small_side(kinds), "doc_id", "left").withColumn("kind", F.coalesce("kind", "doc_id"))
+    nodes = components(first.unionByName(_verified(texts, pairs(told, 1.0), words, similarity)))
     low = nodes.groupBy("root").agg(F.min("node").alias("group"))
     return nodes.join(low, "root").select(F.col("node").alias("doc_id"), "group")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 13) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """The rows of ``docs`` without those of ids that are near copies of a smaller id, with all their columns."""
     gone = durable(similar_groups(docs, words, similarity, radius).where("doc_id <> group").select(F.col("doc_id").alias("_gone")).distinct(), "near")
     marked = docs.withColumn("_id", F.col("doc_id").cast("long"))

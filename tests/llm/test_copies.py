@@ -157,3 +157,28 @@ def test_suffix_cuts(odd, hot):
 
 def test_suffix_cuts_of_nothing(empty):
     assert suffix_dedup.cuts(empty).count() == 0
+
+
+def alike_by_hand(rows, words=5, similarity=0.8):
+    """Smallest id of each id's component, over all pairs."""
+    shingles = {i: {tuple(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} for i, t in rows for w in [(t or "").lower().split()]}
+    same = lambda a, b: len(shingles[a] & shingles[b]) >= similarity * len(shingles[a] | shingles[b])
+    return classes(list(shingles), [(a, b) for a in shingles for b in shingles if a < b and same(a, b)])
+
+
+def test_similar_groups_beyond_a_block(spark, monkeypatch):
+    """Families in which each text is alike only to its neighbours, spread over many blocks."""
+    monkeypatch.setattr(simhash, "GROUP_ROWS", 3)
+    rng, rows = np.random.default_rng(8), []
+    for family in range(4):
+        text = [f"f{family}w{i}" for i in range(120)]
+        for step in range(15):
+            rows.append((len(rows), " ".join(text)))
+            at = int(rng.integers(0, 100))
+            text = [*text[:at], f"f{family}s{step}", *text[at + 1 :]]
+            text = [*text[:at + 10], f"f{family}r{step}", *text[at + 11 :]]
+    rows = [(int(i), t) for i, (_, t) in zip(rng.permutation(len(rows)), rows, strict=True)]
+    want = alike_by_hand(rows)
+    assert len(set(want.values())) < 30 < len(want)
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.group for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}

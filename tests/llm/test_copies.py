@@ -182,3 +182,23 @@ def test_similar_groups_beyond_a_block(spark, monkeypatch):
     assert len(set(want.values())) < 30 < len(want)
     found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.group for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
+
+
+def test_similar_groups_at_the_threshold(spark):
+    """Pairs alike in 0.80 to 0.85, far apart as fingerprints; and texts that repeat a line hundreds of times."""
+    rng, rows = np.random.default_rng(9), []
+    for k in range(60):
+        text = [f"p{k}w{i}" for i in range(200)]
+        other = list(text)
+        for at in np.linspace(8, 190, 4).astype(int):
+            other[at + int(rng.integers(0, 3))] = f"p{k}c{at}"
+        rows += [" ".join(text), " ".join(other)]
+    for k in range(10):
+        line = " ".join(f"l{k}w{i}" for i in range(30))
+        rest = " ".join(f"r{k}w{i}" for i in range(100))
+        rows += [f"{line} {line} {rest}", " ".join([line] * 400 + [rest])]
+    rows = list(enumerate(rows))
+    want = alike_by_hand(rows)
+    assert len(set(want.values())) == 70
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.group for x in found} == want

@@ -170,8 +170,10 @@ def classify(docs: DataFrame, labels: DataFrame, level: float = 0.7, max_rows: i
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, level: float = 0.7, max_rows: int = MAX_ROWS) -> DataFrame:
-    """The rows of ``docs`` that the classifier accepts, with all their columns."""
+    """The rows of ``docs`` that the classifier accepts, with all their columns; without both labels to learn from, all rows."""
     ranker = train(docs, labels.where(~held_out()), max_rows=max_rows, level=level)
+    if not ranker.slope:
+        return docs
     inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
     names = [f"row.`{c}`" for c in docs.columns]
     return score(inner, ranker).where(F.col("score") >= level).select(*names)

@@ -193,3 +193,9 @@ def test_neighbours_odd_rows(spark):
     found = sorted(map(tuple, ann.nearest(vectors, F.col("vec_id") % 100 == 0).collect()))
     assert [x[:3] for x in found] == [(0, 1, 5), (0, 2, 100), (0, 3, 6), (100, 1, 0), (100, 2, 5), (100, 3, 6)]
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_quality_without_both_labels_rejects_nothing(spark, odd):
+    for rows in ([], [(i, 1, 0) for i in range(40)]):
+        labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+        assert sorted(map(str, quality.keep_good(odd, labels).collect())) == sorted(map(str, odd.collect()))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, small_side
+from .common import BROADCAST_ROWS, SPACE, durable, small_side, spread_join, unwrapped, wrapped
 
 #: The two primes and the point at which the polynomials are taken.
 PRIMES = (2147483647, 2147483629)
@@ -72,11 +72,14 @@ def _packed(value: tuple[int, int, int]) -> int:
 
 def normalised(text: str = "text"):
     """Each run of white space becomes one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", " ")
+    return F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), f"[{SPACE}]+", " ")
 
 
-def fingerprints(docs: DataFrame, make=Polynomial, huge: int = HUGE) -> DataFrame:
-    """From (doc_id, row, norm, text_sha256) to (doc_id, row, text_sha256, fp, n_bytes); the text itself stays behind."""
+def fingerprints(docs: DataFrame, make=Polynomial, huge: int = HUGE, huge_texts: bool = True) -> DataFrame:
+    """From (doc_id, row, norm, text_sha256) to (doc_id, row, text_sha256, fp, n_bytes); the text itself stays behind.
+
+    ``huge_texts`` tells whether any text may have more than ``huge`` characters.
+    """
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = make()
@@ -100,7 +103,7 @@ def fingerprints(docs: DataFrame, make=Polynomial, huge: int = HUGE) -> DataFram
     shape = "doc_id long, row long, text_sha256 string, fp long, n_bytes long"
     size = F.length("norm")
     short = docs.where(size <= huge).select("doc_id", "row", "text_sha256", "norm").mapInArrow(whole, shape)
-    if not docs.where(size > huge).take(1):
+    if not huge_texts:
         return short
     pieces = docs.where(size > huge).select("doc_id", "row", "text_sha256", "norm", F.explode(F.sequence(F.lit(0), F.floor((size - 1) / huge).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "row", "text_sha256", "piece", F.expr(f"substring(norm, piece * {huge} + 1, {huge})").alias("norm"))
@@ -139,35 +142,38 @@ def equal_groups(docs: DataFrame, make=Polynomial, huge: int = HUGE) -> DataFram
     fingerprint repeats.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    marks = durable(fingerprints(texts.withColumn("row", F.monotonically_increasing_id()), make, huge), "fingerprints")
-    repeated = marks.groupBy("fp", "n_bytes").agg(F.count("*").alias("members")).where("members > 1")
-    wanted = durable(marks.join(repeated, ["fp", "n_bytes"]).groupBy("text_sha256", "fp", "n_bytes").agg(F.max("members").alias("members")), "repeated")
-    if (n := wanted.count()) == 0:
-        classes = wanted.select("text_sha256", "fp", "n_bytes", F.lit(0).alias("class"))
-    else:
-        again = texts.join(small_side(wanted, n), "text_sha256")
-        salted = again.withColumn("salt", F.when(F.col("members") > GROUP_ROWS, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("members") / GROUP_ROWS))).otherwise(F.lit(0)).cast("long"))
+    # Normalising never lengthens a text, so the raw bytes tell without it that none is huge.
+    huge_texts = bool(docs.where(F.octet_length(F.col("text").cast("string")) > huge).take(1))
+    marks = durable(fingerprints(texts.withColumn("row", F.monotonically_increasing_id()), make, huge, huge_texts), "fingerprints")
+    repeated = durable(marks.groupBy("fp", "n_bytes").agg(F.count("*").alias("members")).where("members > 1"), "members")
+    wanted = durable(spread_join(marks, repeated, ["fp", "n_bytes"], "members", "row").groupBy("text_sha256", "fp", "n_bytes").agg(F.max("members").alias("members"), F.count("*").alias("same")), "repeated")
+    if wanted.take(1):
+        again = texts.withColumn("row", F.monotonically_increasing_id())
+        n = wanted.count()
+        again = again.join(F.broadcast(wanted), "text_sha256") if n <= BROADCAST_ROWS else spread_join(again, wanted, ["text_sha256"], "same", "row")
+        salted = again.withColumn("salt", F.when(F.col("members") > GROUP_ROWS, F.pmod(F.xxhash64("row"), F.ceil(F.col("members") / GROUP_ROWS))).otherwise(F.lit(0)).cast("long"))
         keys, shape = ["fp", "n_bytes", "salt"], "fp long, n_bytes long, text_sha256 string, class int, norm string"
         local = salted.select(*keys, "text_sha256", "norm").repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare("salt"), shape)
         # One text of each class of each part remains; these meet again, by fingerprint alone.
         leaders = local.where("norm is not null").drop("class")
         classes = leaders.repartition("fp", "n_bytes").sortWithinPartitions("fp", "n_bytes", "text_sha256").mapInArrow(_compare("none"), shape).groupBy("text_sha256", "fp", "n_bytes").agg(F.max("class").alias("class"))
+    else:
+        classes = wanted.select("text_sha256", "fp", "n_bytes", F.lit(0).alias("class"))
     apart = durable(classes.where("class > 0").select("text_sha256", "class"), "collisions")
     marks = marks.join(small_side(apart), "text_sha256", "left").withColumn("class", F.coalesce("class", F.lit(0)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    groups = marks.groupBy("fp", "n_bytes", "class").agg(first, F.count("*").alias("group_size"))
-    out = marks.join(groups, ["fp", "n_bytes", "class"])
+    groups = durable(marks.groupBy("fp", "n_bytes", "class").agg(first, F.count("*").alias("group_size")), "groups")
+    out = spread_join(marks, groups, ["fp", "n_bytes", "class"], "group_size", "row")
     return out.select("doc_id", "row", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256", "n_bytes")
 
 
 def drop_copies(docs: DataFrame, make=Polynomial) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of repeated rows of one id, one stays."""
-    groups = durable(equal_groups(docs, make).where("not kept").select(F.col("doc_id").alias("_id"), "keep_id", F.col("text_sha256").alias("_sha")), "dropped")
-    again = F.col("_id").eqNullSafe(F.col("keep_id"))
-    gone = groups.where(~again).select("_id", "_sha").distinct()
-    marked = docs.withColumns({"_sha": F.sha2(normalised(), 256), "_id": F.col("doc_id").cast("long")})
-    gone = small_side(gone.withColumnsRenamed({"_id": "_gone", "_sha": "_sha2"}))
-    kept = marked.join(gone, marked["_id"].eqNullSafe(gone["_gone"]) & (marked["_sha"] == gone["_sha2"]), "left_anti")
+    groups = durable(equal_groups(docs, make).where("not kept").select("doc_id", "keep_id", "text_sha256"), "dropped")
+    again = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    gone = small_side(groups.where(~again).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct())
+    marked = wrapped(docs, F.sha2(normalised(), 256).alias("sha")).drop("text")
+    kept = marked.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("sha") == F.col("gone_sha")), "left_anti")
     if groups.where(again).take(1):
-        kept = kept.dropDuplicates(["_id", "_sha"])
-    return kept.drop("_id", "_sha")
+        kept = kept.dropDuplicates(["doc_id", "sha"])
+    return unwrapped(kept, docs.columns)

@@ -7,9 +7,10 @@ one block.  Every shard has its own BK-tree (children keyed by the integer
 Hamming distance to the parent); the queries of a shard follow only edges
 within the radius.  Handing every tree to every executor would grow with the
 data, so trees stay with the fingerprints that can match them.  A shard of any
-size is cut into trees of bounded size, and each such tree meets every part of
-its shard.  What a task finds leaves it as a spanning forest, never as all
-pairs; an alternating star contraction joins the forests into components.
+size is cut into parts of bounded size: each is a tree, and each pair of parts
+is a piece of work of its own, one part the tree and the other its queries.
+What a task finds leaves it as a spanning forest, never as all pairs; an
+alternating star contraction joins the forests into components.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any
 other; fewer words than a shingle make one shingle of all words; repeated
@@ -20,7 +21,6 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_side
+from .common import durable, release, small_side, spread_join
 
 #: Fingerprints in one BK-tree.
 TREE_ROWS = 16_384
@@ -125,19 +125,19 @@ def _links(radius: int, step: int = 2048):
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        shard, value, tree = (rows.column(c).to_numpy() for c in ("shard", "fingerprint", "tree"))
+        shard, value, tree, query = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "fingerprint", "tree", "query"))
         value = value.view(np.uint64)
-        order = np.argsort(shard, kind="stable")
-        shard, value, tree = shard[order], value[order], tree[order]
         distinct = np.unique(value)
         place = np.searchsorted(distinct, value)
         label = np.arange(len(distinct))
-        inside = np.flatnonzero(tree)
+        inside, asked = np.flatnonzero(tree), np.flatnonzero(query)
         forest = Forest(value[inside], shard[inside])
-        roots = np.array([forest.root_of[x] for x in shard.tolist()], np.int64)
-        for i in range(0, len(value), step):
-            for query, node in forest.within(value[i : i + step], roots[i : i + step], radius):
-                label = _merge(label, place[query + i], place[inside[node]])
+        # A hash may leave one side of a pair of parts empty.
+        asked = asked[np.isin(shard[asked], shard[inside])]
+        roots = np.array([forest.root_of[x] for x in shard[asked].tolist()], np.int64)
+        for i in range(0, len(asked), step):
+            for which, node in forest.within(value[asked[i : i + step]], roots[i : i + step], radius):
+                label = _merge(label, place[asked[which + i]], place[inside[node]])
         moved = np.flatnonzero(label != np.arange(len(label)))
         yield pa.RecordBatch.from_arrays([pa.array(distinct[moved].view(np.int64)), pa.array(distinct[label[moved]].view(np.int64))], ["a", "b"])
 
@@ -150,22 +150,22 @@ def block_masks(radius: int) -> list[int]:
     return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-def links(marks: DataFrame, radius: int = 2, tree_rows: int = TREE_ROWS, masks: list[int] | None = None) -> DataFrame:
-    """Edges (a, b) whose components are those of all distinct fingerprints within the radius that agree on the bits of a mask."""
-    signed = [x - (1 << 64) if x >> 63 else x for x in masks or block_masks(radius)]
+def links(marks: DataFrame, radius: int = 2, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Edges (a, b) whose components are those of all distinct fingerprints within the radius."""
+    signed = [x - (1 << 64) if x >> 63 else x for x in block_masks(radius)]
     parts = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fingerprint").bitwiseAND(F.lit(x).cast("long")).alias("v")) for i, x in enumerate(signed)))
     routed = marks.select("fingerprint").distinct().select("fingerprint", F.explode(parts).alias("b")).select("fingerprint", "b.i", "b.v")
     routed = durable(routed, "routed")
     sizes = routed.groupBy("i", "v").agg(F.count("*").alias("members")).where("members > 1")
     sizes = durable(sizes.withColumn("parts", F.ceil(F.col("members") / tree_rows).cast("int")), "shards")
-    total, many = sizes.agg(F.coalesce(F.sum(F.col("members") * F.col("parts")), F.lit(0)), F.coalesce(F.max("parts"), F.lit(1))).first()
+    total = sizes.agg(F.coalesce(F.sum(F.col("members") * F.col("parts")), F.lit(0))).first()[0]
     if not total:
         return marks.select(F.col("fingerprint").alias("a"), F.col("fingerprint").alias("b")).limit(0)
-    held = routed.join(sizes, ["i", "v"])
-    # A shard of several parts: part t of it is a tree, which the shard's other parts query.
-    held = held.withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int"))
-    held = held.withColumn("t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))) if many > 1 else held.withColumn("t", F.lit(0))
-    held = held.where("part >= t").select(F.xxhash64("i", "v", "t").alias("shard"), "fingerprint", (F.col("part") == F.col("t")).cast("int").alias("tree"))
+    held = spread_join(routed, sizes, ["i", "v"], "members", "fingerprint")
+    # A shard of several parts: every pair of parts is a piece of work, the lower part its tree, the upper one its queries.
+    held = held.withColumn("part", F.pmod(F.xxhash64("fingerprint"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    low, high = F.least("part", "other"), F.greatest("part", "other")
+    held = held.select(F.xxhash64("i", "v", low, high).alias("shard"), "fingerprint", (F.col("part") == low).alias("tree"), (F.col("part") == high).alias("query"))
     return held.repartition(max(12, -(-total // TASK_ROWS)), "shard").mapInArrow(_links(radius), "a long, b long")
 
 
@@ -189,213 +189,26 @@ def components(edges: DataFrame) -> DataFrame:
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last or not state[0]:
             break
-        last = state
+        last, before = state, pairs
         pairs = durable(star(star(pairs, True), False), "edges")
+        release(before)
     roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _placed(marks: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fingerprint, low, rows, root): each distinct fingerprint, its smallest id, its rows and its component."""
-    distinct = marks.groupBy("fingerprint").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows"))
-    nodes = durable(components(edges), "components")
-    return distinct.join(small_side(nodes), distinct["fingerprint"] == nodes["node"], "left").select("fingerprint", "low", "rows", F.coalesce("root", "fingerprint").alias("root"))
+def grouped(marks: DataFrame, radius: int = 2, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """(row, doc_id, fingerprint, component_id, first_row) of each of ``marks`` (row, doc_id, fingerprint); the smallest id, and its row, name the component."""
+    nodes = durable(components(links(marks, radius, tree_rows)), "components")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    distinct = marks.groupBy("fingerprint").agg(first, F.count("*").alias("rows"))
+    placed = distinct.join(small_side(nodes), distinct["fingerprint"] == nodes["node"], "left").select("fingerprint", "first", "rows", F.coalesce("root", "fingerprint").alias("root"))
+    placed = durable(placed, "placed")
+    linked = placed.groupBy("root").agg(F.min("first").alias("lowest"), F.count("*").alias("prints"))
+    names = durable(spread_join(placed, linked, ["root"], "prints", "fingerprint").select("fingerprint", "rows", "lowest"), "names")
+    return spread_join(marks, names, ["fingerprint"], "rows", "row").select("row", "doc_id", "fingerprint", F.col("lowest.doc_id").alias("component_id"), F.col("lowest.row").alias("first_row"))
 
 
 def near_groups(docs: DataFrame, words: int = 3, radius: int = 2, tree_rows: int = TREE_ROWS) -> DataFrame:
     """(doc_id, fingerprint as long, component_id) of each row of ``docs`` (doc_id, text)."""
-    marks = durable(fingerprints(docs, words), "simhash")
-    placed = _placed(marks, links(marks, radius, tree_rows))
-    linked = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    names = placed.join(linked, "root").select("fingerprint", "component_id")
-    return marks.join(names, "fingerprint").select("doc_id", "fingerprint", "component_id")
-
-
-#: Documents, on either side of the pairs that one task compares, whose shingles it holds.
-GROUP_ROWS = 1500
-#: Documents whose shingles are counted to tell common ones, and the most of them that are told.
-SAMPLE_ROWS, COMMON_ROWS = 10_000, 50_000
-#: Shingles of prefixes that one task holds.
-PREFIX_ROWS = 500_000
-
-
-def _shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of a text."""
-    found = (text or "").encode().lower().split()
-    n = max(1, len(found) - words + 1)
-    return np.unique(np.frombuffer(b"".join(xxhash.xxh64_digest(b" ".join(found[i : i + words])) for i in range(n)), np.uint64))
-
-
-def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles, as longs, that several documents of a sample have, and in how many they stand."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [_shingles(x, words) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *held]).view(np.int64))], ["token"])
-
-    every = max(1, texts.count() // SAMPLE_ROWS)
-    seen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("text").mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n"))
-    held = seen.where("n > 2").orderBy(F.desc("n"), "token").limit(COMMON_ROWS).toArrow()
-    token, n = held.column("token").to_numpy(), held.column("n").to_numpy()
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def _prefixes(words: int, similarity: float, common: np.ndarray, times: np.ndarray):
-    """The first shingles of each text, rare ones first: so many that two texts alike in ``similarity`` share one of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, sizes, many = [np.empty(0, np.int64)], [], []
-            for text in batch.column("text").to_pylist():
-                held = _shingles(text, words).view(np.int64)
-                rank = np.zeros(len(held), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, held), len(common) - 1)
-                    rank = np.where(common[at] == held, times[at], 0)
-                first = np.lexsort((held, rank))[: len(held) - math.ceil(similarity * len(held) - 1e-9) + 1]
-                tokens.append(held[first])
-                sizes.append(len(held))
-                many.append(len(first))
-            many = np.array(many, np.int64)
-            ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64), many)
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(tokens), ids, np.repeat(np.array(sizes, np.int64), many))], ["token", "doc_id", "size"])
-
-    return run
-
-
-def _sorted(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> list[np.ndarray]:
-    """Columns of a task's rows, by token, size and id."""
-    held = [x for x in batches if x.num_rows]
-    if not held:
-        return [np.empty(0, np.int64) for _ in names]
-    rows = pa.Table.from_batches(held)
-    columns = {c: rows.column(c).to_numpy() for c in names}
-    order = np.lexsort((columns["doc_id"], columns["size"], columns["token"]))
-    return [columns[c][order] for c in names]
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows whose shingle others have too."""
-    token, ids, size = _sorted(batches, ("token", "doc_id", "size"))
-    follows = np.concatenate([[False], token[1:] == token[:-1]])[: len(token)]
-    keep = follows | np.concatenate([follows[1:], [False]])[: len(token)]
-    yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, ids, size)], ["token", "doc_id", "size"])
-
-
-def _pairs(similarity: float, steps: int = 0):
-    """(a, b, need): pairs of one shingle whose classes differ and whose sizes allow them to be alike; of ``steps`` places apart at most, if given.
-
-    What two texts share lies in both prefixes, or behind the prefix that ends first; so texts
-    alike share ``need`` shingles of their prefixes at least.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, ids, size, kind = _sorted(batches, ("token", "doc_id", "size", "kind"))
-        left, step = np.arange(len(token)), 0
-        while len(left) and (not steps or step < steps):
-            step += 1
-            left = left[left + step < len(token)]
-            left = left[(token[left] == token[left + step]) & (size[left] >= similarity * size[left + step] - 1e-9)]
-            one = left[kind[left] != kind[left + step]]
-            two = one + step
-            for k in range(0, len(one), BLOCK):
-                x, y = one[k : k + BLOCK], two[k : k + BLOCK]
-                need = similarity / (1 + similarity) * (size[x] + size[y]) - np.ceil(similarity * size[y] - 1e-9) + 1 - 1e-6
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(need)], ["a", "b", "need"])
-
-    return run
-
-
-def _alike(similarity: float):
-    """Of the pairs of two blocks: a spanning forest of those alike by their shingle sets."""
-    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(pairs: pa.Table, held: pa.Table) -> pa.Table:
-        sets: dict[int, list[np.ndarray]] = {}
-        for i, x in zip(held.column("doc_id").to_pylist(), held.column("shingles").to_pylist(), strict=True):
-            sets.setdefault(i, []).append(np.frombuffer(x, np.uint64))
-
-        def alike(x: np.ndarray, y: np.ndarray) -> bool:
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                return False
-            same = len(np.intersect1d(x, y, assume_unique=True))
-            return same >= similarity * (len(x) + len(y) - same)
-
-        above: dict[int, int] = {}
-
-        def top(i: int) -> int:
-            while (j := above.get(i, i)) != i:
-                above[i] = i = above.get(j, j)
-            return i
-
-        out = []
-        for a, b in sorted(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), strict=True)):
-            # What is already one class needs no comparison.
-            if (x := top(a)) != (y := top(b)) and any(alike(s, t) for s in sets[a] for t in sets[b]):
-                above[max(x, y)] = min(x, y)
-                out.append((a, b))
-        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], schema=shape)
-
-    return run
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Edges (a, b) whose components are those of all ``pairs`` that are alike.
-
-    Documents are dealt over blocks, and each pair goes to the task of its two blocks with the shingles of both.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [_shingles(x, words).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(held, pa.binary())], ["doc_id", "shingles"])
-
-    pairs = durable(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "pairs")
-    ids = durable(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "paired")
-    n = ids.count()
-    sets = durable(texts.join(small_side(ids, n), F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(run, "doc_id long, shingles binary"), "shingles")
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-n // GROUP_ROWS)))).alias("i" if c == "a" else "j")
-    dealt = pairs.select("a", "b", block("a"), block("b"))
-    needs = dealt.select("i", "j", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = needs.join(sets, "doc_id").select(F.col("i").alias("p"), F.col("j").alias("q"), "doc_id", "shingles")
-    return durable(dealt.groupBy("i", "j").cogroup(held.groupBy("p", "q")).applyInArrow(_alike(similarity), "a long, b long"), "verified")
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
-    """(doc_id, group): the documents that are in a group with others, by word shingles alike in ``similarity`` of both.
-
-    Groups are the components of all pairs alike.  Texts alike share one of their first shingles
-    in any order that holds for all (a prefix filter), so all candidates meet there.  Two rounds keep
-    large groups from making all their pairs: the first compares each SimHash component (within
-    ``radius``) with its smallest id, and neighbours among the texts of a shingle; the second
-    compares the candidates whose classes still differ.  Every link is a comparison of whole shingle sets.
-    ``radius`` and the sample that tells common shingles change the work, not the result.
-    Rows without an id have no group; an id that stands more than once links by any of its texts.
-    """
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prefixes = texts.mapInArrow(_prefixes(words, similarity, *_common(texts, words)), "token long, doc_id long, size long")
-    letters = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(12, int(letters * (1 - similarity) / 6 // PREFIX_ROWS))
-    shared = durable(prefixes.repartition(parts, "token").mapInArrow(_shared, "token long, doc_id long, size long"), "shared")
-    parts = max(12, shared.count() // PREFIX_ROWS)
-
-    def pairs(rows: DataFrame, share: float, steps: int = 0) -> DataFrame:
-        found = rows.select("token", "doc_id", "size", "kind").repartition(parts, "token").mapInArrow(_pairs(similarity, steps), "a long, b long, need double")
-        return found.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need")).where(F.col("n") >= share * F.col("need")).select("a", "b")
-
-    near = near_groups(texts, radius=radius).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
-    first = _verified(texts, near.unionByName(pairs(shared.withColumn("kind", F.col("doc_id")), 0.25, 1)), words, similarity)
-    kinds = durable(components(first).select(F.col("node").alias("doc_id"), F.col("root").alias("kind")), "classes")
-    told = shared.join(small_side(kinds), "doc_id", "left").withColumn("kind", F.coalesce("kind", "doc_id"))
-    nodes = components(first.unionByName(_verified(texts, pairs(told, 1.0), words, similarity)))
-    low = nodes.groupBy("root").agg(F.min("node").alias("group"))
-    return nodes.join(low, "root").select(F.col("node").alias("doc_id"), "group")
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without those of ids that are near copies of a smaller id, with all their columns."""
-    gone = durable(similar_groups(docs, words, similarity, radius).where("doc_id <> group").select(F.col("doc_id").alias("_gone")).distinct(), "near")
-    marked = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return marked.join(small_side(gone), F.col("_id") == F.col("_gone"), "left_anti").drop("_id")
+    marks = durable(fingerprints(docs, words).withColumn("row", F.monotonically_increasing_id()), "simhash")
+    return grouped(marks, radius, tree_rows).select("doc_id", "fingerprint", "component_id")

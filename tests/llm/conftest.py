@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row int, score double, shard int"
+SCHEMA = (
+    "doc_id long, text string, lang string, source string, n_chars long, row int, score double, shard int, "
+    "`_id` int, `_sha` string, sha string, `_source` string, `_size` int, `_copies` int, record string, size int, `a.b` int, tags map<string,int>"
+)
 
 
 def words(rng, n):
@@ -22,9 +25,9 @@ def odd_rows():
         copy[10 + i * 20] = "changed"
         texts.append(" ".join(copy))
     texts += ["same text again and again"] * 12
-    rows = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else f"src{i % 4}", 0, 1, 0.5, 3) for i, t in enumerate(texts)]
-    rows.append((None, "no id here", None, None, None, None, None, None))
-    rows.append((7, texts[7], "en", "src3", 0, 1, 0.5, 3))  # a row that is there already
+    rows = [(i, t, "en" if i % 3 else None, None if i % 5 == 0 else f"src{i % 4}", 0, 1, 0.5, 3, i, "x", "y", "z", 1, 2, "r", 5, 6, {"k": i}) for i, t in enumerate(texts)]
+    rows.append((None, "no id here", *[None] * 16))
+    rows.append((7, texts[7], "en", "src3", 0, 1, 0.5, 3, 7, "x", "y", "z", 1, 2, "r", 5, 6, {"k": 7}))  # a row that is there already
     return rows
 
 

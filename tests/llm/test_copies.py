@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from arealmap.llm import exact_dedup, simhash, suffix_dedup
+from arealmap.llm import exact_dedup, near_copies, simhash, suffix_dedup
 
 
 def normal(text):
@@ -102,20 +103,30 @@ def test_tree_finds_all_within():
     assert got == {(i, j) for i in range(len(values)) for j in range(len(values)) if shards[i] == shards[j] and bin(int(values[i] ^ values[j])).count("1") <= 4}
 
 
-def test_drop_near_copies(odd, empty):
-    rows = odd.where("doc_id is not null").collect()
-    kept = simhash.drop_near_copies(odd)
-    assert kept.columns == odd.columns
-    left = {x.doc_id for x in kept.collect()}
-    shingles = {x.doc_id: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for x in rows for w in [(x.text or "").lower().split()]}
-    alike = lambda a, b: len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b])
-    for i in shingles:
-        partners = [j for j in shingles if j != i and alike(i, j)]
-        assert (i in left) or partners
-        assert i in left or any(j < i for j in partners)
-    near = sorted(i for i in shingles if any(j != i and alike(i, j) for j in shingles))
-    assert len(near) > 10 and not any(alike(a, b) for a in left & set(near) for b in left & set(near) if a < b)
-    assert simhash.drop_near_copies(empty).count() == 0 == simhash.near_groups(empty).count()
+def order_of(row):
+    return (row.doc_id is None, row.doc_id or 0, hashlib.sha256((row.text or "").encode()).hexdigest())
+
+
+def near_by_hand(rows, words=5, similarity=0.8):
+    """The rows that stay, by all pairs: the first of each component."""
+    rows = sorted(rows, key=order_of)
+    label = alike_by_hand([(i, x.text) for i, x in enumerate(rows)], words, similarity)
+    return [x for i, x in enumerate(rows) if label[i] == i]
+
+
+@pytest.mark.parametrize("block, group", [(20_000, 1500), (1, 2)])
+def test_drop_near_copies(odd, empty, block, group, monkeypatch):
+    """Row by row, with rows that have no id or share one; also with every shingle cut into blocks."""
+    monkeypatch.setattr(near_copies, "BLOCK_ROWS", block)
+    monkeypatch.setattr(near_copies, "BUCKETS", 1 << 30 if block == 1 else 1 << 16)
+    monkeypatch.setattr(near_copies, "GROUP_ROWS", group)
+    more = odd.where("doc_id in (12, 13, 40)").withColumn("doc_id", F.lit(None).cast("long")).unionByName(odd.where("doc_id = 20").withColumn("doc_id", F.lit(21).cast("long")))
+    docs = odd.unionByName(more)
+    kept = near_copies.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    shown = lambda rows: sorted(map(str, rows))
+    assert shown(kept.collect()) == shown(near_by_hand(docs.collect()))
+    assert near_copies.drop_near_copies(empty).count() == 0 == simhash.near_groups(empty).count()
 
 
 def test_repeated_strings():
@@ -168,7 +179,7 @@ def alike_by_hand(rows, words=5, similarity=0.8):
 
 def test_similar_groups_beyond_a_block(spark, monkeypatch):
     """Families in which each text is alike only to its neighbours, spread over many blocks."""
-    monkeypatch.setattr(simhash, "GROUP_ROWS", 3)
+    monkeypatch.setattr(near_copies, "GROUP_ROWS", 3)
     rng, rows = np.random.default_rng(8), []
     for family in range(4):
         text = [f"f{family}w{i}" for i in range(120)]
@@ -180,8 +191,8 @@ def test_similar_groups_beyond_a_block(spark, monkeypatch):
     rows = [(int(i), t) for i, (_, t) in zip(rng.permutation(len(rows)), rows, strict=True)]
     want = alike_by_hand(rows)
     assert len(set(want.values())) < 30 < len(want)
-    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: x.group for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
+    found = near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.first_id for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
 
 
 def test_similar_groups_at_the_threshold(spark):
@@ -200,5 +211,5 @@ def test_similar_groups_at_the_threshold(spark):
     rows = list(enumerate(rows))
     want = alike_by_hand(rows)
     assert len(set(want.values())) == 70
-    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {x.doc_id: x.group for x in found} == want
+    found = near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.first_id for x in found} == want

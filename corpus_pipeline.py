@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arealmap.llm import bpe, exact_dedup, mixing, quality, simhash
+from arealmap.llm import bpe, exact_dedup, mixing, near_copies, quality
 from arealmap.llm.common import durable, table
 from arealmap.llm.queries import tokenizer_path
 
@@ -25,7 +25,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of texts alike in 0.8 of their five-word shingles."""
-    return simhash.drop_near_copies(docs, words=5, similarity=0.8)
+    return near_copies.drop_near_copies(docs, words=5, similarity=0.8)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

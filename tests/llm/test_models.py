@@ -180,18 +180,39 @@ def test_neighbours_recall(spark):
     assert np.mean([len(set(found[q]) & set(neighbours(rows, q, 10))) / 10 for q in found]) >= 0.9
 
 
-def test_index_finds_every_code_within():
-    codes = np.random.default_rng(2).integers(0, 2**40, 3000, dtype=np.uint64)
-    index = ann.Index(codes, 40)
-    for radius in (0, 3, 11, 17):
-        assert set(index.within(codes[5], radius)) == set(np.flatnonzero(np.bitwise_count(codes ^ codes[5]) <= radius))
+@pytest.mark.parametrize("bits, substring", [(40, 16), (64, 16), (24, 7)])
+def test_index_finds_every_code_within(bits, substring):
+    codes = np.random.default_rng(2).integers(0, 1 << bits, 3000, dtype=np.uint64)
+    index = ann.Index(codes, bits, substring)
+    for k, margin in ((1, 0), (5, 3), (40, 0), (3000, 0), (4000, 2)):
+        apart = np.bitwise_count(codes ^ codes[5]).astype(int)
+        within = np.sort(apart)[min(k, 3000) - 1] + margin
+        found, _ = index.search(codes[5], k, margin)
+        assert set(found) == set(np.flatnonzero(apart <= within))
+
+
+def test_probes_touch_few_rows_of_clustered_data():
+    """What the tables' probes touch stays far below the shard, and the neighbours are among the found."""
+    rng = np.random.default_rng(3)
+    rows = rng.standard_normal((400, 48))[rng.integers(0, 400, 16_000)] + 0.08 * rng.standard_normal((16_000, 48))
+    coder = ann.learn(rows[:8000])
+    index = ann.Index(coder.codes(rows), coder.bits)
+    touched, hits = [], []
+    for i in range(0, 16_000, 160):
+        found, n = index.search(coder.codes(rows[i : i + 1])[0], 11, coder.margin)
+        d = ann.distances(rows[i], rows)
+        touched.append(n / len(rows))
+        hits.append(np.isin(np.argsort(d)[1:11], found).mean())
+    assert np.mean(touched) < 0.1 and np.mean(hits) >= 0.9
 
 
 def test_neighbours_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0, None]), (5, [1.0, 0.0]), (6, [0.0, 2.0]), (7, [float("inf"), 0.0]), (8, []), (9, [1.0, 2.0, 3.0]), (100, [1.0, 0.0]), (100, [1.0, 0.0]), (None, [1.0, 1.0])]
-    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = spark.createDataFrame([(*x, 1, 2.0, 3, 4) for x in rows], "vec_id long, embedding array<float>, row int, score double, shard int, query_id int")
     found = sorted(map(tuple, ann.nearest(vectors, F.col("vec_id") % 100 == 0).collect()))
-    assert [x[:3] for x in found] == [(0, 1, 5), (0, 2, 100), (0, 3, 6), (100, 1, 0), (100, 2, 5), (100, 3, 6)]
+    # Each of the two rows of id 100 is a query, and the other's candidate.
+    wanted = [(0, 1, 5), (0, 2, 100), (0, 3, 100), (0, 4, 6)] + 2 * [(100, 1, 0), (100, 2, 5), (100, 3, 100), (100, 4, 6)]
+    assert [x[:3] for x in found] == sorted(wanted)
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 100 == 0).count() == 0
 
 

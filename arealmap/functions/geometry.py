@@ -143,6 +143,49 @@ SYMBOLS = {
 }
 
 
+def tile_symbol(pts: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    """Any outline as a unit symbol: its centroid in the origin, its farthest corner half a unit away."""
+    pts = [tuple(p) for p in pts]
+    pts = pts[:-1] if pts[0] == pts[-1] else pts
+    crossed = [(x0 * y1 - x1 * y0, x0 + x1, y0 + y1) for (x0, y0), (x1, y1) in zip(pts, pts[1:] + pts[:1], strict=True)]
+    twice = sum(c for c, _, _ in crossed)
+    if abs(twice) < 1e-12:
+        raise ValueError("the outline has no area")
+    cx, cy = sum(c * x for c, x, _ in crossed) / (3 * twice), sum(c * y for c, _, y in crossed) / (3 * twice)
+    far = max(math.hypot(x - cx, y - cy) for x, y in pts)
+    return [((x - cx) / far / 2, (y - cy) / far / 2) for x, y in pts]
+
+
+def transformed_symbol(name: str, rotation: float = 0.0, reflection: bool = False) -> list[tuple[float, float]]:
+    """A known symbol mirrored about the vertical axis, if asked, then turned by degrees; it counts as a shape of its own when fitted."""
+    c, s = math.cos(math.radians(rotation)), math.sin(math.radians(rotation))
+    return [(x * c - y * s, x * s + y * c) for x, y in ((-x if reflection else x, y) for x, y in SYMBOLS[name])]
+
+
+def add_symbol(name: str, pts: list[tuple[float, float]]) -> str:
+    """Make an outline known under a name, for layouts and styles."""
+    if name in SYMBOLS and SYMBOLS[name] != pts:
+        raise ValueError(f"the symbol {name!r} is there already")
+    SYMBOLS[name] = pts
+    return name
+
+
+def bounding_radius(name: str) -> float:
+    return max(math.hypot(x, y) for x, y in SYMBOLS[name])
+
+
+def inscribed_radius(name: str) -> float:
+    """Distance of the origin to the outline."""
+    pts = SYMBOLS[name]
+
+    def away(a, b):
+        (x, y), (u, v) = a, (b[0] - a[0], b[1] - a[1])
+        t = min(1.0, max(0.0, -(x * u + y * v) / ((u * u + v * v) or 1.0)))
+        return math.hypot(x + t * u, y + t * v)
+
+    return min(away(a, b) for a, b in zip(pts, pts[1:] + pts[:1], strict=True))
+
+
 def symbol_points(name: str) -> Column:
     """A unit symbol as a closed ring."""
     if name not in SYMBOLS:

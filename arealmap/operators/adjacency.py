@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import re
 import uuid
 
 import numpy as np
@@ -10,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..kernels.planar import boundary_within
 from .measure import per_map
 
-#: Grid cells per mean region side that bounding boxes are put in.
-CELLS = 1.0
+#: Cells of the finest grid are this many mean region sides wide.
+WIDTH = 2.0
 
 
 def default_tolerance(regions: DataFrame) -> float:
@@ -21,36 +24,50 @@ def default_tolerance(regions: DataFrame) -> float:
     return 0.001 * (regions.agg(F.avg(F.sqrt(G.area(F.col("geom"))))).first()[0] or 0.0)
 
 
-def candidate_pairs(regions: DataFrame, tolerance: float) -> DataFrame:
-    """(i, j, gi, gj) of regions, i < j, whose bounding boxes come within the tolerance.
+def near_boxes(boxes: DataFrame, tolerance: float) -> DataFrame:
+    """(i, j, a, b) of boxes (region_id, b), i < j, that come within the tolerance of each other, with their bounds.
 
-    Boxes are put in the cells they overlap of a grid of the mean region's size; equal cells join,
-    and a pair is kept in the cell of the lower left corner of the overlap alone, so none repeats.
+    A box goes by its size to one of several levels of a grid, each twice as coarse as the one below, and
+    covers few cells there however large it is.  It is looked for in the cells of its own and all coarser
+    levels, and a pair is kept in the cell of the lower left corner of the overlap alone, so none repeats.
     """
-    held = regions.select("region_id", "geom", G.bounds(F.col("geom")).alias("b"))
-    side = held.agg(F.greatest(F.avg(F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin"))), F.lit(1e-12))).first()[0] or 1.0
-    cell, half = side / CELLS, tolerance / 2
-    grown = held.withColumns({"x0": F.col("b.xmin") - half, "y0": F.col("b.ymin") - half, "x1": F.col("b.xmax") + half, "y1": F.col("b.ymax") + half}).drop("b")
-    put = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    cells = grown.withColumn("kx", put("x0", "x1")).withColumn("ky", put("y0", "y1"))
-    other = cells.select("kx", "ky", *(F.col(c).alias(c + "_") for c in ("region_id", "geom", "x0", "y0", "x1", "y1")))
-    met = cells.join(other, ["kx", "ky"]).where("region_id < region_id_ and x0 <= x1_ and x0_ <= x1 and y0 <= y1_ and y0_ <= y1")
-    first = (F.floor(F.greatest("x0", "x0_") / cell) == F.col("kx")) & (F.floor(F.greatest("y0", "y0_") / cell) == F.col("ky"))
-    return met.where(first).select(F.col("region_id").alias("i"), F.col("region_id_").alias("j"), F.col("geom").alias("gi"), F.col("geom_").alias("gj"))
+    held = boxes.select("region_id", "b", F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin")).alias("side"))
+    mean, most = held.agg(F.avg("side"), F.max("side")).first()
+    cell, half = max(mean or 0.0, tolerance, 1e-12) * WIDTH, tolerance / 2
+    top = max(0, math.ceil(math.log2(max((most or 0.0) / cell, 1.0))))
+    level = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.greatest(F.col("side"), F.lit(cell)) / cell)))).cast("int")
+    grown = held.select("region_id", "b", level.alias("level"), *((F.col(f"b.{c}") + F.lit(s * half)).alias(n) for c, s, n in (("xmin", -1, "x0"), ("ymin", -1, "y0"), ("xmax", 1, "x1"), ("ymax", 1, "y1"))))
+    width = lambda c: F.pow(F.lit(2.0), F.col(c)) * cell
+    put = lambda df, at: df.withColumn("kx", F.explode(F.sequence(F.floor(F.col("x0") / width(at)), F.floor(F.col("x1") / width(at))))).withColumn("ky", F.explode(F.sequence(F.floor(F.col("y0") / width(at)), F.floor(F.col("y1") / width(at)))))
+    homes = put(grown.withColumn("at", F.col("level")), "at")
+    asked = put(grown.withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(top)))) if top else grown.withColumn("at", F.col("level")), "at")
+    other = homes.select("at", "kx", "ky", *(F.col(c).alias(c + "_") for c in ("region_id", "b", "level", "x0", "y0", "x1", "y1")))
+    # The finer box asks; of two of one level the one with the smaller id.
+    met = asked.join(other, ["at", "kx", "ky"]).where("(level < level_ or region_id < region_id_) and x0 <= x1_ and x0_ <= x1 and y0 <= y1_ and y0_ <= y1")
+    first = (F.floor(F.greatest("x0", "x0_") / width("at")) == F.col("kx")) & (F.floor(F.greatest("y0", "y0_") / width("at")) == F.col("ky"))
+    turned = F.col("region_id") > F.col("region_id_")
+    pick = lambda c: (F.when(turned, F.col(c + "_")).otherwise(F.col(c)), F.when(turned, F.col(c)).otherwise(F.col(c + "_")))
+    (i, j), (a, b) = pick("region_id"), pick("b")
+    return met.where(first).select(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"))
+
+
+def candidate_pairs(regions: DataFrame, tolerance: float) -> DataFrame:
+    """(i, j, gi, gj) of regions, i < j, whose bounding boxes come within the tolerance; shapes join the pairs that are left."""
+    met = near_boxes(regions.select("region_id", G.bounds(F.col("geom")).alias("b")), tolerance).select("i", "j")
+    shape = lambda k, g: regions.select(F.col("region_id").alias(k), F.col("geom").alias(g))
+    return met.join(shape("i", "gi"), "i").join(shape("j", "gj"), "j").select("i", "j", "gi", "gj")
 
 
 def box_pairs(regions: DataFrame, tolerance: float | None = None, min_shared: float | None = None) -> DataFrame:
     """(i, j, shared_len) of axis-aligned boxes, in closed form: an edge of length L counts L + tolerance, a corner the tolerance."""
     tol = default_tolerance(regions) if tolerance is None else tolerance
-    met = candidate_pairs(regions, tol).select("i", "j", G.bounds(F.col("gi")).alias("a"), G.bounds(F.col("gj")).alias("b"))
+    met = near_boxes(regions.select("region_id", G.bounds(F.col("geom")).alias("b")), tol)
     run = lambda lo, hi: F.greatest(F.least(f"a.{hi}", f"b.{hi}") - F.greatest(f"a.{lo}", f"b.{lo}"), F.lit(0.0))
     held = met.select("i", "j", (F.greatest(run("xmin", "xmax"), run("ymin", "ymax")) + tol).alias("shared_len"))
     return held.where(F.col("shared_len") >= (min_shared or 0.0))
 
 
 def _shared(gi: list, gj: list, tol: float) -> np.ndarray:
-    from ..kernels.planar import boundary_within
-
     return np.array([boundary_within(a, b, tol / 2) for a, b in zip(gi, gj, strict=True)], float)
 
 
@@ -90,29 +107,63 @@ def weights(regions: DataFrame, edges: DataFrame, mode: str = "binary") -> DataF
     return held.join(sums, "src").select("src", "dst", (F.col("a") / F.col("s")).alias("weight"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder that the cluster shares; lineage ends there."""
-    spark = df.sparkSession
+def shared_dir(spark) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local session without one gets its own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
     if where is None:
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        if not context._jsc.sc().getCheckpointDir().isDefined():
+            if not re.match(r"local($|\[)", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        return df.checkpoint()
-    path = f"{where.rstrip('/')}/regions-{uuid.uuid4().hex}"
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        where = context._jsc.sc().getCheckpointDir().get()
+    return where.rstrip("/")
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the folder that the cluster shares; lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/regions-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Nodes and edges, counted first, of a graph that one task joins up.
+SMALL_GRAPH = 1_000_000
+
+
+def _joined(batches):
+    """Components of a whole graph: (a, b) rows are edges, rows without b are nodes."""
+    held = pa.Table.from_batches(list(batches))
+    a, b = held.column("a").to_numpy(), held.column("b").to_numpy(zero_copy_only=False)
+    edge = ~np.isnan(b.astype(float))
+    ids = np.unique(a)
+    i, j = np.searchsorted(ids, a[edge]), np.searchsorted(ids, b[edge].astype(np.int64))
+    label = np.arange(len(ids))
+    while (label[i] != label[j]).any():
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["region_id", "component"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(region_id, component): the smallest id reachable over (i, j).
 
-    Each round takes the least label among the neighbours and then that label's own label, so long
-    chains halve; labels are minima, combined within tasks.
+    A graph of one map fits one task.  Larger ones go in rounds: each takes the least label among
+    the neighbours and then that label's own label, so long chains halve; labels are minima,
+    combined within tasks.
     """
     both = edges.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b")))
     both = _kept(both.distinct())
+    kind = dict(nodes.dtypes)["region_id"]
+    if both.count() + nodes.count() <= SMALL_GRAPH:
+        rows = both.selectExpr("cast(a as long) a", "cast(b as long) b").unionByName(nodes.select(F.col("region_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b")))
+        return rows.coalesce(1).mapInArrow(_joined, "region_id long, component long").select(F.col("region_id").cast(kind), F.col("component").cast(kind))
     label, last = _kept(nodes.select("region_id", F.col("region_id").alias("component"))), None
     while True:
         state = label.agg(F.sum("component")).first()[0]

@@ -126,11 +126,22 @@ def localized(cells: DataFrame, seeds: list[tuple], along: float = 2.0, across:
     return tensor(cells, sums[1] / whole + rest, sums[2] / whole, sums[2] / whole, sums[3] / whole + rest)
 
 
+#: Seeds, counted first, that are broadcast as one array.
+LISTED_SEEDS = 4096
+
+
 def nearest_labels(cells: DataFrame, seeds: DataFrame, weighted: bool = False, offset: bool = False) -> DataFrame:
     """``label`` of each cell: the seed of least squared distance, over its weight or less its offset; ties to the smaller id.
 
-    Seeds of one map are few; they are broadcast as one array and each cell scans it where it is.
+    Few seeds are broadcast as one array that each cell scans where it is.  Beyond that, plain
+    distances go by a grid of seeds: rings of buckets round a cell's own are searched until none
+    farther can hold a nearer seed.  Weights and offsets have no such bound and are refused there.
     """
+    n = seeds.count()
+    if n > LISTED_SEEDS:
+        if weighted or offset:
+            raise ValueError(f"weights and offsets are for {LISTED_SEEDS} seeds at most")
+        return _nearest_by_buckets(cells, seeds, n)
     fields = [F.col("site_id").alias("site_id"), F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy")]
     fields.append((F.col("weight").cast("double") if weighted else F.lit(1.0)).alias("w"))
     fields.append((F.col("offset").cast("double") if offset else F.lit(0.0)).alias("o"))
@@ -140,6 +151,29 @@ def nearest_labels(cells: DataFrame, seeds: DataFrame, weighted: bool = False, o
     return cells.join(F.broadcast(listed)).withColumn("label", best["site_id"]).drop("seeds")
 
 
+def _nearest_by_buckets(cells: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
+    """Nearest seeds by equal buckets of about one seed each; cells that find none near enough look in wider buckets."""
+    b = seeds.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    size = max(((b[1] - b[0]) * (b[3] - b[2]) / n) ** 0.5, 1e-12)
+    extent = cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    span = max(b[1], extent[1]) - min(b[0], extent[0]) + max(b[3], extent[3]) - min(b[2], extent[2])
+    left, done = cells, None
+    while True:
+        key = lambda c, d=0: F.floor(F.col(c) / size) + d  # noqa: E731, B023
+        placed = seeds.select("site_id", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy")).withColumns({"kx": key("sx"), "ky": key("sy")})
+        near = left.withColumn("kx", F.explode(F.array(*(key("x", d) for d in (-1, 0, 1))))).withColumn("ky", F.explode(F.array(*(key("y", d) for d in (-1, 0, 1)))))
+        d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
+        best = near.join(placed, ["kx", "ky"]).groupBy("iy", "ix").agg(F.min(F.struct(d2.alias("d"), "site_id")).alias("best"))
+        # Seeds outside the nine buckets are farther than one bucket's side.
+        sure = best.where(F.col("best.d") <= size * size).select("iy", "ix", F.col("best.site_id").alias("label"))
+        found = left.join(sure, ["iy", "ix"])
+        done = found if done is None else done.unionByName(found)
+        left = left.join(sure.select("iy", "ix"), ["iy", "ix"], "left_anti")
+        if size > span or not left.take(1):
+            return done
+        size *= 2
+
+
 def lloyd_step(labelled: DataFrame, seeds: DataFrame, factor: float = 1.0) -> DataFrame:
     """Seeds moved toward the mean of their cells; one without cells stays."""
     means = labelled.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.count("*").alias("n_cells"))
@@ -174,3 +208,14 @@ def velocity_display(cells: DataFrame, skip: int = 1) -> DataFrame:
     top = held.agg(F.max("speed").alias("top"))
     held = held.where((F.col("ix") % skip == 0) & (F.col("iy") % skip == 0)).join(F.broadcast(top))
     return held.withColumns({"magnitude": F.when(F.col("top") > 0, F.col("speed") / F.col("top")).otherwise(F.lit(0.0)), "direction": (F.atan2("vy", "vx") + math.pi) / (2 * math.pi)}).drop("top")
+
+
+def arrows(cells: DataFrame, dx: float, skip: int = 1, scale: float | None = None, reference: float | None = None) -> DataFrame:
+    """(iy, ix, x, y, ux, uy) of every ``skip``-th cell: an arrow of the reference speed (the largest shown) is ``scale`` steps long; without a scale arrows are velocities."""
+    held = cells.where((F.col("ix") % skip == 0) & (F.col("iy") % skip == 0))
+    if scale is None:
+        return held.select("iy", "ix", "x", "y", F.col("vx").alias("ux"), F.col("vy").alias("uy"))
+    top = F.lit(float(reference)) if reference is not None else F.max(F.hypot("vx", "vy"))
+    held = held.join(F.broadcast(held.agg(top.alias("top"))))
+    factor = F.when(F.col("top") > 0, scale * skip * dx / F.col("top")).otherwise(F.lit(1.0))
+    return held.select("iy", "ix", "x", "y", (F.col("vx") * factor).alias("ux"), (F.col("vy") * factor).alias("uy"))

@@ -64,8 +64,8 @@ def region_frames(frames: DataFrame, snapshots: DataFrame, interpolation: str =
     if interpolation == "nearest":
         held = held.withColumn("t", F.round("t"))
     a = snapshots.select(F.col("idx").alias("i0"), "region_id", F.col("geom").alias("ga"))
-    b = snapshots.select((F.col("idx") - 1).alias("i0"), F.col("region_id").alias("r2"), F.col("geom").alias("gb"))
-    both = held.join(a, "i0").join(b, ["i0"], "left").where("r2 is null or r2 = region_id")
+    b = snapshots.select((F.col("idx") - 1).alias("i0"), "region_id", F.col("geom").alias("gb"))
+    both = held.join(a.join(b, ["i0", "region_id"], "left"), "i0")
     ring = F.zip_with(F.col("ga.rings"), F.col("gb.rings"), lambda p, q: F.struct(p["part"].alias("part"), p["sign"].alias("sign"), G.lerp(p["pts"], q["pts"], F.col("t")).alias("pts")))
     geom = F.when(F.col("gb").isNull(), F.col("ga")).otherwise(F.struct(F.col("ga.kind").alias("kind"), ring.alias("rings")))
     return both.select("frame", "region_id", geom.alias("geom"))

@@ -159,3 +159,16 @@ def symbol_size(shape: str, cell_size: float, symbol: str, spacing: float = 0.05
     else:
         most = cell_size
     return most * (1 - spacing)
+
+
+def view_bounds(data: Bounds, spec: str | float | Bounds | None = None) -> Bounds | None:
+    """What a view of a map shows: all (None), the data's own bounds, those with a margin in parts of each side, or given ones."""
+    if spec is None or spec == "data":
+        return data if spec == "data" else None
+    if isinstance(spec, int | float) and not isinstance(spec, bool):
+        x0, y0, x1, y1 = data
+        mx, my = spec * (x1 - x0), spec * (y1 - y0)
+        return x0 - mx, y0 - my, x1 + mx, y1 + my
+    if isinstance(spec, tuple | list) and len(spec) == 4:
+        return tuple(spec)
+    raise ValueError("bounds are None, 'data', a margin or four numbers")

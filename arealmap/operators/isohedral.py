@@ -8,6 +8,7 @@ Types with glide reflections or turns of other orders are not in the table.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass, field
 
@@ -65,6 +66,22 @@ class Isohedral:
     def from_dict(cls, told: dict) -> Isohedral:
         return cls(told["tiling_type"], tuple(map(tuple, told["corners"])), {int(k): tuple(map(tuple, v)) for k, v in told["edge_curves"].items()})
 
+    def save(self, path: str) -> None:
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(self.to_dict(), f)
+
+    @classmethod
+    def load(cls, path: str) -> Isohedral:
+        with open(path, encoding="utf-8") as f:
+            return cls.from_dict(json.load(f))
+
+    def info(self) -> dict:
+        """Numbers of corners, aspects and edge kinds, and which corners move freely: the rest follow from the kinds."""
+        kinds, pts = self.base()
+        partners = {e: (e + len(kinds) // 2) % len(kinds) for e, k in enumerate(kinds) if k == "T"}
+        tied = {(p + 1) % len(kinds) for e, p in partners.items() if e < p}
+        return {"type": self.name, "num_vertices": len(kinds), "edges": kinds, "num_aspects": 2 if "C" in kinds else 1, "partners": partners, "free_corners": [k for k in range(len(kinds)) if k not in tied], "corners": pts.tolist()}
+
     def base(self) -> tuple[str, np.ndarray]:
         if self.name not in TYPES:
             raise ValueError(f"unknown type {self.name!r}; known: {', '.join(TYPES)}")

@@ -220,3 +220,13 @@ def rescaled(df: DataFrame, column: str, low: float, high: float, out: str) -> D
     held = per_map(df, _lo=F.min(column), _hi=F.max(column))
     put = F.when(F.col("_hi") > F.col("_lo"), low + (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (high - low)).otherwise(F.lit((low + high) / 2))
     return held.withColumn(out, put).drop("_lo", "_hi")
+
+
+def with_column(symbols: DataFrame, name: str, source: DataFrame | None = None) -> DataFrame:
+    """``symbols`` with a column to show: the source's, if it has it, else their own."""
+    if source is not None and name in source.columns:
+        return symbols.drop(name).join(source.select("region_id", name), "region_id")
+    if name in symbols.columns:
+        return symbols
+    known = sorted(c for c in {*symbols.columns, *(source.columns if source is not None else ())} if not c.startswith("_"))
+    raise ValueError(f"no column {name!r}; known: {', '.join(known)}")

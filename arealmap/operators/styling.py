@@ -49,7 +49,7 @@ def fit_scale(canonical: str, styled: str, mode: str = "inside") -> float:
     return best_turn(canonical, styled)[0]
 
 
-def best_turn(canonical: str, styled: str, steps: int = 180) -> tuple[float, float]:
+def best_turn(canonical: str, styled: str, steps: int = 720) -> tuple[float, float]:
     """(scale, rotation) that let the styled symbol be largest inside the canonical one, by a search over turns."""
     corners, best = G.SYMBOLS[canonical], (0.0, 0.0)
     for k in range(steps):

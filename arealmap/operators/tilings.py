@@ -125,7 +125,8 @@ def quadrilateral(kind: str = "parallelogram", **sizes: float) -> Tiling:
         dx, dy = side * math.cos(turn), side * math.sin(turn)
         return Tiling("quadrilateral", ((0, 0), (1, 0), (1 + dx, dy), (dx, dy)))
     if kind == "rectangle":
-        return Tiling("quadrilateral", ((0, 0), (get("ratio", 2.0), 0), (get("ratio", 2.0), 1), (0, 1)))
+        height = get("ratio", 1.0)  # of the width
+        return Tiling("quadrilateral", ((0, 0), (1, 0), (1, height), (0, height)))
     if kind == "rhombus":
         turn = math.radians(get("angle", 60.0))
         return Tiling("quadrilateral", ((0, 0), (1, 0), (1 + math.cos(turn), math.sin(turn)), (math.cos(turn), math.sin(turn))))
@@ -135,13 +136,20 @@ def quadrilateral(kind: str = "parallelogram", **sizes: float) -> Tiling:
     raise ValueError(f"unknown quadrilateral {kind!r}")
 
 
-def resolve(spec: str | Tiling) -> Tiling:
-    if isinstance(spec, Tiling):
+def resolve(spec):
+    """A tiling, or one by its name: the plain ones, presets and types (``ih41``) of isohedral ones."""
+    from . import isohedral
+
+    if isinstance(spec, Tiling | isohedral.Isohedral):
         return spec
     known = {"square": SQUARE, "hexagon": HEXAGON, "triangle": triangle(), "quadrilateral": quadrilateral()}
-    if spec not in known:
-        raise ValueError(f"unknown tiling {spec!r}; known: {', '.join(known)}")
-    return known[spec]
+    if spec in known:
+        return known[spec]
+    if str(spec).lower() in isohedral.TYPES:
+        return isohedral.Isohedral(str(spec).lower())
+    if spec in isohedral.PRESETS:
+        return isohedral.Isohedral.preset(spec)
+    raise ValueError(f"unknown tiling {spec!r}; known: {', '.join([*known, *isohedral.TYPES, *isohedral.PRESETS])}")
 
 
 def vertex_edges(tiles: DataFrame, tol: float = 1e-6, id_column: str = "tile_id") -> DataFrame:

@@ -70,3 +70,17 @@ def interpolate_rings(a: DataFrame, b: DataFrame, t) -> DataFrame:
     both = a.select("region_id", F.col("geom").alias("ga")).join(b.select("region_id", F.col("geom").alias("gb")), "region_id")
     rings = F.zip_with(F.col("ga.rings"), F.col("gb.rings"), lambda p, q: F.struct(p["part"].alias("part"), p["sign"].alias("sign"), G.lerp(p["pts"], q["pts"], F.lit(t)).alias("pts")))
     return both.select("region_id", F.struct(F.col("ga.kind").alias("kind"), rings.alias("rings")).alias("geom"))
+
+
+def ring_table(regions: DataFrame) -> DataFrame:
+    """(region_id, k, sign, pts): a region's rings in the order paths are drawn, each part's exterior before its holes."""
+    ordered = F.array_sort("geom.rings", lambda p, q: F.when(p["part"] != q["part"], F.signum((p["part"] - q["part"]).cast("double")).cast("int")).otherwise(F.signum((q["sign"] - p["sign"]).cast("double")).cast("int")))
+    return regions.select("region_id", F.posexplode(ordered).alias("k", "r")).select("region_id", "k", F.col("r.sign").cast("int").alias("sign"), F.col("r.pts").alias("pts"))
+
+
+def geometries_of(source) -> DataFrame:
+    """(region_id, geom) of a table of regions, or of the latest state of a result that has ``regions`` or ``cells``."""
+    held = source if isinstance(source, DataFrame) else getattr(source, "regions", None) or getattr(source, "cells", None)
+    if not isinstance(held, DataFrame) or "geom" not in held.columns:
+        raise TypeError(f"no geometries in {type(source).__name__}")
+    return held.select("region_id", "geom")

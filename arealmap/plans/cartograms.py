@@ -7,7 +7,7 @@ Every row of a solver's output names its kind; the parts are split into tables a
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,8 @@ from ..kernels import partition as S
 from ..kernels import planar as P
 from ..kernels import repair as R
 from ..kernels import voronoi as V
-from ..operators import adjacency, measure, tilings, topology
+from ..kernels.raster import poisson_velocity
+from ..operators import adjacency, measure, styling, tilings, topology
 
 
 def with_map(regions: DataFrame) -> DataFrame:
@@ -31,7 +32,7 @@ def with_map(regions: DataFrame) -> DataFrame:
     return regions if "map_id" in regions.columns else regions.withColumn("map_id", F.lit("map"))
 
 
-SOLVED = f"kind string, map_id string, run_id int, iteration int, region_id long, status string, mean_log_error double, max_log_error double, log_error double, geom {G.GEOM}, x double, y double"
+SOLVED = f"kind string, map_id string, run_id int, iteration int, region_id long, status string, mean_log_error double, max_log_error double, log_error double, geom {G.GEOM}, x double, y double, seconds double, shape array<int>, rho array<double>, vx array<double>, vy array<double>, mask array<int>"
 
 
 @dataclass
@@ -57,8 +58,29 @@ class FlowResult:
 
     @property
     def points(self) -> DataFrame:
+        """Where the points ended, run by run."""
         return self.rows.where("kind = 'point'").select("map_id", "run_id", F.col("region_id").alias("point_id"), "x", "y")
 
+    @property
+    def point_snapshots(self) -> DataFrame:
+        return self.rows.where("kind = 'carried'").select("map_id", "run_id", "iteration", F.col("region_id").alias("point_id"), "x", "y")
+
+    @property
+    def fields(self) -> DataFrame:
+        """(map_id, run_id, iteration, iy, ix, rho, vx, vy, geom_idx) of the snapshots, where ``save_internals`` is set."""
+        held = self.rows.where("kind = 'field'").select("map_id", "run_id", "iteration", "shape", F.posexplode(F.arrays_zip("rho", "vx", "vy", "mask")).alias("k", "c"))
+        return held.select("map_id", "run_id", "iteration", F.expr("int(k div shape[1])").alias("iy"), F.expr("int(k % shape[1])").alias("ix"), "c.rho", "c.vx", "c.vy", F.col("c.mask").alias("geom_idx"))
+
+    @property
+    def timings(self) -> DataFrame:
+        """(map_id, run_id, phase, seconds): where a run's time went."""
+        return self.rows.where("kind = 'phase'").select("map_id", "run_id", F.col("status").alias("phase"), "seconds")
+
+    def density(self, regions: DataFrame, value: str = "value") -> DataFrame:
+        """(map_id, run_id, iteration, region_id, density) of the snapshots: value by area."""
+        named = with_map(regions).select("map_id", F.col("region_id").cast("long").alias("region_id"), F.col(value).cast("double").alias("v"))
+        return self.snapshots.join(named, ["map_id", "region_id"]).select("map_id", "run_id", "iteration", "region_id", (F.col("v") / G.area(F.col("geom"))).alias("density"))
+
 
 def _solve_flow(key: tuple, regions: pd.DataFrame, points: pd.DataFrame, options: L.Options, value: str, run_id: int, grids=None) -> pd.DataFrame:
     regions = regions.sort_values("region_id")
@@ -66,7 +88,7 @@ def _solve_flow(key: tuple, regions: pd.DataFrame, points: pd.DataFrame, options
     ids, values = regions["region_id"].to_numpy(), regions[value].to_numpy(float)
     density = values.sum() / regions["_area0"].sum() if "_area0" in regions else None
     extra = points[["x", "y"]].to_numpy(float) if points is not None and len(points) else None
-    out, base = [], dict.fromkeys(["iteration", "region_id", "status", "mean_log_error", "max_log_error", "log_error", "geom", "x", "y"]) | {"map_id": key[0]}
+    out, base = [], dict.fromkeys(["iteration", "region_id", "status", "mean_log_error", "max_log_error", "log_error", "geom", "x", "y", "seconds", "shape", "rho", "vx", "vy", "mask"]) | {"map_id": key[0]}
     for k, grid in enumerate(grids or [options.grid]):
         held = options.with_(grid=grid) if grid is not None else options
         found = L.solve(shapes, values, held, density, extra)
@@ -75,12 +97,18 @@ def _solve_flow(key: tuple, regions: pd.DataFrame, points: pd.DataFrame, options
         out += [base | {"kind": "step", "run_id": run, "iteration": i, "status": found.status if i == last else L.RUNNING, "mean_log_error": m, "max_log_error": x} for i, m, x in found.series]
         for i, snap in found.snapshots:
             out += [base | {"kind": "snapshot", "run_id": run, "iteration": i, "region_id": r, "geom": P.to_geom(s)} for r, s in zip(ids, snap, strict=True)]
+        for i, rho, vx, vy, mask in found.fields:
+            out.append(base | {"kind": "field", "run_id": run, "iteration": i, "shape": list(rho.shape), "rho": rho.ravel(), "vx": vx.ravel(), "vy": vy.ravel(), "mask": mask.ravel()})
+        out += [base | {"kind": "phase", "run_id": run, "status": phase, "seconds": t} for phase, t in found.timings.items()]
+        if points is not None:
+            for i, at in found.carried:
+                out += [base | {"kind": "carried", "run_id": run, "iteration": i, "region_id": r, "x": x, "y": y} for r, (x, y) in zip(points["point_id"], at, strict=True)]
         out += [base | {"kind": "region", "run_id": run, "iteration": found.iterations, "region_id": r, "geom": P.to_geom(s), "log_error": e} for r, s, e in zip(ids, shapes, found.logs, strict=True)]
         if extra is not None:
             out += [base | {"kind": "point", "run_id": run, "region_id": r, "x": x, "y": y} for r, (x, y) in zip(points["point_id"], extra, strict=True)]
         if found.status == L.CONVERGED:
             break
-    return pd.DataFrame(out)[[c.split(" ")[0] for c in SOLVED.split(f", geom {G.GEOM}")[0].split(", ")] + ["geom", "x", "y"]]
+    return pd.DataFrame(out)[[c.split(" ")[0] for c in SOLVED.split(f", geom {G.GEOM}")[0].split(", ")] + ["geom", "x", "y", "seconds", "shape", "rho", "vx", "vy", "mask"]]
 
 
 def flow(regions: DataFrame, value: str = "value", options: L.Options = L.Options(), points: DataFrame | None = None, run_id: int = 1, grids=None) -> FlowResult:
@@ -132,6 +160,12 @@ class Workflow:
         self.results.append(flow(self._latest(), self.value, options.with_(**changes), run_id=len(self.results) + 1))
         return self.results[-1]
 
+    def morph_multiresolution(self, min_resolution: int = 128, levels: int = 3, margin: float = 0.5, square: bool = True, options: L.Options = L.Options(), **changes) -> FlowResult:
+        """Coarse to fine from the last geometry; the levels together are one step of the workflow."""
+        held = self._latest()
+        self.results.append(multiresolution(held, self.value, min_resolution, levels, margin, square, options.with_(**changes)))
+        return self.results[-1]
+
     def pop(self, n: int = 1) -> None:
         if n > len(self.results):
             raise ValueError("the original state stays")
@@ -212,7 +246,8 @@ LAYOUTS: dict[str, object] = {}
 
 
 def register_layout(name: str):
-    """Adds a layout: a function of positions, sizes, dense adjacency and options to new positions."""
+    """Adds a layout: a function of positions, sizes, dense adjacency and options to new positions and what it tells of its run
+    (``iterations``, ``converged``, and ``series`` of up to three numbers a step); positions alone will do."""
 
     def put(f):
         LAYOUTS[name] = f
@@ -223,12 +258,12 @@ def register_layout(name: str):
 
 @register_layout("physics")
 def _physics(pos, radii, near, **o):
-    return C.physics(pos, radii, near, C.PhysicsOptions(**o))[0]
+    return C.physics(pos, radii, near, C.PhysicsOptions(**o))
 
 
 @register_layout("packing")
 def _packing(pos, radii, near, **o):
-    return C.packing(pos, radii, near, C.PackingOptions(**o))[0]
+    return C.packing(pos, radii, near, C.PackingOptions(**o))
 
 
 LAYOUTS["topology"] = LAYOUTS["packing"]
@@ -248,8 +283,33 @@ def _dense(ids: np.ndarray, edges: pd.DataFrame) -> np.ndarray:
     return out
 
 
-def layout(regions: DataFrame, value: str | None = None, name: str = "physics", mode: str = "binary", edges: DataFrame | None = None, options: dict | None = None, **sizes) -> DataFrame:
-    """(map_id, region_id, x, y, size, x0, y0, scale): symbols placed by a registered layout; one task per map."""
+LAID = "kind string, map_id string, region_id long, x double, y double, size double, x0 double, y0 double, iteration int, a double, b double, c double, status string"
+
+
+@dataclass
+class LayoutResult:
+    """Tables of a layout: places of the symbols, the run's numbers step by step, and how it ended."""
+
+    rows: DataFrame
+
+    @property
+    def places(self) -> DataFrame:
+        """(map_id, region_id, x, y, size, x0, y0, scale)"""
+        return measure.layout_transforms(self.rows.where("kind = 'symbol'").select("map_id", "region_id", "x", "y", "size", "x0", "y0"))
+
+    @property
+    def history(self) -> DataFrame:
+        """(map_id, iteration, a, b, c): of physics the overlaps, the fastest speed and the widest gap; of packing drift and jitter."""
+        return self.rows.where("kind = 'step'").select("map_id", "iteration", "a", "b", "c")
+
+    @property
+    def status(self) -> DataFrame:
+        """(map_id, status, iterations)"""
+        return self.rows.where("kind = 'end'").select("map_id", "status", F.col("iteration").alias("iterations"))
+
+
+def layout_result(regions: DataFrame, value: str | None = None, name: str = "physics", mode: str = "binary", edges: DataFrame | None = None, options: dict | None = None, **sizes) -> LayoutResult:
+    """Symbols placed by a registered layout; one task per map."""
     if name not in LAYOUTS:
         raise ValueError(f"unknown layout {name!r}; known: {', '.join(LAYOUTS)}")
     held = with_map(regions).withColumn("region_id", F.col("region_id").cast("long"))
@@ -258,15 +318,158 @@ def layout(regions: DataFrame, value: str | None = None, name: str = "physics",
         edges = adjacency.weights(held, adjacency.pairs(held), mode)
     edges = edges.join(held.select(F.col("region_id").alias("src"), "map_id"), "src").select("map_id", "src", "dst", "weight")
     place, given = LAYOUTS[name], options or {}
+    names = [c.split(" ")[0] for c in LAID.split(", ")]
 
     def run(key, rows, near):
         rows = rows.sort_values("region_id")
-        pos, ids = rows[["x", "y"]].to_numpy(float), rows["region_id"].to_numpy()
-        new = place(pos, rows["size"].to_numpy(float), _dense(ids, near), **given)
-        return pd.DataFrame({"map_id": key[0], "region_id": ids, "x": new[:, 0], "y": new[:, 1], "size": rows["size"].to_numpy(), "x0": pos[:, 0], "y0": pos[:, 1]})
+        pos, ids, sizes_ = rows[["x", "y"]].to_numpy(float), rows["region_id"].to_numpy(), rows["size"].to_numpy(float)
+        found = place(pos, sizes_, _dense(ids, near), **given)
+        new, info = found if isinstance(found, tuple) else (found, {"iterations": 0, "converged": True})
+        base = dict.fromkeys(names) | {"map_id": key[0]}
+        out = [base | {"kind": "symbol", "region_id": i, "x": p[0], "y": p[1], "size": s, "x0": q[0], "y0": q[1]} for i, p, q, s in zip(ids, new, pos, sizes_, strict=True)]
+        out += [base | {"kind": "step", "iteration": k + 1} | dict(zip("abc", map(float, step), strict=False)) for k, step in enumerate(info.get("series", []))]
+        out.append(base | {"kind": "end", "iteration": info["iterations"], "status": L.CONVERGED if info.get("converged", True) else L.COMPLETED})
+        return pd.DataFrame(out)[names]
 
-    placed = prepared.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, "map_id string, region_id long, x double, y double, size double, x0 double, y0 double")
-    return measure.layout_transforms(placed)
+    return LayoutResult(adjacency._kept(prepared.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, LAID)))
+
+
+def layout(regions: DataFrame, value: str | None = None, name: str = "physics", mode: str = "binary", edges: DataFrame | None = None, options: dict | None = None, **sizes) -> DataFrame:
+    """(map_id, region_id, x, y, size, x0, y0, scale) of ``layout_result``."""
+    return layout_result(regions, value, name, mode, edges, options, **sizes).places
+
+
+#: What the usual kinds of symbol cartograms are made of.
+SYMBOL_PRESETS = {
+    "dorling": {"layout": "physics", "options": {"compactness": 0.5}, "symbol": "circle"},
+    "topology_preserving": {"layout": "packing", "options": {"topology_weight": 0.5}, "symbol": "circle"},
+    "demers": {"tiling": "square", "symbol": "square"},
+    "tile_map": {"tiling": "hexagon", "symbol": "hexagon"},
+    "fast": {"layout": "physics", "options": {"max_iterations": 100, "tolerance": 1e-3}},
+    "quality": {"layout": "physics", "options": {"max_iterations": 1000, "tolerance": 1e-5, "compactness": 0.5}},
+}
+
+
+@dataclass
+class SymbolCartogram:
+    """A layout, its symbols, and the style they have; ``restyle`` keeps the layout."""
+
+    regions: DataFrame
+    places: DataFrame
+    symbols: DataFrame
+    history: DataFrame | None = None
+    status: DataFrame | None = None
+
+    def restyle(self, rules: DataFrame | None = None, symbol: str = "circle", fit_mode: str = "inside", canonical: str = "circle", **style) -> SymbolCartogram:
+        shown = styling.symbols(styling.overrides(self.places.drop("scale"), rules, symbol, **style), canonical, fit_mode)
+        return replace(self, symbols=shown)
+
+    def table(self) -> DataFrame:
+        """The source's columns beside each symbol."""
+        return self.symbols.join(self.regions.withColumn("region_id", F.col("region_id").cast("long")).drop("geom"), "region_id")
+
+    def displacements(self) -> DataFrame:
+        """(region_id, dx, dy): from a region's centre to its symbol."""
+        return self.places.select("region_id", (F.col("x") - F.col("x0")).alias("dx"), (F.col("y") - F.col("y0")).alias("dy"))
+
+
+def symbol_cartogram(regions: DataFrame, value: str | None = None, preset: str | None = None, rules: DataFrame | None = None, **changes) -> SymbolCartogram:
+    """A whole symbol cartogram by a preset, or by ``layout`` and ``options``, or ``tiling``, and ``symbol``."""
+    if preset is not None and preset not in SYMBOL_PRESETS:
+        raise ValueError(f"unknown preset {preset!r}; known: {', '.join(SYMBOL_PRESETS)}")
+    chosen = {"symbol": "circle"} | (SYMBOL_PRESETS[preset] if preset else {"layout": "physics"}) | changes
+    if "tiling" in chosen:
+        found, history, status = grid_layout(regions, value, chosen["tiling"]), None, None
+    else:
+        laid = layout_result(regions, value, chosen["layout"], options=chosen.get("options"))
+        found, history, status = laid.places, laid.history, laid.status
+    return SymbolCartogram(regions, found, found, history, status).restyle(rules, chosen["symbol"])
+
+
+def modulate(cells: DataFrame, grid, step) -> DataFrame:
+    """Velocity modulators over cells (iy, ix, vx, vy, geom_idx), density modulators over (iy, ix, rho, geom_idx, target); one field a task."""
+    velocity = "vx" in cells.columns
+    names = ["vx", "vy"] if velocity else ["rho"]
+
+    def run(rows):
+        rows = rows.sort_values(["iy", "ix"])
+        fields = [rows[c].to_numpy(float).reshape(grid.sy, grid.sx) for c in names]
+        mask = rows["geom_idx"].to_numpy().reshape(grid.sy, grid.sx)
+        out = step(*fields, grid, mask) if velocity else (step(*fields, grid, mask, float(rows["target"].iloc[0])),)
+        return pd.DataFrame({"iy": rows["iy"], "ix": rows["ix"], **{c: x.ravel() for c, x in zip(names, out, strict=True)}})
+
+    return cells.groupBy(F.lit("").alias("one")).applyInPandas(run, "iy int, ix int, " + ", ".join(f"{c} double" for c in names))
+
+
+def velocity_field(cells: DataFrame, grid, along_x: float = 1.0, along_y: float = 1.0) -> DataFrame:
+    """(iy, ix, vx, vy): the flow that levels densities (iy, ix, rho), periodic; one field a task, since its Fourier transform needs all of it."""
+
+    def run(rows):
+        rows = rows.sort_values(["iy", "ix"])
+        vx, vy = poisson_velocity(rows["rho"].to_numpy(float).reshape(grid.sy, grid.sx), grid.dx, grid.dy, along_x, along_y)
+        return pd.DataFrame({"iy": rows["iy"], "ix": rows["ix"], "vx": vx.ravel(), "vy": vy.ravel()})
+
+    return cells.groupBy(F.lit("").alias("one")).applyInPandas(run, "iy int, ix int, vx double, vy double")
+
+
+def assign(costs: DataFrame) -> DataFrame:
+    """(map_id, i, j) of least total cost, each i with a j of its own, from (map_id, i, j, cost); a pair without a cost is not allowed."""
+
+    def run(key, rows):
+        table = rows.pivot(index="i", columns="j", values="cost")
+        cost = table.to_numpy(float)
+        # No cost that is there adds up to one that is not.
+        cost = np.where(np.isnan(cost), np.nansum(np.abs(cost)) + 1, cost)
+        return pd.DataFrame({"map_id": key[0], "i": table.index.to_numpy(), "j": table.columns.to_numpy()[A.least_cost(cost)]})
+
+    return with_map(costs).groupBy("map_id").applyInPandas(run, "map_id string, i long, j long")
+
+
+def tile_hops(edges: DataFrame) -> DataFrame:
+    """(map_id, i, j, hops): steps between all tiles of a map over its edges (i, j); tiles out of reach have no row."""
+
+    def run(key, rows):
+        ids = np.unique(np.concatenate([rows["i"], rows["j"]]))
+        near = np.zeros((len(ids), len(ids)), bool)
+        a, b = np.searchsorted(ids, rows["i"]), np.searchsorted(ids, rows["j"])
+        near[a, b] = near[b, a] = True
+        steps = A.hops(near)
+        i, j = np.nonzero(steps < len(ids))
+        return pd.DataFrame({"map_id": key[0], "i": ids[i], "j": ids[j], "hops": steps[i, j]})
+
+    return with_map(edges).groupBy("map_id").applyInPandas(run, "map_id string, i long, j long, hops int")
+
+
+def tile_repairs(placed: DataFrame, edges: DataFrame, real_holes: int = 0) -> DataFrame:
+    """(region_id, tile_id) with empty tiles inside the map filled: of placed (region_id, tile_id) and edges (i, j) between tiles."""
+
+    def run(key, rows, near):
+        rows = rows.sort_values("region_id")
+        ids = np.unique(np.concatenate([near["i"], near["j"], rows["tile_id"]]))
+        links = np.zeros((len(ids), len(ids)), bool)
+        a, b = np.searchsorted(ids, near["i"]), np.searchsorted(ids, near["j"])
+        links[a, b] = links[b, a] = True
+        found = A.fill_holes(np.searchsorted(ids, rows["tile_id"]), links, real_holes)
+        return pd.DataFrame({"region_id": rows["region_id"], "tile_id": ids[found]})
+
+    return placed.groupBy(F.lit("").alias("one")).cogroup(edges.groupBy(F.lit("").alias("one"))).applyInPandas(run, "region_id long, tile_id long")
+
+
+def moving_stats(series: DataFrame, window: float = 20, adaptive: bool = True) -> DataFrame:
+    """(iteration, mean, variance) of a run's values (iteration, v): exponential, as the simulators watch their steps."""
+
+    def run(rows):
+        rows, held, out = rows.sort_values("iteration"), C.MovingStats(window, adaptive), []
+        for v in rows["v"].to_numpy(float):
+            mean = held.update(np.array([v]))
+            out.append((mean[0], held.var[0]))
+        return pd.DataFrame({"iteration": rows["iteration"], "mean": [x[0] for x in out], "variance": [x[1] for x in out]})
+
+    return series.groupBy(F.lit("").alias("one")).applyInPandas(run, "iteration int, mean double, variance double")
+
+
+#: Tiles of one map, whose hops and costs one task holds.
+MOST_TILES = 8192
 
 
 def grid_layout(regions: DataFrame, value: str | None = None, tiling: str | tilings.Tiling = "square", spacing: float = 0.0, fill_holes: bool = True, fix_islands: bool = True, real_holes: int = 0, **weights) -> DataFrame:
@@ -281,12 +484,14 @@ def grid_layout(regions: DataFrame, value: str | None = None, tiling: str | tili
 
     b = total_bounds(held.drop("map_id")).first()
     n, largest = prepared.agg(F.count("*"), F.max("size")).first()
-    side = (2 * largest if chosen.name == "square" else largest * 2 / 3**0.5) * (1 + spacing)
+    side = (2 * largest if chosen.name in ("square", "ih41") else largest * 2 / 3**0.5) * (1 + spacing)
     w, h = b.xmax - b.xmin, b.ymax - b.ymin
     grow = max(1.0, (2 * n * side * side * (1 if chosen.name != "hexagon" else 2.598) / (w * h)) ** 0.5)
     cx, cy = (b.xmin + b.xmax) / 2, (b.ymin + b.ymax) / 2
     box = (cx - grow * w / 2, cy - grow * h / 2, cx + grow * w / 2, cy + grow * h / 2)
     tiles = chosen.tiles(held.sparkSession, box, tile_size=side, margin=0.0).select("tile_id", "cx", "cy", "geom")
+    if tiles.count() > MOST_TILES:
+        raise ValueError(f"a tile map has {MOST_TILES} tiles at most: its assignment compares all with all regions in one task")
     touching = tilings.vertex_edges(tiles, side * 0.01)
     listed = tiles.select("tile_id", "cx", "cy").toPandas().sort_values("tile_id")  # a tiling is of the map's own size
     pairs = touching.toPandas()
@@ -309,11 +514,51 @@ def grid_layout(regions: DataFrame, value: str | None = None, tiling: str | tili
     return measure.layout_transforms(placed)
 
 
-CELLS = f"kind string, map_id string, region_id long, iteration int, x double, y double, area_cv double, movement double, geom {G.GEOM}"
+CELLS = f"kind string, map_id string, region_id long, iteration int, x double, y double, area_cv double, movement double, repaired int, geom {G.GEOM}"
+
+
+@dataclass
+class VoronoiResult:
+    """Tables of a relaxation: cells, convergence, snapshots of seeds (and cells), and what repairs did."""
+
+    rows: DataFrame
+    weight: str | None = None
+
+    @property
+    def cells(self) -> DataFrame:
+        return self.rows.where("kind = 'cell'").select("map_id", "region_id", "x", "y", "geom")
+
+    @property
+    def convergence(self) -> DataFrame:
+        return self.rows.where("kind = 'step'").select("map_id", "iteration", "area_cv", "movement", "repaired")
+
+    @property
+    def snapshots(self) -> DataFrame:
+        return self.rows.where("kind = 'snapshot'").select("map_id", "iteration", "region_id", "x", "y", "geom")
+
+    def errors(self, regions: DataFrame) -> DataFrame:
+        """Cells beside their regions' columns, with the area's deviation from its share in per cent."""
+        named = self.cells.join(with_map(regions).withColumn("region_id", F.col("region_id").cast("long")).drop("geom", "x", "y"), ["map_id", "region_id"])
+        return measure.area_errors(named.withColumn("area", G.area(F.col("geom"))), "area", self.weight)
+
+    def repair_report(self, regions: DataFrame, before: DataFrame, group: str | None = None) -> DataFrame:
+        """(what, before, after): broken neighbourhoods, turned directions and stray regions of other cells and of these."""
+        out = None
+        for what, a, b in ((k, x, y) for (k, x), (_, y) in zip(analyze(regions, before, group).items(), analyze(regions, self.cells, group).items(), strict=True)):
+            bad = (lambda df: df.where("misaligned")) if what == "orientation" else (lambda df: df)
+            one = bad(a).agg(F.count("*").alias("before")).join(bad(b).agg(F.count("*").alias("after"))).select(F.lit(what).alias("what"), "before", "after")
+            out = one if out is None else out.unionByName(one)
+        return out
 
 
 def voronoi(regions: DataFrame, options: V.Options = V.Options(), weight: str | None = None, group: str | None = None, boundary: str = "union", repair_stages: tuple[str, ...] | None = ()) -> tuple[DataFrame, DataFrame]:
-    """(cells, convergence): each region's cell (map_id, region_id, x, y, geom), and each iteration's area variation.
+    """(cells, convergence) of ``voronoi_result``."""
+    found = voronoi_result(regions, options, weight, group, boundary, repair_stages)
+    return found.cells, found.convergence
+
+
+def voronoi_result(regions: DataFrame, options: V.Options = V.Options(), weight: str | None = None, group: str | None = None, boundary: str = "union", repair_stages: tuple[str, ...] | None = ()) -> VoronoiResult:
+    """Each region's cell (map_id, region_id, x, y, geom), and each iteration's area variation; one task per map.
 
     ``repair_stages`` permutes regions among the finished cells: () for none, None for the usual stages.
     """
@@ -337,28 +582,24 @@ def voronoi(regions: DataFrame, options: V.Options = V.Options(), weight: str |
         field, series = V.solve(seeds, V.outer(shapes, boundary), options, rows["w"].to_numpy(float) if weight else None, links, groups)
         cells, slot = field.cells(), np.arange(len(ids))
         if repair_stages is None or repair_stages:
-            slot = R.repair(len(ids), cell_pairs(cells), links, groups, seeds, field.seeds, repair_stages)
-        base = dict.fromkeys(["region_id", "iteration", "x", "y", "area_cv", "movement", "geom"]) | {"map_id": key[0]}
+            slot = R.repair(len(ids), field.touching(), links, groups, seeds, field.seeds, repair_stages)
+        base = dict.fromkeys(["region_id", "iteration", "x", "y", "area_cv", "movement", "repaired", "geom"]) | {"map_id": key[0]}
         out = [base | {"kind": "cell", "region_id": r, "x": field.seeds[slot[k], 0], "y": field.seeds[slot[k], 1], "geom": P.to_geom(cells[slot[k]])} for k, r in enumerate(ids)]
-        out += [base | {"kind": "step", "iteration": i, "area_cv": cv, "movement": m} for i, cv, m in series]
-        return pd.DataFrame(out)[["kind", "map_id", "region_id", "iteration", "x", "y", "area_cv", "movement", "geom"]]
-
-    rows = adjacency._kept(chosen.groupBy("map_id").cogroup(pairs.groupBy("map_id")).applyInPandas(run, CELLS))
-    return rows.where("kind = 'cell'").select("map_id", "region_id", "x", "y", "geom"), rows.where("kind = 'step'").select("map_id", "iteration", "area_cv", "movement")
-
-
-def cell_pairs(cells: list[list[P.Ring]], tol: float = 1e-6) -> list[tuple[int, int]]:
-    """Cells that share a stretch of boundary: their bisector cut both."""
-    geoms = [P.to_geom(c) for c in cells]
-    boxes = [P.bounds(c) if c else (0, 0, -1, -1) for c in cells]
-    size = max((max(b[2] - b[0], b[3] - b[1]) for b in boxes), default=1.0)
-    out = []
-    for i in range(len(cells)):
-        for j in range(i + 1, len(cells)):
-            a, b = boxes[i], boxes[j]
-            if a[0] <= b[2] + tol and b[0] <= a[2] + tol and a[1] <= b[3] + tol and b[1] <= a[3] + tol and P.boundary_within(geoms[i], geoms[j], tol * size) > 1e-3 * size:
-                out.append((i, j))
-    return out
+        out += [base | {"kind": "step", "iteration": i, "area_cv": cv, "movement": m, "repaired": n} for i, cv, m, n in series]
+        for i, at, held in field.snapshots:
+            out += [base | {"kind": "snapshot", "iteration": i, "region_id": r, "x": at[k, 0], "y": at[k, 1], "geom": P.to_geom(held[k]) if held else None} for k, r in enumerate(ids)]
+        return pd.DataFrame(out)[["kind", "map_id", "region_id", "iteration", "x", "y", "area_cv", "movement", "repaired", "geom"]]
+
+    return VoronoiResult(adjacency._kept(chosen.groupBy("map_id").cogroup(pairs.groupBy("map_id")).applyInPandas(run, CELLS)), weight)
+
+
+def outline(regions: DataFrame, spec: str = "union") -> DataFrame:
+    """(map_id, geom): the outer boundary that cells are laid in: the map's own, its hull, its bounds, or a circle of its area."""
+
+    def run(key, rows):
+        return pd.DataFrame({"map_id": key[0], "geom": [P.to_geom(V.outer([P.rings_of(g) for g in rows["geom"]], spec))]})
+
+    return with_map(regions).select("map_id", "geom").groupBy("map_id").applyInPandas(run, f"map_id string, geom {G.GEOM}")
 
 
 def analyze(regions: DataFrame, cells: DataFrame, group: str | None = None) -> dict[str, DataFrame]:

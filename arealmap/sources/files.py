@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..operators.adjacency import shared_dir
 
 #: Regions and territories that contiguous maps leave out.
 NON_CONTIGUOUS = ("02", "15", "60", "66", "69", "72", "78")
 POPULATION = "year int, state_fips string, state_name string, state_abbr string, population long"
 
 
+def scratch(spark: SparkSession) -> str:
+    """A fresh folder below the one that driver and executors share."""
+    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+
+
 def _points(coords):
     return F.transform(coords, lambda c: G.point_of(c[0], c[1]))
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import measure
 
+#: Windows of one batch that are broadcast.
+BROADCAST_WINDOWS = 10_000
+
 
 def windowed_values(events: DataFrame, region: str, value: str, ts: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(window, region_id, value): values by region and event-time window; rows later than the watermark are left out."""
@@ -16,7 +19,9 @@ def windowed_values(events: DataFrame, region: str, value: str, ts: str, window:
 def errors_of_batch(regions: DataFrame, values: DataFrame, map_column: str = "map_id") -> DataFrame:
     """Original-state errors of every window of a batch: each window is a map of its own."""
     named = values.withColumn(map_column, F.col("window.start").cast("string")).select(map_column, "region_id", "value")
-    whole = named.select(map_column).distinct().join(F.broadcast(regions.select("region_id", "geom")))
+    windows = named.select(map_column).distinct()
+    # Every window has every region; the windows of a batch are the few, and are counted before they are handed round.
+    whole = regions.select("region_id", "geom").crossJoin(F.broadcast(windows) if windows.count() <= BROADCAST_WINDOWS else windows)
     return measure.original_state(whole.join(named, [map_column, "region_id"], "left").fillna(0.0, ["value"]))
 
 

@@ -152,16 +152,16 @@ class Index:
 def _search(coder: Coder, k: int):
     shape = pa.schema([("query_id", pa.int64()), ("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
-    def vectors(rows: pa.Table) -> np.ndarray:
-        return rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
+    def vectors(rows: pa.Table, name: str) -> np.ndarray:
+        return rows.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows.num_rows, -1)
 
     def run(shard: pa.Table, block: pa.Table) -> pa.Table:
         if not shard.num_rows or not block.num_rows:
             return shape.empty_table()
-        ids, own, rows = shard.column("vec_id").to_numpy(), shard.column("row").to_numpy(), vectors(shard)
+        ids, own, rows = shard.column("vec_id").to_numpy(), shard.column("row").to_numpy(), vectors(shard, "embedding")
         index, out = Index(coder.codes(rows), coder.bits), []
-        wanted = vectors(block)
-        for query, number, vector, code in zip(block.column("vec_id").to_numpy(), block.column("row").to_numpy(), wanted, coder.codes(wanted), strict=True):
+        wanted = vectors(block, "query")
+        for query, number, vector, code in zip(block.column("query_id").to_numpy(), block.column("query_row").to_numpy(), wanted, coder.codes(wanted), strict=True):
             found, _ = index.search(code, k + 1, coder.margin)
             found = found[own[found] != number]
             d = distances(vector, rows[found])
@@ -197,7 +197,8 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, sample_rows: int = SAMPLE
     spread = lambda m, over, seed: F.pmod(F.xxhash64(F.lit(seed), "row"), F.lit(m)).cast("int").alias(over)
     every = lambda m, over: F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(over)
     index = rows.select("vec_id", "row", "embedding", spread(shards, "shard", 1), every(blocks, "block"))
-    asked = rows.where(is_query).select("vec_id", "row", "embedding", spread(blocks, "block", 2), every(shards, "shard"))
-    found = index.groupBy("shard", "block").cogroup(asked.groupBy("shard", "block")).applyInArrow(_search(coder, k), empty)
+    asked = rows.where(is_query).select("vec_id", "row", "embedding", spread(blocks, "of_block", 2), every(shards, "of_shard"))
+    asked = asked.withColumnsRenamed({"vec_id": "query_id", "row": "query_row", "embedding": "query"})  # both sides come from one table
+    found = index.groupBy("shard", "block").cogroup(asked.groupBy("of_shard", "of_block")).applyInArrow(_search(coder, k), empty)
     rank = F.row_number().over(Window.partitionBy("query_row").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

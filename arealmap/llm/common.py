@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
 import types
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,11 +53,10 @@ def durable(df: DataFrame, name: str = "stage", by: list[str] | None = None) ->
 
 
 def bucketed(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
-    """Like ``durable``, dealt and sorted by keys: joins and groups by these keys don't move it again."""
+    """Like ``durable``, of rows already dealt by keys into as many partitions: joins by these keys don't move them again."""
     spark = df.sparkSession
     name = f"bucketed_{uuid.uuid4().hex}"
-    dealt = df.repartition(buckets, *keys)
-    dealt.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    df.write.format("parquet").option("compression", "zstd").option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, *keys).saveAsTable(name)
     return spark.table(name)
 
 
@@ -100,6 +101,17 @@ def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def few_at_a_time(batches, rows: int = 2000):
+    """The rows of a task's batches, few at a time, so what is built beside them stays small; the memory they took goes back at the end."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def crc32_of(column: str) -> Column:
     """Unsigned crc32 of a value written as text; a null counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -8,7 +8,9 @@ How the work is cut.  Equal documents are found by digest; only the first of
 each needs a search.  Winnowing then picks anchors: the least hash among the
 ``GRAM``-byte strings of each window of ``LENGTH`` bytes.  Equal strings have
 equal anchors at equal places, so every repeated string lies around an anchor
-whose hash repeats, and all its occurrences meet where that hash is sent.
+whose hash repeats, and all its occurrences meet where that hash is sent.  Of
+anchors of one chunk of documents whose whole surroundings are equal only the
+earliest goes there: what is around the others starts earlier for certain.
 
 What happens there.  The surroundings of a shard's repeated anchors, each
 distinct one once, become one text with separators, and its Burrows-Wheeler
@@ -18,14 +20,16 @@ precedes them, breadth first, so prefixes come in order of length; intervals
 of one suffix are dropped, separators are never prepended, and the expansion
 stops at LENGTH characters.  The intervals that are left are the repeated strings.
 
-An anchor with more than ``HOT`` occurrences does not go to one shard: the
-strings around it are rows of their own, by 128 bits of hash, and their first
-places are minima by string, combined within each task.
+An anchor that stands in more than ``HOT`` places even so does not go to one
+shard: the strings around it are rows of their own, by 128 bits of hash, and
+their first places are minima by string, combined within each task.
 
 Defined cases: a null text counts as empty; texts under LENGTH bytes keep all;
 null ids come after all others; of equal rows with one id one is the first, and
-rows with one id and different texts are ordered by a hash of the text; an
-empty table gives an empty result; other columns are ignored.
+rows with one id and different texts are ordered by a hash of the text; a text
+of any length is searched whole, by one task, with some forty bytes of memory
+for each of its own; an empty table gives an empty result; other columns are
+ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -36,21 +40,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable
-from .katz import CHUNK_BYTES, _mix, _narrow, _pack, _power_tables, _unpack
+from .common import bucketed, durable, spread_join
+from .katz import _mix, _narrow, _pack, _power_tables, _unpack
 
 LENGTH, GRAM = 100, 48
 #: Places in a window of LENGTH bytes at which a gram can start.
 WINDOW = LENGTH - GRAM + 1
-#: Occurrences of an anchor beyond which its strings are rows of their own.
+#: Places of an anchor, after equal surroundings of a chunk are one, beyond which its strings are rows of their own.
 HOT = 65_536
+#: Bytes of text in a chunk.
+CHUNK_BYTES = 32 << 20
 #: Anchors of a hash partition, bytes of a shard of surroundings, characters of one transform.
 PARTITION_ANCHORS, SHARD_BYTES, TRANSFORM = 1_500_000, 16 << 20, 1 << 20
-#: What may be broadcast, counted before; beyond it the texts are joined by shuffle.
-BROADCAST_BYTES = 24 << 20
+#: Bytes of text in a bucket of the table of texts, and the least and the most such buckets.
+BUCKET_BYTES, LEAST_BUCKETS, MOST_BUCKETS = 32 << 20, 12, 100_000
 NONE = (1 << 63) - 1
 _VALUES = np.random.default_rng(17).integers(1, 2**63, (3, 256), dtype=np.uint64) | np.uint64(1)
 
@@ -151,81 +158,133 @@ def repeated_strings(texts: list[bytes], length: int = LENGTH) -> tuple[np.ndarr
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Texts of up to ``CHUNK_BYTES`` together, or one larger text, in order of id and key."""
     held, size = [], 0
     for batch in batches:
         for d, key, text in zip(*(batch.column(c).to_pylist() for c in ("d", "key", "text")), strict=True):
             data = text.encode()
+            if held and size + len(data) > CHUNK_BYTES:
+                yield sorted(held, key=lambda x: x[:2])
+                held, size = [], 0
             held.append((d, key, data))
             size += len(data)
-            if size >= CHUNK_BYTES:
-                yield held
-                held, size = [], 0
     if held:
-        yield held
+        yield sorted(held, key=lambda x: x[:2])
+
+
+def _around(place: np.ndarray, size) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bytes begin and end that a repeated string with an anchor at ``place`` can take."""
+    return np.maximum(place - WINDOW + 1, 0), np.minimum(place + LENGTH, size)
+
+
+def _chunk_anchors(held: list[tuple[int, int, bytes]]):
+    """(document, place, hash) of a chunk's anchors, each in its first surroundings only; and (document, lo, hi), starts of strings of the
+    other anchors: the very same bytes stand earlier in this chunk, so these strings start earlier too."""
+    powers = _power_tables(max(len(x[2]) for x in held) + 1)
+    docs, places, values, contexts, begins, ends = [], [], [], [], [], []
+    for k, (_, _, text) in enumerate(held):
+        data = np.frombuffer(text, np.uint8)
+        place, value = anchors(data, powers)
+        begin, end = _around(place, len(data))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUES[1][data] * powers[0][: len(data)], dtype=np.uint64)])
+        shape = ((place - begin) << 32 | (end - begin)).astype(np.uint64)
+        contexts.append(_mix((sums[end] - sums[begin]) * powers[1][begin] ^ _mix(shape ^ value)))
+        docs.append(np.full(len(place), k))
+        places.append(place)
+        values.append(value)
+        begins.append(begin)
+        ends.append(end)
+    doc, place, value, context, begin, end = map(np.concatenate, (docs, places, values, contexts, begins, ends))
+    order = np.argsort(context, kind="stable")  # documents are in order, so the first of equal ones is the earliest
+    fresh = np.concatenate([[True], context[order][1:] != context[order][:-1]])[: len(order)]
+    first = np.empty(len(order), np.int64)
+    first[order] = order[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+    lead = first == np.arange(len(order))
+    for i in np.flatnonzero(~lead).tolist():
+        j = first[i]
+        # Equal hashes of other bytes would be leads of their own.
+        lead[i] = held[doc[i]][2][begin[i] : end[i]] != held[doc[j]][2][begin[j] : end[j]]
+    rest = np.flatnonzero(~lead & (end - begin >= LENGTH))
+    return (doc[lead], place[lead], value[lead]), (doc[rest], begin[rest], end[rest] - LENGTH)
+
+
+_PLACES = pa.schema([("part", pa.int32()), ("chunk", pa.int64()), ("docs", pa.binary()), ("body", pa.binary())])
+PLACES = "part int, chunk long, docs binary, body binary"
 
 
 def _send(parts: int):
-    """Anchors of each chunk of documents, one block for each hash partition."""
+    """Anchors of each chunk of documents, one block for each hash partition, and one block with the chunk's documents and what is decided already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get().partitionId()
         for number, held in enumerate(_chunks(batches)):
-            powers = _power_tables(max(len(x[2]) for x in held) + 1)
-            found = [anchors(np.frombuffer(x[2], np.uint8), powers) for x in held]
-            doc = np.repeat(np.arange(len(held)), [len(x[0]) for x in found])
-            place, value = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
+            chunk = task << 32 | number
+            (doc, place, value), spans = _chunk_anchors(held)
             part = (value >> np.uint64(40)) % np.uint64(parts)
             order = np.argsort(part, kind="stable")
             edges = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64))
-            docs = _pack(np.diff(np.array([x[0] for x in held]), prepend=0), np.array([x[1] for x in held], np.int64))
+            docs = _pack(np.array([x[0] for x in held], np.int64), np.array([x[1] for x in held], np.int64), *map(_narrow, spans))
+            yield pa.RecordBatch.from_pylist([{"part": chunk % parts, "chunk": chunk, "docs": docs, "body": None}], _PLACES)
             for p, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if lo < hi:
                     mine = order[lo:hi]
-                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([task << 32 | number], pa.int64()), pa.array([docs], pa.binary()), pa.array([_pack(value[mine], _narrow(doc[mine]), _narrow(place[mine]))], pa.binary())], ["part", "chunk", "docs", "body"])
+                    yield pa.RecordBatch.from_pylist([{"part": p, "chunk": chunk, "docs": None, "body": _pack(value[mine], _narrow(doc[mine]), _narrow(place[mine]))}], _PLACES)
 
     return run
 
 
-_PLACES = pa.schema([("chunk", pa.int64()), ("docs", pa.binary()), ("body", pa.binary())])
-
-
 def _repeated(hot: int):
-    """Of one hash partition, the anchors whose hash repeats, back to their chunks; whether it has more than ``hot`` places."""
+    """Of one hash partition, the anchors that stand in more than one place, back to their chunks; whether these are more than ``hot``."""
 
     def run(rows: pa.Table) -> pa.Table:
-        blocks = [_unpack(x) for x in rows.column("body").to_pylist()]
+        out = [x for x in rows.to_pylist() if x["docs"] is not None]
+        sent = rows.filter(pc.is_valid(rows.column("body")))
+        if not sent.num_rows:
+            return pa.Table.from_pylist(out, _PLACES)
+        blocks = [_unpack(x) for x in sent.column("body").to_pylist()]
         values = np.concatenate([x[0] for x in blocks])
         order = np.argsort(values, kind="stable")
         fresh = np.concatenate([[True], values[order][1:] != values[order][:-1]])
         sizes = np.diff(np.append(np.flatnonzero(fresh), len(values)))
         count = np.empty(len(values), np.int64)
         count[order] = np.repeat(sizes, sizes)
-        out, at = [], 0
-        for chunk, docs, (own, doc, place) in zip(rows.column("chunk").to_pylist(), rows.column("docs").to_pylist(), blocks, strict=True):
+        at = 0
+        for chunk, (own, doc, place) in zip(sent.column("chunk").to_pylist(), blocks, strict=True):
             n = count[at : at + len(own)]
             at += len(own)
             if len(x := np.flatnonzero(n > 1)):
-                out.append({"chunk": chunk, "docs": docs, "body": _pack(doc[x], place[x], (n[x] > hot).astype(np.uint8))})
+                out.append({"part": 0, "chunk": chunk, "docs": None, "body": _pack(doc[x], place[x], (n[x] > hot).astype(np.uint8))})
         return pa.Table.from_pylist(out, _PLACES)
 
     return run
 
 
-_FOUND = pa.schema([("d", pa.int64()), ("key", pa.int64()), ("places", pa.binary()), ("n", pa.int64()), ("hot", pa.int64())])
+_FOUND = pa.schema([("d", pa.int64()), ("key", pa.int64()), ("places", pa.binary()), ("n", pa.int64()), ("hot", pa.int64()), ("lo", pa.list_(pa.int32())), ("hi", pa.list_(pa.int32()))])
+FOUND = "d long, key long, places binary, n long, hot long, lo array<int>, hi array<int>"
 
 
 def _by_document(rows: pa.Table) -> pa.Table:
-    """The repeated anchors of a chunk, one row per document."""
-    ids, keys = _unpack(rows.column("docs")[0].as_py())
-    doc, place, hot = (np.concatenate([np.asarray(y, np.int64) for y in x]) for x in zip(*map(_unpack, rows.column("body").to_pylist()), strict=True))
+    """The repeated anchors of a chunk, and what is decided already, one row per document that has any."""
+    ids, keys, *spans = _unpack(next(x for x in rows.column("docs").to_pylist() if x is not None))
+    blocks = [_unpack(x) for x in rows.column("body").to_pylist() if x is not None]
+    wide = lambda parts: np.concatenate([np.empty(0, np.int64), *(np.asarray(x, np.int64) for x in parts)])
+    doc, place, hot = (wide(x[i] for x in blocks) for i in range(3))
     order = np.lexsort((place, doc))
     doc, place, hot = doc[order], place[order], hot[order]
-    heads = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    ids, out = np.cumsum(ids), []
-    for lo, hi in zip(heads, np.append(heads[1:], len(doc)), strict=True):
-        out.append({"d": ids[doc[lo]], "key": keys[doc[lo]], "places": _pack(_narrow(np.diff(place[lo:hi], prepend=0)), hot[lo:hi].astype(np.uint8)), "n": hi - lo, "hot": int(hot[lo:hi].sum())})
+    of, lo, hi = (wide([x]) for x in spans)
+    order = np.lexsort((lo, of))
+    of, lo, hi = of[order], lo[order], hi[order]
+    out = []
+    for k in np.union1d(doc, of).tolist():
+        a, b = np.searchsorted(doc, [k, k + 1])
+        p, q = np.searchsorted(of, [k, k + 1])
+        # Stretches of starts that touch are one.
+        x, y = lo[p:q], np.maximum.accumulate(hi[p:q])
+        cut = np.flatnonzero(np.concatenate([[True], x[1:] > y[:-1] + 1])[: len(x)])
+        ends = y[np.append(cut[1:], len(x)) - 1] if len(x) else y
+        out.append({"d": ids[k], "key": keys[k], "places": _pack(_narrow(np.diff(place[a:b], prepend=0)), hot[a:b].astype(np.uint8)), "n": b - a, "hot": int(hot[a:b].sum()), "lo": x[cut].tolist(), "hi": ends.tolist()})
     return pa.Table.from_pylist(out, _FOUND)
 
 
@@ -330,75 +389,74 @@ def _later(rows: pa.Table) -> pa.Table:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(d, key, removed, spans, kept): what is left of each text; the bytes may break characters."""
+    """(d, n_bytes, spans, kept, sha): what is left of each text; the bytes may break characters."""
+    kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
     for batch in batches:
-        out = []
-        for d, key, text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("d", "key", "text", "lo", "hi")), strict=True):
+        spans, kept, sizes = [], [], []
+        for text, lo, hi in zip(*(batch.column(c).to_pylist() for c in ("text", "lo", "hi")), strict=True):
             data = np.frombuffer(text.encode(), np.uint8)
-            edges = np.zeros(len(data) + 1, np.int64)
+            edges = np.zeros(len(data) + 1, np.int32)
             np.add.at(edges, lo, 1)
             np.add.at(edges, np.array(hi) + LENGTH, -1)
             gone = np.cumsum(edges[:-1]) > 0
             turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
-            out.append((d, key, list(zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)), data[~gone].tobytes()))
-        ids, keys, spans, kept = zip(*out, strict=True) if out else ((), (), (), ())
-        kind = pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())]))
-        spans = pa.array([[{"from": a, "to": b} for a, b in x] for x in spans], kind)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), spans, pa.array(kept, pa.binary())], ["d", "key", "spans", "kept"])
-
-
-def _texts_with(texts: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """Texts joined with rows about them; the rows are broadcast while their counted bytes stay under the bound."""
-    return texts.join(F.broadcast(rows) if size <= BROADCAST_BYTES else rows, ["d", "key"])
+            spans.append([{"from": a, "to": b} for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True)])
+            kept.append(data[~gone].tobytes())
+            sizes.append(len(data))
+        yield pa.RecordBatch.from_arrays([batch.column("d"), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary()), batch.column("sha")], ["d", "n_bytes", "spans", "kept", "sha"])
 
 
 def cuts(docs: DataFrame, hot: int = HOT, partition_anchors: int = PARTITION_ANCHORS) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): for every row of ``docs`` (doc_id, text) the removed runs of bytes and what is left.
 
     ``kept`` is null where nothing goes and the text stays as it is; ``whole_sha256`` is the digest of the whole text.
+    The texts to search are moved once, into a table dealt by their names; all later joins with them are local.
     """
+    name = ["d", "key"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)).alias("d"), text.alias("text")).withColumn("key", F.xxhash64("text"))
     named = texts.select("d", "key", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     rows = durable(named.groupBy("d", "key", "sha", "n_bytes").agg(F.count("*").alias("copies")), "texts")
-    firsts = rows.groupBy("sha").agg(F.min("d").alias("first"), F.count("*").alias("kinds"))
-    total = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    later = rows.join(firsts.where("kinds > 1"), "sha").where("d > first").select("d", "key")
-    later = durable(later, "later")
-    longer = texts.where(F.octet_length("text") >= LENGTH)
-    alone = longer.join(F.broadcast(later) if later.count() * 32 <= BROADCAST_BYTES else later, ["d", "key"], "left_anti")
-    if rows.where("copies > 1").join(firsts, "sha").where("d = first").take(1):  # equal rows of one id: search one of them
-        alone = alone.dropDuplicates(["d", "key"])
+    firsts = durable(rows.groupBy("sha").agg(F.min("d").alias("first"), F.count("*").alias("kinds")), "firsts")
+    rows = durable(spread_join(rows, firsts, ["sha"], "kinds", "d"), "rows")
+    total = rows.where("d = first").agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
+
+    buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, -(-total // BUCKET_BYTES)))
+    # Texts to leave out are marked in the same movement; of equal rows of one id, one is searched.
+    longer = texts.where(F.octet_length("text") >= LENGTH).select(*name, "text", F.lit(0).alias("out"))
+    later = rows.where((F.col("d") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).select(*name, F.lit(None).cast("string").alias("text"), F.lit(1).alias("out"))
+    place = F.row_number().over(Window.partitionBy(*name).orderBy(F.desc("out")))
+    dealt = longer.unionByName(later).repartition(buckets, *name).withColumn("place", place)
+    alone = bucketed(dealt.where("place = 1 and out = 0").select("d", "key", "text"), buckets, *name)
 
     parts = max(1, -(-total * 2 // ((WINDOW + 1) * partition_anchors)))
-    sent = alone.select("d", "key", "text").mapInArrow(_send(parts), "part int, chunk long, docs binary, body binary")
-    places = sent.repartition(parts, "part").groupBy("part").applyInArrow(_repeated(hot), "chunk long, docs binary, body binary")
-    found = durable(places.groupBy("chunk").applyInArrow(_by_document, "d long, key long, places binary, n long, hot long"), "anchors")
-    size, many, hots = found.agg(F.coalesce(F.sum(F.octet_length("places") + 64), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hot"), F.lit(0))).first()
+    places = alone.mapInArrow(_send(parts), PLACES).repartitionById(parts, F.col("part")).groupBy("part").applyInArrow(_repeated(hot), PLACES)
+    found = durable(places.groupBy("chunk").applyInArrow(_by_document, FOUND), "anchors")
+    many, hots = found.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("hot"), F.lit(0))).first()
+
+    def beside(wanted: DataFrame) -> DataFrame:
+        return alone.join(wanted.hint("shuffle_hash"), name)
 
     spans = "d long, key long, lo int, hi int"
-    near = _texts_with(alone, found.where("n > hot"), size).select("d", "key", "text", "places")
     shards = max(1, -(-many * (LENGTH + WINDOW) // SHARD_BYTES))
-    around = near.mapInArrow(_surroundings(shards), "shard int, d long, key long, start int, anchor long, around binary")
-    starts = around.repartition(shards, "shard").groupBy("shard").applyInArrow(_later, spans)
+    around = beside(found.where("n > hot").select("d", "key", "places")).select("d", "key", "text", "places").mapInArrow(_surroundings(shards), "shard int, d long, key long, start int, anchor long, around binary")
+    starts = around.repartitionById(shards, F.col("shard")).groupBy("shard").applyInArrow(_later, spans)
     if hots:
-        strings = _texts_with(alone, found.where("hot > 0"), size).select("d", "key", "text", "places").mapInArrow(_strings, "h1 long, h2 long, d long, key long, start int")
+        strings = beside(found.where("hot > 0").select("d", "key", "places")).select("d", "key", "text", "places").mapInArrow(_strings, "h1 long, h2 long, d long, key long, start int")
         where = F.struct("d", "key", "start")
-        early = strings.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-        again = strings.join(early, ["h1", "h2"]).where(where != F.col("first"))
+        early = durable(strings.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.count("*").alias("n")).where("n > 1"), "early")
+        again = spread_join(strings, early, ["h1", "h2"], "n", where).where(where != F.col("first"))
         starts = starts.unionByName(again.select("d", "key", F.col("start").alias("lo"), F.col("start").alias("hi")))
-    runs = durable(starts.groupBy("d", "key").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "runs")
-    size = runs.agg(F.coalesce(F.sum(F.size("lo") * 8 + 64), F.lit(0))).first()[0]
-    done = _texts_with(alone, runs, size).select("d", "key", "text", "lo", "hi").mapInArrow(_cut, "d long, key long, spans array<struct<from:int,to:int>>, kept binary")
+    told = found.where("size(lo) > 0").select("d", "key", F.explode(F.arrays_zip("lo", "hi")).alias("s")).select("d", "key", "s.lo", "s.hi")
+    runs = durable(starts.unionByName(told).groupBy(*name).agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")), "runs")
+    cut = beside(runs).select("d", "text", "lo", "hi", F.sha2("text", 256).alias("sha")).mapInArrow(_cut, "d long, n_bytes long, spans array<struct<from:int,to:int>>, kept binary, sha string")
 
-    # Back to rows: of equal rows the first is cut as found, the others go whole.
-    every = rows.join(firsts.select("sha", "first"), "sha").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # The other rows don't need their texts: of equal rows the first stays whole if nothing was found, the others go whole.
+    every = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    every = every.join(runs.select(*name, F.lit(True).alias("cut")), name, "left").where("cut is null or copy > 1 or d > first")
     late = ((F.col("d") > F.col("first")) | (F.col("copy") > 1)) & (F.col("n_bytes") >= LENGTH)
-    out = every.join(done, ["d", "key"], "left")
     whole = F.array(F.struct(F.lit(0).alias("from"), F.col("n_bytes").cast("int").alias("to")))
     none = F.array().cast("array<struct<from:int,to:int>>")
-    return out.select(
-        F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "n_bytes",
-        F.when(late, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
-        F.when(late, F.lit(b"")).otherwise(F.col("kept")).alias("kept"), F.col("sha").alias("whole_sha256"),
-    )
+    rest = every.select("d", "n_bytes", F.when(late, whole).otherwise(none).alias("spans"), F.when(late, F.lit(b"")).alias("kept"), "sha")
+    out = cut.unionByName(rest)
+    return out.select(F.when(F.col("d") != NONE, F.col("d")).alias("doc_id"), "n_bytes", "spans", "kept", F.col("sha").alias("whole_sha256"))

@@ -15,7 +15,8 @@ def thin(pts: np.ndarray, least: float) -> np.ndarray:
     if n < 3:
         return pts
     before, after = np.arange(-1, n - 1), np.arange(1, n + 1)
-    size = lambda i: abs(np.cross(pts[i] - pts[before[i]], pts[after[i]] - pts[before[i]])) / 2 if 0 < i < n - 1 else np.inf
+    cross = lambda u, v: abs(u[0] * v[1] - u[1] * v[0]) / 2
+    size = lambda i: cross(pts[i] - pts[before[i]], pts[after[i]] - pts[before[i]]) if 0 < i < n - 1 else np.inf
     sizes = np.array([size(i) for i in range(n)])
     heap, alive = [(s, i) for i, s in enumerate(sizes)], np.ones(n, bool)
     heapq.heapify(heap)

@@ -234,7 +234,7 @@ def flow_presets(spark, sf_dir):
 
 
 @query("SELECT what, TRUE AS refused FROM (VALUES ('dt'), ('mean_tol'), ('n_iter'), ('recompute_every'), ('area_scale'), ('spacing'), ('compactness'), ('force_mode'), ('resolution'), ('repair_every'), ('exact')) t(what)")
-def options_refused(spark, sf_dir):
+def refused_options(spark, sf_dir):
     """Options that make no sense are refused when they are made."""
     cases = [(flow.Options, {"dt": 0.0}), (flow.Options, {"mean_tol": -1.0}), (flow.Options, {"n_iter": 0}), (flow.Options, {"recompute_every": 0}), (flow.Options, {"area_scale": 0.0}), (circles.PhysicsOptions, {"spacing": -1.0}), (circles.PackingOptions, {"compactness": 2.0}), (circles.PackingOptions, {"force_mode": "none"}), (voronoi.Options, {"resolution": 0}), (voronoi.Options, {"repair_every": 0}), (voronoi.Options, {"exact": True, "geodesic": True})]
 

@@ -636,14 +636,12 @@ def circle_packing(spark, sf_dir):
     return _overlaps(cartograms.layout(X.nation_map(spark, sf_dir), "value", "packing"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS overlaps, CAST(25 AS BIGINT) AS symbols, TRUE AS closer")
+@query("SELECT CAST(0 AS BIGINT) AS overlaps, CAST(25 AS BIGINT) AS symbols, TRUE AS moved, TRUE AS near")
 def circle_physics(spark, sf_dir):
-    """Free of overlaps, and neighbours nearer to each other than their regions were."""
-    regions = X.nation_map(spark, sf_dir)
-    held = cartograms.layout(regions, "value", "physics")
-    at = lambda k, *c: held.select(F.col("region_id").alias(k), *(F.col(n).alias(f"{k}_{n}") for n in c))
-    met = adjacency.box_pairs(regions, min_shared=0.5).join(at("i", "x", "y"), "i").join(at("j", "x", "y"), "j")
-    return _overlaps(held).join(met.agg((F.avg(F.hypot(F.col("i_x") - F.col("j_x"), F.col("i_y") - F.col("j_y"))) < 1).alias("closer")))
+    """Circles that began with overlaps end without, not where they were and not far from it."""
+    held = cartograms.layout(X.nation_map(spark, sf_dir), "value", "physics")
+    far = F.max(F.hypot(F.col("x") - F.col("x0"), F.col("y") - F.col("y0")))
+    return _overlaps(held).join(held.agg((far > 0.01).alias("moved"), (far < 2.5).alias("near")))
 
 
 @query("SELECT CAST(25 AS BIGINT) AS tiles, CAST(25 AS BIGINT) AS regions")

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from arealmap import layout_queries  # noqa: F401 - registers its queries
 from arealmap import queries as maps
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -13,29 +13,44 @@ is left over goes to the others by weight until none is above.
 
 Defined cases: a null text has no words, and a document without words is never
 taken; a null source is a source of its own; equal rows count as often as they
-stand; an empty table gives an empty result; other columns are ignored.
+stand; a null id is a key like any other, with the text's digest beside it, so
+reruns agree however rows arrive; texts of any length count whole, and blocks
+cut them where they fall; an empty table gives an empty result; other columns
+travel untouched, whatever they are called.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, durable, small_side
+from .common import SPACE, durable, small_side, unwrapped, wrapped
 
 SEED = 7
-#: Words of a block; larger where a schedule would have more than MAX_SLOTS slots.
-BLOCK_WORDS, MAX_SLOTS = 1024, 1 << 18
+#: Words of a block, and slots of a stretch of the schedule, which one task ranks.
+BLOCK_WORDS, STRETCH = 1024, 1 << 16
 #: Documents whose words one window adds up.
 STREAM_ROWS = 4096
 #: Parts of the cumulative weights that the points are matched in.
 CELLS = 1024
 
 
+#: The columns that place a row; rows equal in all of them are told apart by their number among these.
+PLACE = ["key", "doc_id", "source", "size", "sha"]
+
+
+def described(seed: int = SEED) -> dict[str, Column]:
+    """A document's words, the digest of its text, and its key in the seeded order, which doesn't depend on how rows arrive."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size, sha = F.regexp_count(text, F.lit(f"[^{SPACE}]+")).cast("long"), F.sha2(text, 256)
+    return {"size": size, "sha": sha, "key": F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), sha)}
+
+
 def sized(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(row, doc_id, source, size, key): the words of each document and its place in the seeded order."""
-    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long").alias("size"))
-    return durable(plain.withColumn("key", F.xxhash64(F.lit(seed), F.coalesce("doc_id", "row"), "size")), "sized")
+    """(row, doc_id, source, size, sha, key): the words of each document and its place in the seeded order."""
+    told = described(seed)
+    plain = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), *(c.alias(n) for n, c in told.items()))
+    return durable(plain, "sized")
 
 
 def targets(docs: DataFrame, most: int = 3) -> DataFrame:
@@ -75,7 +90,13 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
     turned = F.conv(F.reverse(F.lpad(F.bin("slot"), bits, "0")), 2, 10).cast("double")
     points = points.withColumn("x", turned * total / (1 << bits)).withColumn("cell", F.floor(F.col("x") / width).cast("long"))
     dealt = points.join(small_side(cells), "cell").where("x >= `from` and x < `to`")
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("slot")) - 1).where("rank < need")
+    # A source's slots are ranked within stretches of the schedule, and the stretches' numbers added up.
+    dealt = dealt.withColumn("stretch", F.floor(F.col("slot") / STRETCH))
+    counts = dealt.groupBy("source", "stretch").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("stretch").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n"))
+    before = before.select(F.col("source").alias("_source"), F.col("stretch").alias("_stretch"), "before")
+    local = dealt.withColumn("inner", F.row_number().over(Window.partitionBy("source", "stretch").orderBy("slot")) - 1)
+    ranked = local.join(before, (F.col("stretch") == F.col("_stretch")) & F.col("source").eqNullSafe(F.col("_source"))).withColumn("rank", F.col("before") + F.col("inner")).where("rank < need")
     return ranked.select("slot", "source", "source_size", "rank", (F.col("rank") * block).alias("first"), F.least((F.col("rank") + 1) * block, F.col("words")).alias("last"))
 
 
@@ -86,7 +107,7 @@ def streams(docs: DataFrame) -> DataFrame:
     """
     parts = max(1, docs.count() // STREAM_ROWS)
     split = docs.withColumn("part", F.pmod("key", F.lit(parts)))
-    inner = Window.partitionBy("source", "part").orderBy("key", "row")
+    inner = Window.partitionBy("source", "part").orderBy("key", "doc_id", "sha", "row")
     local = split.withColumn("inner", F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     sums = split.groupBy("source", "part").agg(F.sum("size").alias("words"))
     outer = Window.partitionBy("source").orderBy("part")
@@ -112,26 +133,33 @@ def taken(docs: DataFrame, goals: DataFrame, block: int) -> DataFrame:
     return met.groupBy("row").agg(F.sum(overlap).cast("long").alias("taken"), F.sum(begins).alias("copies"))
 
 
-def block_words(total: int) -> int:
-    return max(BLOCK_WORDS, -(-total // MAX_SLOTS))
-
-
 def mix(docs: DataFrame, most: int = 3, seed: int = SEED) -> DataFrame:
     """(row, doc_id, size, source, source_size, target, taken, copies) of every row of ``docs`` (doc_id, text, source)."""
     rows = sized(docs, seed)
     goals = durable(targets(rows, most), "targets")
-    total = goals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    used = taken(rows, goals, block_words(total))
+    used = taken(rows, goals, BLOCK_WORDS)
     named = goals.select(F.col("source").alias("_source"), "source_size", "target")
     out = rows.join(small_side(named), F.col("source").eqNullSafe(F.col("_source"))).join(used, "row", "left")
-    return out.select("row", "doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("copies", F.lit(0).cast("long")).alias("copies"))
+    return out.select("row", "doc_id", "size", "sha", "source", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"), F.coalesce("copies", F.lit(0).cast("long")).alias("copies"))
 
 
 def mixed(docs: DataFrame, most: int = 3, seed: int = SEED) -> DataFrame:
-    """The mix itself: each row of ``docs``, with all its columns, as often as the schedule takes its first word."""
-    uses = durable(mix(docs, most, seed).where("copies > 0").groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows")), "uses")
-    size = F.coalesce(F.regexp_count("text", F.lit(f"[^{SPACE}]+")), F.lit(0))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (size == F.col("_size"))
-    # Of equal rows each gets the mean number of copies, rounded up, so none is lost.
-    repeats = F.explode(F.sequence(F.lit(1), F.ceil(F.col("_copies") / F.col("_rows")).cast("int")))
-    return docs.join(small_side(uses), same).select(*docs.columns, repeats.alias("_use")).drop("_use")
+    """The mix itself: each row of ``docs``, with all its columns, as often as the schedule takes its first word.
+
+    Of rows equal in id, source and text the first ones take what falls to all of them, so the mix neither
+    gains nor loses words by them.
+    """
+    same = ["doc_id", "source", "sha"]
+    uses = mix(docs, most, seed).groupBy(*same).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    uses = durable(uses.where("copies > 0 or rows > 1"), "uses").withColumnsRenamed({"doc_id": "use_id", "source": "use_source", "sha": "use_sha"})
+    rows = wrapped(docs, F.col("source").cast("string").alias("source"), described(seed)["sha"].alias("sha")).drop("text")
+    met = rows.join(small_side(uses), F.col("doc_id").eqNullSafe(F.col("use_id")) & F.col("source").eqNullSafe(F.col("use_source")) & (F.col("sha") == F.col("use_sha")))
+    if uses.where("rows > 1").take(1):
+        # Equal rows share their copies: each has the whole part of the mean, and the first of them one more.
+        nth = F.row_number().over(Window.partitionBy(*same).orderBy(F.lit(0)))
+        met = met.where("rows = 1").withColumn("nth", F.lit(1)).unionByName(met.where("rows > 1").withColumn("nth", nth))
+    else:
+        met = met.withColumn("nth", F.lit(1))
+    times = F.floor(F.col("copies") / F.col("rows")) + (F.col("nth") <= F.col("copies") % F.col("rows")).cast("int")
+    met = met.withColumn("times", times.cast("int")).where("times > 0")
+    return unwrapped(met.withColumn("use", F.explode(F.sequence(F.lit(1), "times"))), docs.columns)

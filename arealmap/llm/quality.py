@@ -7,8 +7,9 @@ decision threshold is a quantile of the scores of the training rows: the one
 that separates their labels best.  A logistic map with that quantile at the
 wanted probability turns scores into numbers from 0 to 1.
 
-The fit uses a bounded sample of labelled rows (``max_rows``, smallest seeded
-hash first); scoring reads every row whole.
+The fit uses a bounded sample of labelled ids (``max_rows``, smallest seeded
+hash first), and of the rows that have them twice as many at most, in order of
+id and digest; scoring reads every row whole, a few at a time, whatever its length.
 
 Defined cases: a null text counts as empty, and empty texts get a score like
 any other; a null id is never labelled; ids labelled twice take the mean of
@@ -26,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import crc32_of
+from .common import crc32_of, few_at_a_time, unwrapped, wrapped
 
 #: Labelled rows of a fit at most, and preference pairs drawn from them.
 MAX_ROWS = 12_000
@@ -123,13 +125,13 @@ def fit(rows: np.ndarray, good: np.ndarray, level: float = 0.7, max_pairs: int =
 
 def _featured(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             rows = [features((x or "").encode()) for x in batch.column("text").to_pylist()]
             values = pa.array(np.concatenate(rows) if rows else np.empty(0), pa.float64())
             listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * FEATURES, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([batch.column("good"), listed], ["good", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("good"), batch.column("id"), batch.column("sha"), listed], ["good", "id", "sha", "x"])
 
-    return docs.mapInArrow(run, "good boolean, x array<double>")
+    return docs.mapInArrow(run, "good boolean, id long, sha string, x array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows: int = MAX_ROWS, level: float = 0.7) -> Ranker:
@@ -138,7 +140,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     # The bound keeps the driver's part, and what is broadcast, the same at every size.
     chosen = told.orderBy(F.xxhash64("_labelled"), "_labelled").limit(max_rows)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_labelled"))
-    rows = _featured(found.select("text", (F.col("m") > 0.5).alias("good"))).limit(2 * max_rows).toArrow()
+    told = found.select(F.col("doc_id").alias("id"), "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), (F.col("m") > 0.5).alias("good"))
+    # In an order that doesn't depend on how rows arrive, so a fit can be repeated; rows that share an id stay under the bound too.
+    rows = _featured(told).orderBy("id", "sha").limit(2 * max_rows).toArrow()
     x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES) if rows.num_rows else np.empty((0, FEATURES))
     return fit(x, np.array(rows.column("good").to_pylist(), bool), level)
 
@@ -148,12 +152,12 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             texts = batch.column("text").to_pylist()
             values = ranker.score(np.array([features((x or "").encode()) for x in texts]).reshape(-1, FEATURES))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in docs.schema) + ", score double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 
 
 def held_out():
@@ -174,6 +178,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, level: float = 0.7, max_rows:
     ranker = train(docs, labels.where(~held_out()), max_rows=max_rows, level=level)
     if not ranker.slope:
         return docs
-    inner = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
-    names = [f"row.`{c}`" for c in docs.columns]
-    return score(inner, ranker).where(F.col("score") >= level).select(*names)
+    inner = wrapped(docs).drop("doc_id")
+    return unwrapped(score(inner, ranker).where(F.col("score") >= level), docs.columns)

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, small_side
+from .common import BROADCAST_ROWS, durable, spread_join
 
 #: (verdict, host, path) of the contract's rules.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -98,8 +98,11 @@ def judge(pages: DataFrame, rules=RULES, order: int = ORDER) -> DataFrame:
     places = sequences(rows, order)
     # Counted before anything is joined: a sequence that stands in every URL is one row from each task.
     counted = (F.count_if((F.col("ruled") == ("allow" if c[0] == "a" else "block")) & (F.col("fold") == int(c[1]))).alias(c) for c in COUNTS)
-    ratios = durable(log_ratios(durable(places.groupBy("g").agg(*counted), "sequences"), order), "ratios")
-    scored = places.select("row", "g").join(small_side(ratios), "g").groupBy("row").agg(*(F.avg(n).alias(n) for n in MODELS))
+    grams = durable(places.groupBy("g").agg(*counted, F.count("*").alias("n")), "sequences")
+    ratios = durable(log_ratios(grams, order).join(grams.select("g", "n"), "g"), "ratios")
+    # Beyond the bound, a sequence that opens nearly all URLs is dealt over several tasks.
+    met = places.select("row", "g").join(F.broadcast(ratios), "g") if ratios.count() <= BROADCAST_ROWS else spread_join(places.select("row", "g"), ratios, ["g"], "n", "row")
+    scored = met.groupBy("row").agg(*(F.avg(n).alias(n) for n in MODELS))
     rated = durable(rows.join(scored, "row"), "rated")
     # A training URL is rated, for the threshold, by the model of the other fold.
     apart = F.when(F.col("fold") == 0, F.col("by1")).otherwise(F.col("by0"))

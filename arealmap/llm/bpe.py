@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import few_at_a_time, worker_cache
 
 #: Words that a worker remembers; memory only, results don't depend on it.
 CACHE_WORDS = 600_000
@@ -214,7 +214,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _tokenizer(source.value)
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 found = [coder.encode(x or "") for x in part.column("text").to_pylist()]

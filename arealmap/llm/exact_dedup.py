@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, durable, small_side, spread_join, unwrapped, wrapped
+from .common import BROADCAST_ROWS, SPACE, durable, few_at_a_time, small_side, spread_join, unwrapped, wrapped
 
 #: The two primes and the point at which the polynomials are taken.
 PRIMES = (2147483647, 2147483629)
@@ -83,13 +83,13 @@ def fingerprints(docs: DataFrame, make=Polynomial, huge: int = HUGE, huge_texts:
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = make()
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             found = [hasher.of(x.as_py().encode()) for x in batch.column("norm")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), batch.column("text_sha256"), pa.array([_packed(x) for x in found], pa.int64()), pa.array([x[2] for x in found], pa.int64())], ["doc_id", "row", "text_sha256", "fp", "n_bytes"])
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = make()
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             found = [hasher.of(x.as_py().encode()) for x in batch.column("norm")]
             columns = [pa.array([x[i] for x in found], pa.int64()) for i in range(3)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "row", "text_sha256", "piece")] + columns, ["doc_id", "row", "text_sha256", "piece", "h0", "h1", "n"])
@@ -116,7 +116,7 @@ def _compare(label: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             out = []
             for row in batch.to_pylist():
                 key = (row["fp"], row["n_bytes"], row[label]) if label != "none" else (row["fp"], row["n_bytes"])

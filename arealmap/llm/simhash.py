@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, release, small_side, spread_join
+from .common import durable, few_at_a_time, release, small_side, spread_join
 
 #: Fingerprints in one BK-tree.
 TREE_ROWS = 16_384
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     """(doc_id, fingerprint) of each row's whole text; the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             values = np.array([simhash(x.encode(), words) if x else 0 for x in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(values.view(np.int64))], ["doc_id", "fingerprint"])
 

@@ -1,12 +1,17 @@
 """Sharding and mixing against brute force, and the pipeline's stages."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from arealmap.llm import mixing, queries, sharding
+from arealmap.llm import mixing, quality, queries, sharding
+
+from test_copies import cut_by_hand, fingerprint, near_by_hand, normal
 
 
 @pytest.mark.parametrize("bucket, hot", [(8 << 20, 10_000), (3000, 3), (100, 10_000)])
@@ -79,13 +84,61 @@ def test_schedule_is_even(spark):
         assert all(abs(share[s] - cut * need[s] / len(slots)) <= 12 for s in need)
 
 
-def test_every_query_runs(spark, sf_dir):
-    for name in ("op3_multi_index_hashing", "op8_exact_dedup"):
-        assert queries.QUERIES[name](spark, sf_dir).count() > 0
+def test_mix_does_not_depend_on_arrival(spark, odd):
+    """Also rows without an id, and rows that are equal in all that is looked at."""
+    docs = odd.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id"))).unionByName(odd.where("doc_id in (20, 21)")).unionByName(odd.where("doc_id in (20, 21)"))
+    one, two = (sorted((str(x.doc_id), x.sha, str(x.source), x.size, x.taken) for x in mixing.mix(docs.repartition(n)).collect()) for n in (2, 7))
+    by = lambda rows: Counter({k: sum(r[4] for r in rows if r[:3] == k) for k in {r[:3] for r in rows}})
+    assert by(one) == by(two)
+
+
+def test_mixed_rows(odd, documents):
+    """Each row as often as the schedule takes its first word, with all its columns."""
+    for docs in (odd, documents):
+        wanted = Counter()
+        for x in mixing.mix(docs).collect():
+            wanted[x.doc_id, x.source, x.sha] += x.copies
+        sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+        rows = mixing.mixed(docs).collect()
+        assert Counter((x.doc_id, x.source, sha(x.text)) for x in rows) == +wanted
+        assert set(map(str, rows)) <= set(map(str, docs.collect()))
+
+
+def test_every_query_runs(spark, sf_dir, documents):
+    """All ten, as registered: one row per document where the contract says so."""
+    for name, query in queries.QUERIES.items():
+        found = query(spark, sf_dir)
+        rows = found.collect()
+        assert rows and found.count() == len(rows), name
+        if "doc_id" in found.columns:
+            assert Counter(x.doc_id for x in rows) == Counter(x.doc_id for x in documents.select("doc_id").collect()), name
+
+
+def test_registered_digests(spark, sf_dir, documents):
+    """What the thin queries put out, against plain Python."""
+    texts = {x.doc_id: x.text or "" for x in documents.collect()}
+    for x in queries.op9_simhash_near_dedup(spark, sf_dir).collect():
+        assert x.fingerprint == f"{fingerprint(texts[x.doc_id], 3):016x}"
+    for x in queries.op8_exact_dedup(spark, sf_dir).collect():
+        assert x.text_sha256 == hashlib.sha256(normal(texts[x.doc_id]).encode()).hexdigest()
+    cut = {i: (n, sum(b - a for a, b in spans), len(spans), sha) for i, n, spans, sha in cut_by_hand(list(texts.items()))}
+    for x in queries.op6_suffix_array_dedup(spark, sf_dir).collect():
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == cut[x.doc_id]
+    dealt = sorted(queries.op2_sharding(spark, sf_dir).collect(), key=lambda x: (x.shard, x.slot))
+    assert [x.slot for x in dealt] == [k for s in range(40) for k in range(sum(x.shard == s for x in dealt))]
 
 
 def test_pipeline(spark, sf_dir, documents):
+    """The whole run, row by row: what the classifier accepts, one of equal texts, one of near copies, the mix, and its tokens."""
     pipeline = pytest.importorskip("corpus_pipeline")
     assert [n for n, _ in pipeline.STAGES] == ["quality classifier", "exact dedup", "simhash near-dedup", "source mixing", "bpe"]
-    out = pipeline.run(spark, sf_dir).collect()
-    assert out and {x.doc_id for x in out} <= {x.doc_id for x in documents.collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    good = {x.doc_id for x in quality.classify(documents, labels).collect() if x.predicted}
+    first = {}
+    for x in sorted((x for x in documents.collect() if x.doc_id in good), key=lambda x: x.doc_id):
+        first.setdefault(normal(x.text), x)
+    left = near_by_hand(list(first.values()))
+    mix = mixing.mixed(spark.createDataFrame(left, documents.schema)).collect()
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    wanted = Counter((x.doc_id, tuple(library.encode(x.text or "", add_special_tokens=False).ids)) for x in mix)
+    assert Counter((x.doc_id, tuple(x.ids)) for x in pipeline.run(spark, sf_dir).collect()) == wanted

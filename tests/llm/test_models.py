@@ -220,3 +220,9 @@ def test_quality_without_both_labels_rejects_nothing(spark, odd):
     for rows in ([], [(i, 1, 0) for i in range(40)]):
         labels = spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
         assert sorted(map(str, quality.keep_good(odd, labels).collect())) == sorted(map(str, odd.collect()))
+
+
+def test_scores_do_not_depend_on_arrival(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    one, two = ({x.doc_id: x.score for x in quality.classify(docs.repartition(n), labels).collect()} for n in (2, 7))
+    assert one == two

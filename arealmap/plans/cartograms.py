@@ -14,6 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as G
 from ..kernels import assign as A
@@ -207,8 +208,8 @@ def partition(regions: DataFrame, columns: list[str], method: str = "shrink", no
             kind = batch.schema.field("geom").type
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, kind) for x in out)], [*batch.schema.names, *(f"geometry_{c}" for c in names)])
 
-    shape = ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in held.schema)
-    return held.mapInArrow(run, shape + "".join(f", geometry_{c} {G.GEOM}" for c in names))
+    more = StructType.fromDDL(", ".join(f"`geometry_{c}` {G.GEOM}" for c in names))
+    return held.mapInArrow(run, StructType([*held.schema.fields, *more.fields]))
 
 
 def dot_density(regions: DataFrame, columns: list[str], n_dots: int = 100, normalization: str | None = None, invert: bool = False, seed: int = 0) -> DataFrame:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, small_side, spread_join, unwrapped, worker_cache, wrapped
+from .common import durable, few_at_a_time, small_side, spread_join, unwrapped, worker_cache, wrapped
 from .katz import _ODD, _mix, _power_tables, word_hashes
 from .simhash import components, grouped
 
@@ -77,7 +77,7 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that several rows of a sample have, and in how many they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             held = [shingles(x, words) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *held]))], ["token"])
 
@@ -94,7 +94,7 @@ def _marks(words: int, similarity: float, common: np.ndarray, times: np.ndarray)
     """Of each text: its SimHash, the number of its shingles, and the first of them, rare ones first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             prints, sizes, firsts = [], [], []
             for text in batch.column("text").to_pylist():
                 held = shingles(text, words)
@@ -203,7 +203,7 @@ def _verified(texts: DataFrame, marks: DataFrame, pairs: DataFrame, words: int,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in few_at_a_time(batches):
             held = [shingles(x, words).tobytes() for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(held, pa.binary())], ["row", "shingles"])
 
@@ -232,32 +232,40 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     found = texts.mapInArrow(_marks(words, similarity, *_common(texts, words)), "doc_id long, sha string, fingerprint long, size long, tokens array<long>")
     marks = durable(found.withColumn("row", F.monotonically_increasing_id()), "marks")
-    tokens = marks.select("row", "size", F.explode("tokens").alias("token"))
-    frequent = F.broadcast(_frequent(tokens))
-    salt = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))
-    order = Window.partitionBy("token", "salt").orderBy("size", "row")
-    beside = tokens.join(frequent, "token", "left").withColumn("salt", salt).select("token", "row", "size", "parts", F.lag("row").over(order).alias("before"), F.lag("size").over(order).alias("least"), F.lead("row").over(order).alias("after"))
-    shared = durable(beside.where("before is not null or after is not null or parts is not null").drop("after"), "shared")
-
-    def enough(pairs: DataFrame, share: float) -> DataFrame:
-        met = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-        return met.where(F.col("n") >= share * F.col("need")).select("a", "b")
+    sizes = marks.select("row", "size")
+    # Only shingle and row are moved; sizes join what is left.
+    tokens = marks.select("row", F.explode("tokens").alias("token"))
+    frequent, keys, others = _frequent(tokens), ["token"], F.lit(False)
+    if frequent.take(1):  # rows of a very frequent shingle are compared with neighbours in several chains; one alone in its chain has others still
+        tokens, keys = tokens.join(F.broadcast(frequent), "token", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1)))), ["token", "salt"]
+        others = F.col("parts").isNotNull()
+    order = Window.partitionBy(*keys).orderBy("row")
+    beside = tokens.withColumns({"before": F.lag("row").over(order), "after": F.lead("row").over(order)})
+    shared = durable(beside.where(F.col("before").isNotNull() | F.col("after").isNotNull() | others).select("token", "row", "before"), "shared")
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        """(a, b, n, need) of pairs (a, b, n): ``n`` shared shingles found, and how many texts of these sizes need."""
+        for c in "ab":
+            pairs = pairs.join(sizes.select(F.col("row").alias(c), F.col("size").alias("size_" + c)), c)
+        pairs = pairs.select("a", "b", "n", F.least("size_a", "size_b").alias("low"), F.greatest("size_a", "size_b").alias("high"))
+        return pairs.where(F.col("low") >= similarity * F.col("high") - 1e-9).select("a", "b", "n", _needed(similarity, "low", "high").alias("need"))
 
     near = grouped(marks.select("row", "doc_id", "fingerprint"), radius).select(F.col("row").alias("a"), F.col("first_row").alias("b"))
-    beside = shared.where(F.col("least") >= similarity * F.col("size") - 1e-9)
-    beside = beside.select(F.least("row", "before").alias("a"), F.greatest("row", "before").alias("b"), _needed(similarity, "least", "size").alias("need"))
-    first = _verified(texts, marks, near.unionByName(enough(beside, 0.25)), words, similarity)
+    met = shared.where("before is not null").groupBy(F.col("before").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("n"))
+    first = _verified(texts, marks, near.unionByName(sized(met).where(F.col("n") >= 0.25 * F.col("need")).select("a", "b")), words, similarity)
 
     kinds = durable(components(first).select(F.col("node").alias("row"), F.col("root").alias("kind")), "classes")
-    told = shared.select("token", "row", "size").join(small_side(kinds), "row", "left").withColumn("kind", F.coalesce("kind", "row"))
+    told = shared.select("token", "row").join(small_side(kinds), "row", "left").withColumn("kind", F.coalesce("kind", "row"))
     mixed = told.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("n")).where("low <> high").select("token", "n")
-    mixed = durable(mixed.join(frequent, "token", "left").select("token", "n", F.coalesce("parts", F.lit(1)).alias("parts")), "mixed")
+    mixed = durable(mixed.join(F.broadcast(frequent), "token", "left").select("token", "n", F.coalesce("parts", F.lit(1)).alias("parts")), "mixed")
     work = mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()[0]
-    held = spread_join(told, mixed, ["token"], "n", "row").withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = spread_join(told, mixed, ["token"], "n", "row").join(sizes, "row")
+    held = held.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(low == high, 2).when(F.col("part") == low, 0).otherwise(1).alias("side")
     held = held.select(F.xxhash64("token", low, high).alias("piece"), "row", "size", "kind", side).repartition(max(12, work // TASK_ROWS), "piece")
-    second = _verified(texts, marks, enough(held.mapInArrow(_across(similarity), "a long, b long, need double"), 1.0), words, similarity)
+    found = held.mapInArrow(_across(similarity), "a long, b long, need double").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    second = _verified(texts, marks, found.where("n >= need").select("a", "b"), words, similarity)
 
     nodes = durable(components(first.unionByName(second)), "groups")
     named = marks.select("row", "doc_id", "sha").join(small_side(nodes.withColumnRenamed("node", "row")), "row")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, katz, mixing, quality, sharding, simhash, suffix_dedup, url_filter
+from . import ann, bpe, exact_dedup, exponion, katz, merkle, mixing, quality, quality_rules, sharding, simhash, suffix_dedup, url_filter
 from .common import table
 
 #: The public tokenizer file that op7 reads; a parameter of the operator.
@@ -97,4 +97,27 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op10_url_filter"] = url_filter.sql()
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_multi_index_hashing, op4_source_mixing, op5_katz_backoff, op6_suffix_array_dedup, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup, op10_url_filter)}
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proven(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_merkle_manifest"] = merkle.sql()
+
+
+def op12_exponion_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exponion.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, size=64, scale=1024.0, seed=3)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", F.sha2(F.array_join("center", ","), 256).alias("centroid_sha256"))
+
+
+ORACLES["op12_exponion_clustering"] = exponion.sql()
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.clean(table(spark, sf_dir, "documents").select("doc_id", "text"), texts=False)
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op13_quality_rules"] = quality_rules.sql()
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_sharding, op3_multi_index_hashing, op4_source_mixing, op5_katz_backoff, op6_suffix_array_dedup, op7_bpe, op8_exact_dedup, op9_simhash_near_dedup, op10_url_filter, op11_merkle_manifest, op12_exponion_clustering, op13_quality_rules)}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..kernels.planar import boundary_within
-from .measure import per_map
+from .measure import map_keys, per_map
 
 #: Cells of the finest grid are this many mean region sides wide.
 WIDTH = 2.0
@@ -24,87 +23,100 @@ def default_tolerance(regions: DataFrame) -> float:
     return 0.001 * (regions.agg(F.avg(F.sqrt(G.area(F.col("geom"))))).first()[0] or 0.0)
 
 
-def near_boxes(boxes: DataFrame, tolerance: float) -> DataFrame:
-    """(i, j, a, b) of boxes (region_id, b), i < j, that come within the tolerance of each other, with their bounds.
+def boxes_of(regions: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """(map_id, region_id, b, tol): bounds, and the tolerance given or a thousandth of the mean side of the map's own regions."""
+    held = regions.select(*map_keys(regions), "region_id", G.bounds(F.col("geom")).alias("b"), F.sqrt(G.area(F.col("geom"))).alias("_side"))
+    if tolerance is not None:
+        return held.withColumn("tol", F.lit(float(tolerance))).drop("_side")
+    return per_map(held, tol=0.001 * F.coalesce(F.avg("_side"), F.lit(0.0))).drop("_side")
 
-    A box goes by its size to one of several levels of a grid, each twice as coarse as the one below, and
+
+def near_boxes(boxes: DataFrame) -> DataFrame:
+    """(map_id, i, j, a, b, tol) of boxes (map_id, region_id, b, tol) of one map, i < j, that come within the tolerance of each other, with their bounds.
+
+    A box goes by its size to one of several levels of its map's grid, each twice as coarse as the one below, and
     covers few cells there however large it is.  It is looked for in the cells of its own and all coarser
     levels, and a pair is kept in the cell of the lower left corner of the overlap alone, so none repeats.
     """
-    held = boxes.select("region_id", "b", F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin")).alias("side"))
-    mean, most = held.agg(F.avg("side"), F.max("side")).first()
-    cell, half = max(mean or 0.0, tolerance, 1e-12) * WIDTH, tolerance / 2
-    top = max(0, math.ceil(math.log2(max((most or 0.0) / cell, 1.0))))
-    level = F.greatest(F.lit(0), F.least(F.lit(top), F.ceil(F.log2(F.greatest(F.col("side"), F.lit(cell)) / cell)))).cast("int")
-    grown = held.select("region_id", "b", level.alias("level"), *((F.col(f"b.{c}") + F.lit(s * half)).alias(n) for c, s, n in (("xmin", -1, "x0"), ("ymin", -1, "y0"), ("xmax", 1, "x1"), ("ymax", 1, "y1"))))
-    width = lambda c: F.pow(F.lit(2.0), F.col(c)) * cell
+    keys = map_keys(boxes)
+    held = boxes.select(*keys, "region_id", "b", "tol", F.greatest(F.col("b.xmax") - F.col("b.xmin"), F.col("b.ymax") - F.col("b.ymin")).alias("side"))
+    held = per_map(held, _mean=F.avg("side"), _most=F.max("side")).withColumn("cell", F.greatest("_mean", "tol", F.lit(1e-12)) * WIDTH)
+    held = held.withColumn("top", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("_most") / F.col("cell"), F.lit(1.0))))).cast("int"))
+    level = F.greatest(F.lit(0), F.least(F.col("top"), F.ceil(F.log2(F.greatest(F.col("side"), F.col("cell")) / F.col("cell"))))).cast("int")
+    half = F.col("tol") / 2
+    grown = held.select(*keys, "region_id", "b", "tol", "cell", "top", level.alias("level"), *((F.col(f"b.{c}") + s * half).alias(n) for c, s, n in (("xmin", -1, "x0"), ("ymin", -1, "y0"), ("xmax", 1, "x1"), ("ymax", 1, "y1"))))
+    width = lambda c: F.pow(F.lit(2.0), F.col(c)) * F.col("cell")
     put = lambda df, at: df.withColumn("kx", F.explode(F.sequence(F.floor(F.col("x0") / width(at)), F.floor(F.col("x1") / width(at))))).withColumn("ky", F.explode(F.sequence(F.floor(F.col("y0") / width(at)), F.floor(F.col("y1") / width(at)))))
     homes = put(grown.withColumn("at", F.col("level")), "at")
-    asked = put(grown.withColumn("at", F.explode(F.sequence(F.col("level"), F.lit(top)))) if top else grown.withColumn("at", F.col("level")), "at")
-    other = homes.select("at", "kx", "ky", *(F.col(c).alias(c + "_") for c in ("region_id", "b", "level", "x0", "y0", "x1", "y1")))
+    asked = put(grown.withColumn("at", F.explode(F.sequence("level", "top"))), "at")
+    other = homes.select(*keys, "at", "kx", "ky", *(F.col(c).alias(c + "_") for c in ("region_id", "b", "level", "x0", "y0", "x1", "y1")))
     # The finer box asks; of two of one level the one with the smaller id.
-    met = asked.join(other, ["at", "kx", "ky"]).where("(level < level_ or region_id < region_id_) and x0 <= x1_ and x0_ <= x1 and y0 <= y1_ and y0_ <= y1")
+    met = asked.join(other, [*keys, "at", "kx", "ky"]).where("(level < level_ or region_id < region_id_) and x0 <= x1_ and x0_ <= x1 and y0 <= y1_ and y0_ <= y1")
     first = (F.floor(F.greatest("x0", "x0_") / width("at")) == F.col("kx")) & (F.floor(F.greatest("y0", "y0_") / width("at")) == F.col("ky"))
     turned = F.col("region_id") > F.col("region_id_")
     pick = lambda c: (F.when(turned, F.col(c + "_")).otherwise(F.col(c)), F.when(turned, F.col(c)).otherwise(F.col(c + "_")))
     (i, j), (a, b) = pick("region_id"), pick("b")
-    return met.where(first).select(i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"))
+    return met.where(first).select(*keys, i.alias("i"), j.alias("j"), a.alias("a"), b.alias("b"), "tol")
 
 
-def candidate_pairs(regions: DataFrame, tolerance: float) -> DataFrame:
-    """(i, j, gi, gj) of regions, i < j, whose bounding boxes come within the tolerance; shapes join the pairs that are left."""
-    met = near_boxes(regions.select("region_id", G.bounds(F.col("geom")).alias("b")), tolerance).select("i", "j")
-    shape = lambda k, g: regions.select(F.col("region_id").alias(k), F.col("geom").alias(g))
-    return met.join(shape("i", "gi"), "i").join(shape("j", "gj"), "j").select("i", "j", "gi", "gj")
+def candidate_pairs(regions: DataFrame, tolerance: float | None = None) -> DataFrame:
+    """(map_id, i, j, tol, gi, gj) of regions of one map, i < j, whose bounding boxes come within the tolerance; shapes join the pairs that are left."""
+    keys = map_keys(regions)
+    met = near_boxes(boxes_of(regions, tolerance)).select(*keys, "i", "j", "tol")
+    shape = lambda k, g: regions.select(*keys, F.col("region_id").alias(k), F.col("geom").alias(g))
+    return met.join(shape("i", "gi"), [*keys, "i"]).join(shape("j", "gj"), [*keys, "j"]).select(*keys, "i", "j", "tol", "gi", "gj")
 
 
 def box_pairs(regions: DataFrame, tolerance: float | None = None, min_shared: float | None = None) -> DataFrame:
-    """(i, j, shared_len) of axis-aligned boxes, in closed form: an edge of length L counts L + tolerance, a corner the tolerance."""
-    tol = default_tolerance(regions) if tolerance is None else tolerance
-    met = near_boxes(regions.select("region_id", G.bounds(F.col("geom")).alias("b")), tol)
+    """(map_id, i, j, shared_len) of axis-aligned boxes, in closed form: an edge of length L counts L + tolerance, a corner the tolerance."""
+    met = near_boxes(boxes_of(regions, tolerance))
     run = lambda lo, hi: F.greatest(F.least(f"a.{hi}", f"b.{hi}") - F.greatest(f"a.{lo}", f"b.{lo}"), F.lit(0.0))
-    held = met.select("i", "j", (F.greatest(run("xmin", "xmax"), run("ymin", "ymax")) + tol).alias("shared_len"))
+    held = met.select(*map_keys(regions), "i", "j", (F.greatest(run("xmin", "xmax"), run("ymin", "ymax")) + F.col("tol")).alias("shared_len"))
     return held.where(F.col("shared_len") >= (min_shared or 0.0))
 
 
-def _shared(gi: list, gj: list, tol: float) -> np.ndarray:
-    return np.array([boundary_within(a, b, tol / 2) for a, b in zip(gi, gj, strict=True)], float)
+def pairs(regions: DataFrame, tolerance: float | None = None, min_shared: float | None = None, min_tolerances: float = 0.0) -> DataFrame:
+    """(map_id, i, j, shared_len) of any polygons of one map: the length of i's boundary that lies within half the tolerance of j.
 
-
-def pairs(regions: DataFrame, tolerance: float | None = None, min_shared: float | None = None) -> DataFrame:
-    """(i, j, shared_len) of any polygons: the length of i's boundary that lies within half the tolerance of j."""
-    tol = default_tolerance(regions) if tolerance is None else tolerance
+    Pairs stay that share ``min_shared`` and ``min_tolerances`` times the tolerance at least.
+    """
 
     def run(batches):
         for batch in batches:
-            out = _shared(batch.column("gi").to_pylist(), batch.column("gj").to_pylist(), tol)
-            yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("j"), pa.array(out, pa.float64())], ["i", "j", "shared_len"])
+            held = zip(*(batch.column(c).to_pylist() for c in ("gi", "gj", "tol")), strict=True)
+            out = np.array([boundary_within(a, b, tol / 2) for a, b, tol in held], float)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(out, pa.float64())], [*names, "shared_len"])
 
-    met = candidate_pairs(regions, tol).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "gi", "gj")
-    return met.mapInArrow(run, "i long, j long, shared_len double").where((F.col("shared_len") > 0) & (F.col("shared_len") >= (min_shared or 0.0)))
+    keys = map_keys(regions)
+    names = [*keys, "i", "j", "tol"]
+    met = candidate_pairs(regions, tolerance).select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "tol", "gi", "gj")
+    shape = "".join(f"{k} {regions.schema[k].dataType.simpleString()}, " for k in keys) + "i long, j long, tol double, shared_len double"
+    held = met.mapInArrow(run, shape).where((F.col("shared_len") > 0) & (F.col("shared_len") >= (min_shared or 0.0)))
+    return held.where(F.col("shared_len") >= min_tolerances * F.col("tol")).drop("tol")
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("i").alias("src"), F.col("j").alias("dst"), "shared_len").unionByName(edges.select(F.col("j").alias("src"), F.col("i").alias("dst"), "shared_len"))
+    way = lambda a, b: edges.select(*map_keys(edges), F.col(a).alias("src"), F.col(b).alias("dst"), "shared_len")
+    return way("i", "j").unionByName(way("j", "i"))
 
 
 MODES = ("binary", "weighted", "area_weighted")
 
 
 def weights(regions: DataFrame, edges: DataFrame, mode: str = "binary") -> DataFrame:
-    """(src, dst, weight) both ways: 1; the shared part of src's perimeter; or dst's part of the area of src's neighbours."""
+    """(map_id, src, dst, weight) both ways: 1; the shared part of src's perimeter; or dst's part of the area of src's neighbours."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    both = both_ways(edges)
+    both, keys = both_ways(edges), map_keys(regions)
     if mode == "binary":
-        return both.select("src", "dst", F.lit(1.0).alias("weight"))
+        return both.select(*keys, "src", "dst", F.lit(1.0).alias("weight"))
     if mode == "weighted":
-        lengths = regions.select(F.col("region_id").alias("src"), G.perimeter(F.col("geom")).alias("p"))
-        return both.join(lengths, "src").select("src", "dst", (F.col("shared_len") / F.col("p")).alias("weight"))
-    areas = regions.select(F.col("region_id").alias("dst"), G.area(F.col("geom")).alias("a"))
-    held = both.join(areas, "dst")
-    sums = held.groupBy("src").agg(F.sum("a").alias("s"))
-    return held.join(sums, "src").select("src", "dst", (F.col("a") / F.col("s")).alias("weight"))
+        lengths = regions.select(*keys, F.col("region_id").alias("src"), G.perimeter(F.col("geom")).alias("p"))
+        return both.join(lengths, [*keys, "src"]).select(*keys, "src", "dst", (F.col("shared_len") / F.col("p")).alias("weight"))
+    areas = regions.select(*keys, F.col("region_id").alias("dst"), G.area(F.col("geom")).alias("a"))
+    held = both.join(areas, [*keys, "dst"])
+    sums = held.groupBy(*keys, "src").agg(F.sum("a").alias("s"))
+    return held.join(sums, [*keys, "src"]).select(*keys, "src", "dst", (F.col("a") / F.col("s")).alias("weight"))
 
 
 def shared_dir(spark) -> str:
@@ -130,58 +142,36 @@ def _kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Nodes and edges, counted first, of a graph that one task joins up.
-SMALL_GRAPH = 1_000_000
-
-
-def _joined(batches):
-    """Components of a whole graph: (a, b) rows are edges, rows without b are nodes."""
-    held = pa.Table.from_batches(list(batches))
-    a, b = held.column("a").to_numpy(), held.column("b").to_numpy(zero_copy_only=False)
-    edge = ~np.isnan(b.astype(float))
-    ids = np.unique(a)
-    i, j = np.searchsorted(ids, a[edge]), np.searchsorted(ids, b[edge].astype(np.int64))
-    label = np.arange(len(ids))
-    while (label[i] != label[j]).any():
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        while (label[label] != label).any():
-            label = label[label]
-    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[label])], ["region_id", "component"])
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(region_id, component): the smallest id reachable over (i, j).
+    """(map_id, region_id, component): the smallest id of its map reachable over (i, j).
 
-    A graph of one map fits one task.  Larger ones go in rounds: each takes the least label among
-    the neighbours and then that label's own label, so long chains halve; labels are minima,
-    combined within tasks.
+    In rounds: each takes the least label among the neighbours, then that label's own label, so long
+    chains halve; labels are minima, combined within tasks.  A round is written once, nothing else is.
     """
-    both = edges.select(F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(F.col("j").alias("a"), F.col("i").alias("b")))
-    both = _kept(both.distinct())
-    kind = dict(nodes.dtypes)["region_id"]
-    if both.count() + nodes.count() <= SMALL_GRAPH:
-        rows = both.selectExpr("cast(a as long) a", "cast(b as long) b").unionByName(nodes.select(F.col("region_id").cast("long").alias("a"), F.lit(None).cast("long").alias("b")))
-        return rows.coalesce(1).mapInArrow(_joined, "region_id long, component long").select(F.col("region_id").cast(kind), F.col("component").cast(kind))
-    label, last = _kept(nodes.select("region_id", F.col("region_id").alias("component"))), None
+    keys = map_keys(nodes)
+    both = _kept(edges.select(*keys, F.col("i").alias("a"), F.col("j").alias("b")).unionByName(edges.select(*keys, F.col("j").alias("a"), F.col("i").alias("b"))))
+    label = nodes.select(*keys, "region_id", F.col("region_id").alias("component"))
+    if not both.take(1):
+        return label
+    last = None
     while True:
-        state = label.agg(F.sum("component")).first()[0]
+        near = both.join(label.withColumnRenamed("region_id", "b"), [*keys, "b"]).groupBy(*keys, "a").agg(F.min("component").alias("m"))
+        held = label.join(near.withColumnRenamed("a", "region_id"), [*keys, "region_id"], "left").select(*keys, "region_id", F.least("component", F.coalesce("m", "component")).alias("component"))
+        jump = held.select(*keys, F.col("region_id").alias("component"), F.col("component").alias("c"))
+        label = _kept(held.join(jump, [*keys, "component"], "left").select(*keys, "region_id", F.least("component", F.coalesce("c", "component")).alias("component")))
+        state = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if state == last:
             return label
         last = state
-        near = both.join(label, both["b"] == label["region_id"]).groupBy("a").agg(F.min("component").alias("m"))
-        held = label.join(near, label["region_id"] == near["a"], "left").select("region_id", F.least("component", F.coalesce("m", "component")).alias("component"))
-        jump = held.select(F.col("region_id").alias("r"), F.col("component").alias("c"))
-        label = _kept(held.join(jump, held["component"] == jump["r"], "left").select("region_id", F.least("component", F.coalesce("c", "component")).alias("component")))
 
 
 def prescale(regions: DataFrame, parts: DataFrame, value: str = "value", target_density: float | None = None) -> DataFrame:
     """Regions with every component scaled about its centroid to the area its values ask for; (scale) beside them."""
-    held = regions.join(parts, "region_id").withColumn("_a", G.area(F.col("geom"))).withColumn("_c", G.centroid(F.col("geom")))
+    keys = map_keys(regions)
+    held = regions.join(parts, [*keys, "region_id"]).withColumn("_a", G.area(F.col("geom"))).withColumn("_c", G.centroid(F.col("geom")))
     held = per_map(held, _d=F.lit(target_density) if target_density else F.sum(value) / F.sum("_a"))
-    sums = held.groupBy("component").agg(F.sum(value).alias("v"), F.sum("_a").alias("a"), F.max("_d").alias("d"), (F.sum(F.col("_a") * F.col("_c.x")) / F.sum("_a")).alias("cx"), (F.sum(F.col("_a") * F.col("_c.y")) / F.sum("_a")).alias("cy"))
+    sums = held.groupBy(*keys, "component").agg(F.sum(value).alias("v"), F.sum("_a").alias("a"), F.max("_d").alias("d"), (F.sum(F.col("_a") * F.col("_c.x")) / F.sum("_a")).alias("cx"), (F.sum(F.col("_a") * F.col("_c.y")) / F.sum("_a")).alias("cy"))
     factor = F.sqrt(F.col("v") / F.col("d") / F.col("a"))
     sums = sums.withColumn("scale", F.when((F.col("a") <= 0) | (F.col("v") <= 0) | (F.abs(factor - 1) < 1e-6), F.lit(1.0)).otherwise(factor))
-    out = held.drop("_a", "_c", "_d").join(sums.select("component", "scale", "cx", "cy"), "component")
+    out = held.drop("_a", "_c", "_d").join(sums.select(*keys, "component", "scale", "cx", "cy"), [*keys, "component"])
     return out.withColumn("geom", G.scale_about(F.col("geom"), F.col("scale"), F.col("cx"), F.col("cy"))).drop("cx", "cy")

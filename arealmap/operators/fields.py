@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from .adjacency import _kept
 from .grids import Grid
 
 
@@ -130,48 +131,80 @@ def localized(cells: DataFrame, seeds: list[tuple], along: float = 2.0, across:
 LISTED_SEEDS = 4096
 
 
-def nearest_labels(cells: DataFrame, seeds: DataFrame, weighted: bool = False, offset: bool = False) -> DataFrame:
-    """``label`` of each cell: the seed of least squared distance, over its weight or less its offset; ties to the smaller id.
+def nearest_labels(cells: DataFrame, seeds: DataFrame, weighted: bool = False, offset: bool = False, listed: int = LISTED_SEEDS) -> DataFrame:
+    """``label`` of each cell (iy, ix, x, y): the seed of least squared distance, over its weight or less its offset; ties to the smaller id.
 
-    Few seeds are broadcast as one array that each cell scans where it is.  Beyond that, plain
-    distances go by a grid of seeds: rings of buckets round a cell's own are searched until none
-    farther can hold a nearer seed.  Weights and offsets have no such bound and are refused there.
+    Up to ``listed`` seeds are broadcast as one array that each cell scans where it is; more are looked up
+    in buckets (``_nearest_by_buckets``), with the same result.
     """
     n = seeds.count()
-    if n > LISTED_SEEDS:
-        if weighted or offset:
-            raise ValueError(f"weights and offsets are for {LISTED_SEEDS} seeds at most")
-        return _nearest_by_buckets(cells, seeds, n)
     fields = [F.col("site_id").alias("site_id"), F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy")]
     fields.append((F.col("weight").cast("double") if weighted else F.lit(1.0)).alias("w"))
     fields.append((F.col("offset").cast("double") if offset else F.lit(0.0)).alias("o"))
-    listed = seeds.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("seeds"))
+    if n > listed:
+        return _nearest_by_buckets(cells, seeds.select(*fields))
+    listing = seeds.agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("seeds"))
     d2 = lambda s: ((F.col("x") - s["sx"]) * (F.col("x") - s["sx"]) + (F.col("y") - s["sy"]) * (F.col("y") - s["sy"])) / s["w"] - s["o"]
     best = F.array_min(F.transform("seeds", lambda s: F.struct(d2(s).alias("d"), s["site_id"].alias("site_id"))))
-    return cells.join(F.broadcast(listed)).withColumn("label", best["site_id"]).drop("seeds")
+    return cells.join(F.broadcast(listing)).withColumn("label", best["site_id"]).drop("seeds")
 
 
-def _nearest_by_buckets(cells: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """Nearest seeds by equal buckets of about one seed each; cells that find none near enough look in wider buckets."""
-    b = seeds.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    size = max(((b[1] - b[0]) * (b[3] - b[2]) / n) ** 0.5, 1e-12)
+#: Bands of equal width that offsets are put into.
+OFFSET_BANDS = 16
+
+
+def _classes(seeds: DataFrame) -> tuple[DataFrame, list]:
+    """Seeds with a class ``c`` of like weight (a factor of two) and offset (a band), and each class's number, bounds and largest values.
+
+    Classes are as many as weights have binary orders, times ``OFFSET_BANDS`` at most, however many seeds there are.
+    """
+    lo, hi = seeds.agg(F.min("o"), F.max("o")).first()
+    band = F.least(F.floor((F.col("o") - lo) / ((hi - lo) / OFFSET_BANDS)), F.lit(OFFSET_BANDS - 1)) if hi > lo else F.lit(0)
+    named = seeds.withColumn("c", (F.floor(F.log2("w")) * OFFSET_BANDS + band).cast("int"))
+    return named, named.groupBy("c").agg(F.count("*").alias("n"), F.max("w").alias("w"), F.max("o").alias("o"), *(f(k).alias(f"{f.__name__}_{k}") for f in (F.min, F.max) for k in ("sx", "sy"))).collect()
+
+
+def _nearest_by_buckets(cells: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Nearest of seeds (site_id, sx, sy, w, o) by square buckets, class by class of seeds with like weights and offsets.
+
+    A cell looks into the nine buckets round it, so no seed that it doesn't see is nearer than a bucket's
+    side s; such a seed of a class can't come under s * s / (the largest weight) - (the largest offset).
+    Where that isn't under the best found, the cell is done with the class; for the others buckets double.
+    Few cells and classes go on each time, since a class's first buckets hold about one seed each.
+    """
+    named, classes = _classes(seeds)
     extent = cells.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    span = max(b[1], extent[1]) - min(b[0], extent[0]) + max(b[3], extent[3]) - min(b[2], extent[2])
-    left, done = cells, None
+    if extent[0] is None:
+        return cells.withColumn("label", F.lit(None).cast(dict(seeds.dtypes)["site_id"]))
+    span = lambda k: max(k.max_sx, extent[1]) - min(k.min_sx, extent[0]) + max(k.max_sy, extent[3]) - min(k.min_sy, extent[2])
+    wide = lambda k: span(k) / 4 if k.n == 1 else max(((k.max_sx - k.min_sx) * (k.max_sy - k.min_sy) / k.n) ** 0.5, (k.max_sx - k.min_sx + k.max_sy - k.min_sy) / k.n, span(k) / 65536)
+    sizes = {k.c: max(wide(k), 1e-12) for k in classes}
+    site = dict(seeds.dtypes)["site_id"]
+    held = _kept(cells.withColumn("best", F.lit(None).cast(f"struct<d:double,site_id:{site}>")).withColumn("open", F.array(*(F.lit(k.c) for k in classes))))
+    done, going, grown = None, {k.c: k for k in classes}, 1.0
     while True:
-        key = lambda c, d=0: F.floor(F.col(c) / size) + d  # noqa: E731, B023
-        placed = seeds.select("site_id", F.col("x").cast("double").alias("sx"), F.col("y").cast("double").alias("sy")).withColumns({"kx": key("sx"), "ky": key("sy")})
-        near = left.withColumn("kx", F.explode(F.array(*(key("x", d) for d in (-1, 0, 1))))).withColumn("ky", F.explode(F.array(*(key("y", d) for d in (-1, 0, 1)))))
-        d2 = (F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))
-        best = near.join(placed, ["kx", "ky"]).groupBy("iy", "ix").agg(F.min(F.struct(d2.alias("d"), "site_id")).alias("best"))
-        # Seeds outside the nine buckets are farther than one bucket's side.
-        sure = best.where(F.col("best.d") <= size * size).select("iy", "ix", F.col("best.site_id").alias("label"))
-        found = left.join(sure, ["iy", "ix"])
-        done = found if done is None else done.unionByName(found)
-        left = left.join(sure.select("iy", "ix"), ["iy", "ix"], "left_anti")
-        if size > span or not left.take(1):
+        by_class = lambda of: F.create_map(*(x for c, k in going.items() for x in (F.lit(c), F.lit(float(of(c, k))))))  # noqa: B023, E731
+        size = by_class(lambda c, k: sizes[c] * grown)  # noqa: B023
+        key = lambda p, d=0: F.floor(F.col(p) / F.col("side")) + d
+        asked = held.select("iy", "ix", "x", "y", F.explode("open").alias("c")).withColumn("side", size[F.col("c")])
+        asked = asked.withColumn("kx", F.explode(F.array(*(key("x", d) for d in (-1, 0, 1))))).withColumn("ky", F.explode(F.array(*(key("y", d) for d in (-1, 0, 1)))))
+        placed = named.where(F.col("c").isin(list(going))).withColumn("side", size[F.col("c")]).withColumns({"kx": key("sx"), "ky": key("sy")}).drop("side")
+        d2 = ((F.col("x") - F.col("sx")) * (F.col("x") - F.col("sx")) + (F.col("y") - F.col("sy")) * (F.col("y") - F.col("sy"))) / F.col("w") - F.col("o")
+        found = asked.join(placed, ["c", "kx", "ky"]).groupBy("iy", "ix").agg(F.min(F.struct(d2.alias("d"), "site_id")).alias("seen"))
+        joined = held.join(found, ["iy", "ix"], "left")
+        best = F.least("best", "seen")  # nulls give way
+        # What a class may still hold unseen, beyond the nine buckets; nothing where these cover everything.
+        unseen = by_class(lambda c, k: float("inf") if sizes[c] * grown > span(k) else (sizes[c] * grown) ** 2 / k.w - k.o)  # noqa: B023
+        joined = joined.withColumn("best", best).drop("seen")
+        left = F.filter("open", lambda c: F.coalesce(unseen[c] < F.col("best.d"), unseen[c] < float("inf")))
+        held = _kept(joined.withColumn("open", left))
+        over = held.where(F.size("open") == 0).select(*cells.columns, F.col("best.site_id").alias("label"))
+        done = over if done is None else done.unionByName(over)
+        held = held.where(F.size("open") > 0)
+        still = {r[0] for r in held.select(F.explode("open").alias("c")).distinct().collect()}  # classes, a bounded number
+        if not still:
             return done
-        size *= 2
+        going, grown = {c: going[c] for c in still}, grown * 2
 
 
 def lloyd_step(labelled: DataFrame, seeds: DataFrame, factor: float = 1.0) -> DataFrame:

@@ -26,13 +26,13 @@ def by_map(df: DataFrame) -> Window:
     return Window.partitionBy("map_id") if "map_id" in df.columns else Window.partitionBy()
 
 
-def _map_keys(df: DataFrame) -> list[str]:
+def map_keys(df: DataFrame) -> list[str]:
     return ["map_id"] if "map_id" in df.columns else []
 
 
 def per_map(df: DataFrame, **sums: Column) -> DataFrame:
     """``df`` with aggregates of its map beside each row: a partial aggregate and one small join, not a window over all rows."""
-    keys = _map_keys(df)
+    keys = map_keys(df)
     totals = df.groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
     return df.join(F.broadcast(totals)) if not keys else df.join(totals, keys)
 
@@ -63,12 +63,12 @@ def error_summary(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Mean and largest log error; the percentages are those of the aggregated logarithms, not means of percentages."""
     mean, most = F.avg(F.abs("log_error")), F.max(F.abs("log_error"))
     pct = lambda c: (F.pow(F.lit(2.0), c) - 1) * 100
-    return df.groupBy(*(keys or _map_keys(df))).agg(mean.alias("mean_log_error"), most.alias("max_log_error"), pct(mean).alias("mean_error_pct"), pct(most).alias("max_error_pct"))
+    return df.groupBy(*(keys or map_keys(df))).agg(mean.alias("mean_log_error"), most.alias("max_log_error"), pct(mean).alias("mean_error_pct"), pct(most).alias("max_error_pct"))
 
 
 def convergence_status(series: DataFrame, mean_tol: float = 0.05, max_tol: float = 0.10, patience: int = 5) -> DataFrame:
     """Status of each iteration: converged within both tolerances, stalled once the mean error has risen more than ``patience`` times in all."""
-    keys = _map_keys(series)
+    keys = map_keys(series)
     order = Window.partitionBy(*keys).orderBy("iteration")
     rose = (F.col("mean_log_error") > F.lag("mean_log_error").over(order)).cast("int")
     rises = F.sum(F.coalesce(rose, F.lit(0))).over(order.rowsBetween(Window.unboundedPreceding, 0))
@@ -205,7 +205,7 @@ def comparison_summary(compared: DataFrame) -> DataFrame:
 def area_cv(df: DataFrame, column: str = "area", weight: str | None = None) -> DataFrame:
     """Standard deviation by mean, of areas by their weights if there are any."""
     v = F.col(column) / F.col(weight) if weight else F.col(column)
-    return df.groupBy(*_map_keys(df)).agg((F.stddev_pop(v) / F.avg(v)).alias("area_cv"))
+    return df.groupBy(*map_keys(df)).agg((F.stddev_pop(v) / F.avg(v)).alias("area_cv"))
 
 
 def area_errors(df: DataFrame, area: str = "area", weight: str | None = None) -> DataFrame:

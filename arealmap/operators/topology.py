@@ -6,33 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .adjacency import components
+from .measure import map_keys
 
 
 def violations(before: DataFrame, after: DataFrame) -> DataFrame:
     """Pairs (i, j) that were neighbours and are not any more."""
-    return before.select("i", "j").join(after.select("i", "j"), ["i", "j"], "left_anti")
+    ids = [*map_keys(before), "i", "j"]
+    return before.select(*ids).join(after.select(*ids), ids, "left_anti")
 
 
 def orientation(pairs: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
     """(i, j, cosine, misaligned): how far the line between two regions has turned; without a line the cosine is 0."""
-    at = lambda df, k, n: df.select(F.col("region_id").alias(k), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
-    held = pairs.select("i", "j")
+    keys = map_keys(pairs)
+    at = lambda df, k, n: df.select(*keys, F.col("region_id").alias(k), F.col("x").alias(n + "x"), F.col("y").alias(n + "y"))
+    held = pairs.select(*keys, "i", "j")
     for df, n in ((before, "b"), (after, "a")):
-        held = held.join(at(df, "i", n + "i"), "i").join(at(df, "j", n + "j"), "j")
+        held = held.join(at(df, "i", n + "i"), [*keys, "i"]).join(at(df, "j", n + "j"), [*keys, "j"])
     d = {n + k: F.col(f"{n}j{k}") - F.col(f"{n}i{k}") for n in "ba" for k in "xy"}
     sizes = F.hypot(d["bx"], d["by"]) * F.hypot(d["ax"], d["ay"])
     cosine = F.when(sizes > 0, (d["bx"] * d["ax"] + d["by"] * d["ay"]) / sizes).otherwise(F.lit(0.0))
-    return held.select("i", "j", cosine.alias("cosine")).withColumn("misaligned", F.col("cosine") <= 0)
+    return held.select(*keys, "i", "j", cosine.alias("cosine")).withColumn("misaligned", F.col("cosine") <= 0)
 
 
 def satellites(regions: DataFrame, edges: DataFrame) -> DataFrame:
     """(region_id, grp, component): regions apart from the largest component of their group; of equal ones the one with the smallest id is the main one."""
-    names = regions.select("region_id", "grp")
-    inside = edges.select("i", "j").join(names.select(F.col("region_id").alias("i"), F.col("grp").alias("gi")), "i").join(names.select(F.col("region_id").alias("j"), F.col("grp").alias("gj")), "j").where("gi = gj")
-    parts = components(names, inside).join(names, "region_id")
-    sizes = parts.groupBy("grp", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("grp").agg(F.max_by(F.col("component"), F.struct("n", -F.col("component"))).alias("main"))
-    return parts.join(main, "grp").where("component <> main").select("region_id", "grp", "component")
+    keys = map_keys(regions)
+    names = regions.select(*keys, "region_id", "grp")
+    named = lambda k, g: names.select(*keys, F.col("region_id").alias(k), F.col("grp").alias(g))
+    inside = edges.select(*keys, "i", "j").join(named("i", "gi"), [*keys, "i"]).join(named("j", "gj"), [*keys, "j"]).where("gi = gj")
+    parts = components(names, inside).join(names, [*keys, "region_id"])
+    sizes = parts.groupBy(*keys, "grp", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy(*keys, "grp").agg(F.max_by(F.col("component"), F.struct("n", -F.col("component"))).alias("main"))
+    return parts.join(main, [*keys, "grp"]).where("component <> main").select(*keys, "region_id", "grp", "component")
 
 
 def compactness(cells: DataFrame) -> DataFrame:

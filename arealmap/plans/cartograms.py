@@ -25,12 +25,12 @@ from ..kernels import planar as P
 from ..kernels import repair as R
 from ..kernels import voronoi as V
 from ..kernels.raster import poisson_velocity
-from ..operators import adjacency, measure, styling, tilings, topology
+from ..operators import adjacency, borders, measure, styling, tilings, topology
 
 
 def with_map(regions: DataFrame) -> DataFrame:
-    """Regions of one map get a name for it."""
-    return regions if "map_id" in regions.columns else regions.withColumn("map_id", F.lit("map"))
+    """Regions of one map get a name for it; names are texts."""
+    return regions.withColumn("map_id", F.col("map_id").cast("string") if "map_id" in regions.columns else F.lit("map"))
 
 
 SOLVED = f"kind string, map_id string, run_id int, iteration int, region_id long, status string, mean_log_error double, max_log_error double, log_error double, geom {G.GEOM}, x double, y double, seconds double, shape array<int>, rho array<double>, vx array<double>, vy array<double>, mask array<int>"
@@ -317,7 +317,9 @@ def layout_result(regions: DataFrame, value: str | None = None, name: str = "phy
     prepared = measure.layout_input(held, value, **sizes).select("map_id", "region_id", "x", "y", "size")
     if edges is None:
         edges = adjacency.weights(held, adjacency.pairs(held), mode)
-    edges = edges.join(held.select(F.col("region_id").alias("src"), "map_id"), "src").select("map_id", "src", "dst", "weight")
+    elif "map_id" not in edges.columns:  # edges of regions whose maps have no names
+        edges = edges.join(held.select(F.col("region_id").alias("src"), "map_id"), "src")
+    edges = edges.select("map_id", "src", "dst", "weight")
     place, given = LAYOUTS[name], options or {}
     names = [c.split(" ")[0] for c in LAID.split(", ")]
 
@@ -501,7 +503,7 @@ def grid_layout(regions: DataFrame, value: str | None = None, tiling: str | tili
     for s, d, k in zip(pairs["src"], pairs["dst"], pairs["shared"], strict=True):
         (edges if k >= 2 else corners)[[at[s], at[d]], [at[d], at[s]]] = True
     centers, ids = listed[["cx", "cy"]].to_numpy(float), listed["tile_id"].to_numpy()
-    near = adjacency.weights(held, adjacency.pairs(held), "binary").join(held.select(F.col("region_id").alias("src"), "map_id"), "src")
+    near = adjacency.weights(held, adjacency.pairs(held), "binary")
 
     def run(key, rows, links):
         rows = rows.sort_values("region_id")
@@ -566,7 +568,7 @@ def voronoi_result(regions: DataFrame, options: V.Options = V.Options(), weight:
     held = with_map(regions).withColumn("region_id", F.col("region_id").cast("long"))
     if weight is not None and held.where(~(F.col(weight) > 0)).take(1):
         raise ValueError("weights must be above 0")
-    pairs = adjacency.pairs(held).join(held.select(F.col("region_id").alias("i"), "map_id"), "i").select("map_id", "i", "j")
+    pairs = adjacency.pairs(held).select("map_id", "i", "j")
     chosen = held.select("map_id", "region_id", "geom", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), (F.col(group).cast("string") if group else F.lit("")).alias("grp"))
 
     def run(key, rows, near):
@@ -597,29 +599,28 @@ def voronoi_result(regions: DataFrame, options: V.Options = V.Options(), weight:
 def outline(regions: DataFrame, spec: str = "union") -> DataFrame:
     """(map_id, geom): the outer boundary that cells are laid in: the map's own, its hull, its bounds, or a circle of its area."""
 
-    def run(key, rows):
-        return pd.DataFrame({"map_id": key[0], "geom": [P.to_geom(V.outer([P.rings_of(g) for g in rows["geom"]], spec))]})
-
-    return with_map(regions).select("map_id", "geom").groupBy("map_id").applyInPandas(run, f"map_id string, geom {G.GEOM}")
+    return borders.outline(with_map(regions).select(F.col("map_id").cast("string").alias("map_id"), "region_id", "geom"), spec)
 
 
 def analyze(regions: DataFrame, cells: DataFrame, group: str | None = None) -> dict[str, DataFrame]:
     """What the cells lost: neighbours that part, directions that turn, groups that fall apart."""
+    keys = measure.map_keys(regions)
+    after = adjacency.pairs(cells if keys else cells.drop("map_id"), min_tolerances=2.0)
+    regions = with_map(regions) if keys else regions
     before = adjacency.pairs(regions)
-    tolerance = adjacency.default_tolerance(cells)
-    after = adjacency.pairs(cells, tolerance, 2 * tolerance)
-    at = regions.select(F.col("region_id").cast("long").alias("region_id"), G.centroid(F.col("geom")).alias("c")).select("region_id", "c.x", "c.y")
-    kept = before.select("i", "j").join(after.select("i", "j"), ["i", "j"])
-    out = {"violated": topology.violations(before, after), "orientation": topology.orientation(kept, at, cells.select("region_id", "x", "y"))}
+    ids = regions.select(*keys, F.col("region_id").cast("long").alias("region_id"), *([F.col(group).alias("grp")] if group else []), G.centroid(F.col("geom")).alias("c"))
+    kept = before.drop("shared_len").join(after.drop("shared_len"), [*keys, "i", "j"])
+    at = ids.select(*keys, "region_id", "c.x", "c.y")
+    out = {"violated": topology.violations(before, after), "orientation": topology.orientation(kept, at, cells.select(*keys, "region_id", "x", "y"))}
     if group:
-        out["satellites"] = topology.satellites(regions.select(F.col("region_id").cast("long").alias("region_id"), F.col(group).alias("grp")), after)
+        out["satellites"] = topology.satellites(ids.select(*keys, "region_id", "grp"), after)
     return out
 
 
 def make_groups_contiguous(regions: DataFrame, group: str, passes: int = 20) -> DataFrame:
     """(map_id, region_id, cell_id): regions permuted among the map's own shapes so that groups hang together."""
     held = with_map(regions).withColumn("region_id", F.col("region_id").cast("long"))
-    pairs = adjacency.pairs(held).join(held.select(F.col("region_id").alias("i"), "map_id"), "i").select("map_id", "i", "j")
+    pairs = adjacency.pairs(held).select("map_id", "i", "j")
 
     def run(key, rows, near):
         rows = rows.sort_values("region_id")
@@ -633,20 +634,11 @@ def make_groups_contiguous(regions: DataFrame, group: str, passes: int = 20) ->
 
 
 def simplify(regions: DataFrame, tolerance: float, min_island: float | None = None, min_hole: float | None = None, outer: bool = True) -> DataFrame:
-    """Every map's coverage simplified, shared borders once; islands and holes under the squares of the given sides go first, but no region goes whole."""
-    from ..kernels.shapes import simplify_coverage
-
-    held = with_map(regions)
+    """Every map's coverage simplified, shared borders once, arc by arc (``operators.borders``); islands and holes under the squares of the given sides go first, but no region goes whole."""
+    held = with_map(regions).withColumn("map_id", F.col("map_id").cast("string")).withColumn("region_id", F.col("region_id").cast("long"))
     if min_island is not None or min_hole is not None:
         held = held.withColumn("geom", G.drop_small(F.col("geom"), (min_island or 0.0) ** 2, (min_hole or 0.0) ** 2))
-
-    def run(key, rows):
-        rows = rows.sort_values("region_id")
-        out = simplify_coverage([P.rings_of(g) for g in rows["geom"]], tolerance, outer)
-        return pd.DataFrame({"map_id": key[0], "region_id": rows["region_id"].to_numpy(), "geom": [P.to_geom(s) if s else None for s in out]})
-
-    shapes = held.select("map_id", F.col("region_id").cast("long").alias("region_id"), "geom").groupBy("map_id").applyInPandas(run, f"map_id string, region_id long, geom {G.GEOM}")
-    return held.drop("geom").withColumn("region_id", F.col("region_id").cast("long")).join(shapes, ["map_id", "region_id"])
+    return held.drop("geom").join(borders.simplify(held.select("map_id", "region_id", "geom"), tolerance, outer), ["map_id", "region_id"])
 
 
 def interpolate(a: DataFrame, b: DataFrame, t: float) -> DataFrame:

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from arealmap import layout_queries  # noqa: F401 - registers its queries
+from arealmap import border_queries, layout_queries  # noqa: F401 - they register their queries
 from arealmap import queries as maps
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -20,7 +20,7 @@ def duck(sf_dir):
 def rows(columns, found):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     plain = lambda v: float(v) if type(v).__name__ in ("Decimal", "float") else v
-    return sorted(tuple(plain(x[i]) for i in order) for x in found)
+    return sorted((tuple(plain(x[i]) for i in order) for x in found), key=lambda row: [(v is not None, v) for v in row])  # nulls first
 
 
 @pytest.mark.parametrize("name", sorted(maps.QUERIES))

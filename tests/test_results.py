@@ -12,9 +12,8 @@ from arealmap.operators import adjacency, fields, grids, isohedral, tilings
 from arealmap.plans import cartograms
 
 
-def test_components_in_rounds(spark, monkeypatch):
-    """Beyond the bound of one task: chains, a star and single nodes."""
-    monkeypatch.setattr(adjacency, "SMALL_GRAPH", 0)
+def test_components_in_rounds(spark):
+    """Chains, a star and single nodes."""
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 50 + k) for k in range(1, 9)]
     found = adjacency.components(spark.range(70).withColumnRenamed("id", "region_id"), spark.createDataFrame(edges, "i long, j long"))
     assert {x.region_id: x.component for x in found.collect()} == {i: 0 if i <= 40 else 50 if 50 <= i <= 58 else i for i in range(70)}
@@ -26,22 +25,34 @@ def test_boxes_of_many_sizes(spark):
     at, side = rng.uniform(0, 30, (150, 2)), np.where(np.arange(150) % 50 == 0, 25.0, rng.uniform(0.1, 2, 150))
     boxes = [(int(i), float(x), float(y), float(x + s), float(y + s)) for i, ((x, y), s) in enumerate(zip(at, side, strict=True))]
     rows = spark.createDataFrame(boxes, "region_id long, xmin double, ymin double, xmax double, ymax double").select("region_id", F.struct("xmin", "ymin", "xmax", "ymax").alias("b"))
-    found = [(x.i, x.j) for x in adjacency.near_boxes(rows, 0.01).collect()]
+    found = [(x.i, x.j) for x in adjacency.near_boxes(rows.withColumn("tol", F.lit(0.01))).collect()]
     near = lambda a, b: a[1] <= b[3] + 0.01 and b[1] <= a[3] + 0.01 and a[2] <= b[4] + 0.01 and b[2] <= a[4] + 0.01
     assert sorted(found) == [(a[0], b[0]) for a in boxes for b in boxes if a[0] < b[0] and near(a, b)]
 
 
-def test_nearest_seeds_by_buckets(spark, monkeypatch):
-    monkeypatch.setattr(fields, "LISTED_SEEDS", 3)
+def test_nearest_seeds_by_buckets(spark):
     rng = np.random.default_rng(2)
     pts = rng.uniform(0, 5, (40, 2)) ** 1.5
     seeds = spark.createDataFrame([(int(i), float(x), float(y)) for i, (x, y) in enumerate(pts)], "site_id long, x double, y double")
     cells = grids.Grid.from_bounds((0.0, 0.0, 14.0, 9.0), 24).cells(spark)
-    for x in fields.nearest_labels(cells, seeds).collect():
+    for x in fields.nearest_labels(cells, seeds, listed=3).collect():
         d = ((pts - (x.x, x.y)) ** 2).sum(1)
         assert d[x.label] == pytest.approx(d.min())
-    with pytest.raises(ValueError):
-        fields.nearest_labels(cells, seeds.withColumn("weight", F.lit(1.0)), weighted=True)
+
+
+def test_weighted_and_offset_seeds_by_buckets(spark):
+    """Weights over many orders, equal seeds, and one seed that outweighs all: as a full scan has it."""
+    rng = np.random.default_rng(3)
+    pts = np.concatenate([rng.uniform(0, 5, (60, 2)), [[1.0, 1.0]] * 3, [[40.0, 40.0]]])
+    w, o = np.concatenate([2.0 ** rng.integers(-6, 4, 63), [5000.0]]), np.concatenate([rng.normal(0, 2, 63), [30.0]])
+    seeds = spark.createDataFrame([(int(i), float(x), float(y), float(a), float(b)) for i, ((x, y), a, b) in enumerate(zip(pts, w, o, strict=True))], "site_id long, x double, y double, weight double, offset double")
+    cells = grids.Grid.from_bounds((0.0, 0.0, 14.0, 9.0), 16).cells(spark)
+    for weighted, offset in ((True, False), (False, True), (True, True)):
+        found = fields.nearest_labels(cells, seeds, weighted, offset, listed=0).collect()
+        assert len(found) == cells.count()
+        for x in found:
+            d = ((pts - (x.x, x.y)) ** 2).sum(1) / (w if weighted else 1) - (o if offset else 0)
+            assert x.label == d.argmin()
 
 
 def test_pixels_to_polygons():

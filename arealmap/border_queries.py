@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import geometry as G
-from .operators import adjacency, borders, fields, grids, rasters, walks
+from .operators import adjacency, auction, borders, fields, grids, rasters, walks
 from .plans import cartograms
 from .queries import BOX, L, query, r
 
@@ -217,3 +217,24 @@ def weights_of_maps(spark, sf_dir):
     return held.select("map_id", "src", "dst", r("weight", 6).alias("weight"))
 
 
+
+
+#: Nations by their order totals against nations by their customers, both as whole numbers to 100; on a line the least cost pairs them in order.
+LINE = BOX + """, cu AS (SELECT c_nationkey AS j, count(*) AS n FROM customer GROUP BY 1),
+  a AS (SELECT region_id AS i, CAST(floor(100 * value / max(value) OVER ()) AS BIGINT) AS x FROM nm), b AS (SELECT region_id AS j, CAST(floor(100 * coalesce(n, 0) / max(n) OVER ()) AS BIGINT) AS y FROM nm LEFT JOIN cu ON j = region_id)"""
+
+
+@query(LINE + """, p AS (SELECT x, row_number() OVER (ORDER BY x) AS k FROM a), q AS (SELECT y, row_number() OVER (ORDER BY y) AS k FROM b)
+  SELECT CAST(25 AS BIGINT) AS pairs, CAST(sum((x - y) * (x - y)) AS DOUBLE) AS cost, TRUE AS proven FROM p JOIN q USING (k)""")
+def auction_assignment(spark, sf_dir):
+    """All 25 nations to 25 places: costs are whole and epsilon is under 1 / 25, so the total is the least one, and prices prove it."""
+    nations = X.nation_values(spark, sf_dir)
+    x = nations.join(F.broadcast(nations.agg(F.max("value").alias("top")))).select(F.col("region_id").alias("i"), F.floor(100 * F.col("value") / F.col("top")).alias("x"))  # one row
+    customers = X.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("j")).agg(F.count("*").alias("n"))
+    y = nations.select(F.col("region_id").alias("j")).join(customers, "j", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    y = y.join(F.broadcast(y.agg(F.max("n").alias("top")))).select("j", F.floor(100 * F.col("n") / F.col("top")).alias("y"))  # one row
+    options = x.join(F.broadcast(y.agg(F.collect_list(F.struct("j", "y")).alias("all")))).select("i", "x", F.inline("all"))  # 25 places
+    costs = options.select(F.lit("map").alias("map_id"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.pow(F.col("x") - F.col("y"), F.lit(2.0)).alias("cost"))
+    found = auction.auction(costs, epsilon=0.03)
+    proven = auction.gap(costs, found).select((F.col("gap") < 1).alias("proven"))
+    return found.agg(F.countDistinct("i", "j").alias("pairs"), F.sum("cost").alias("cost")).join(proven)

@@ -66,6 +66,30 @@ def seed_sites(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
     return chosen.select(F.col("s_suppkey").alias("site_id"), (5.0 * ((37 * F.col("s_suppkey")) % 101) / 101).alias("x"), (5.0 * ((53 * F.col("s_suppkey")) % 103) / 103).alias("y"), (1.0 + F.col("s_nationkey")).alias("weight"))
 
 
+def order_sums(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """(k, total, orders): all orders dealt into ``n`` by their key; their total in millions and their number."""
+    k = F.pmod(F.col("o_orderkey"), F.lit(n)).cast("int")
+    return table(spark, sf_dir, "orders").groupBy(k.alias("k")).agg((F.sum("o_totalprice") / 1e6).alias("total"), F.count("*").alias("orders"))
+
+
+def order_field(cells: DataFrame, sf_dir: str, width: int, height: int) -> DataFrame:
+    """Cells (iy, ix, ...) with a velocity made of the orders that fall to them: their total, and a tenth of their number less 0.3."""
+    sums = order_sums(cells.sparkSession, sf_dir, width * height)
+    held = cells.withColumn("k", F.col("iy") * width + F.col("ix")).join(sums, "k", "left")
+    return held.withColumns({"vx": F.coalesce("total", F.lit(0.0)), "vy": 0.1 * F.coalesce("orders", F.lit(0)) - 0.3}).drop("k", "total", "orders")
+
+
+def part_bounds(spark: SparkSession, sf_dir: str) -> tuple[float, float, float, float]:
+    """Bounds of the part map, which grows with the parts."""
+    b = part_map(spark, sf_dir).select(G.bounds(F.col("geom")).alias("b"))
+    return tuple(b.agg(F.min("b.xmin"), F.min("b.ymin"), F.max("b.xmax"), F.max("b.ymax")).first())
+
+
+def nation_bounds(spark: SparkSession, sf_dir: str) -> tuple[float, float, float, float]:
+    b = nation_map(spark, sf_dir).select(G.bounds(F.col("geom")).alias("b"))
+    return tuple(b.agg(F.min("b.xmin"), F.min("b.ymin"), F.max("b.xmax"), F.max("b.ymax")).first())
+
+
 #: The same in SQL, as common table expressions.
 NATION = """nm AS (
   SELECT n.n_nationkey AS region_id, n.n_regionkey AS grp, n.n_name AS name, round(coalesce(v.v, 0.0), 2) AS value,
@@ -93,3 +117,14 @@ FLAGS = """fl AS (
 POINTS = """pt AS (SELECT DISTINCT user_id AS point_id, 5.0::DOUBLE * ((37 * user_id) % 101) / 101 AS x, 5.0::DOUBLE * ((53 * user_id) % 103) / 103 AS y FROM events)"""
 SITES = """st AS (SELECT s_suppkey AS site_id, 5.0::DOUBLE * ((37 * s_suppkey) % 101) / 101 AS x, 5.0::DOUBLE * ((53 * s_suppkey) % 103) / 103 AS y, CAST(1 + s_nationkey AS DOUBLE) AS weight
   FROM supplier ORDER BY s_suppkey LIMIT 10)"""
+
+def order_sums_sql(n: int) -> str:
+    return f"oc AS (SELECT CAST(o_orderkey % {n} AS INT) AS k, sum(o_totalprice) / 1e6 AS total, count(*) AS orders FROM orders GROUP BY 1)"
+
+
+def order_field_sql(cells: str, width: int, height: int) -> str:
+    return order_sums_sql(width * height) + f", fd AS (SELECT {cells}.*, coalesce(total, 0.0)::DOUBLE AS vx, 0.1::DOUBLE * coalesce(orders, 0) - 0.3::DOUBLE AS vy FROM {cells} LEFT JOIN oc ON k = iy * {width} + ix)"
+
+
+#: Width and height of the part map.
+PART_BOUNDS = """pb AS (SELECT least(50, max(p_partkey) - min(p_partkey) + 1)::DOUBLE AS w, ((max(p_partkey) - min(p_partkey)) // 50 + 1)::DOUBLE AS h FROM part)"""

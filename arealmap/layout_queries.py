@@ -12,7 +12,7 @@ from .functions import geometry as G
 from .kernels import circles, flow, raster, voronoi
 from .operators import adjacency, fields, frames, grids, isohedral, measure, styling, tilings, vertices
 from .plans import cartograms
-from .queries import BOX, F3, QUEEN, L, _overlaps, query, r, rounded
+from .queries import BOX, F3, PART_GRID, QUEEN, L, _overlaps, _part_grid, _series, SERIES, query, r, rounded
 from .sources import files
 
 
@@ -23,10 +23,10 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 # Grids.
 
 
-@query("""SELECT 'x' AS axis, range AS i, round(-0.5 + range * 11.0 / 32, 4) + 0.0 AS "at" FROM range(0, 33)
-  UNION ALL SELECT 'y', range, round(-0.4 + range * 8.8 / 25, 4) + 0.0 FROM range(0, 26)""")
+@query(f"""WITH {PART_GRID} SELECT 'x' AS axis, range AS i, round(-0.05 * w + range * ww / sx, 6) + 0.0 AS "at" FROM range(0, 33), pg WHERE range <= sx
+  UNION ALL SELECT 'y', range, round(-0.05 * h + range * hh / sy, 6) + 0.0 FROM range(0, 33), pg WHERE range <= sy""")
 def grid_edges(spark, sf_dir):
-    return grids.Grid.from_bounds((0.0, 0.0, 10.0, 8.0), 32, 0.05).edges(spark).select("axis", "i", r("at").alias("at"))
+    return _part_grid(spark, sf_dir).edges(spark).select("axis", "i", r("at", 6).alias("at"))
 
 
 @query("""SELECT * FROM (VALUES ('bounds', -1.0::DOUBLE, -0.4::DOUBLE, 11.0::DOUBLE, 4.4::DOUBLE, 24, 9, 0.5::DOUBLE, 0.5333::DOUBLE),
@@ -48,13 +48,13 @@ def grid_symbol_sizes(spark, sf_dir):
 
 @query("""SELECT round(-0.5 + c.range * 0.6, 4) + 0.0 AS x, round(-0.5 + r.range * 1.2 / sqrt(3.0), 4) + 0.0 AS y, round(0.72 / sqrt(3.0), 4) + 0.0 AS area FROM range(0, 10) r, range(0, 11) c""")
 def square_grid_for_hexagons(spark, sf_dir):
-    held = grids.generate_grid(spark, (0.0, 0.0, 5.0, 5.0), "square", cell_size=0.6, symbol_shape="hexagon")
+    held = grids.generate_grid(spark, X.nation_bounds(spark, sf_dir), "square", cell_size=0.6, symbol_shape="hexagon")
     return held.select(r("x").alias("x"), r("y").alias("y"), r(G.area(F.col("geom"))).alias("area"))
 
 
 @query("""SELECT round(-0.5 + c.range * 0.8 + (r.range % 2) * 0.4, 4) + 0.0 AS x, round(-0.5 + r.range * 0.8, 4) + 0.0 AS y, 0.64::DOUBLE AS area FROM range(0, 9) r, range(0, 9) c WHERE c.range < CASE WHEN r.range % 2 = 0 THEN 9 ELSE 8 END""")
 def hex_grid_for_squares(spark, sf_dir):
-    held = grids.generate_grid(spark, (0.0, 0.0, 5.0, 5.0), "hexagon", cell_size=0.4, symbol_shape="square")
+    held = grids.generate_grid(spark, X.nation_bounds(spark, sf_dir), "hexagon", cell_size=0.4, symbol_shape="square")
     return held.select(r("x").alias("x"), r("y").alias("y"), r(G.area(F.col("geom"))).alias("area"))
 
 
@@ -70,7 +70,8 @@ def view_bounds(spark, sf_dir):
 M = """WITH c AS (SELECT CAST(range // 24 AS INT) AS iy, CAST(range % 24 AS INT) AS ix FROM range(0, 288)),
   g AS (SELECT *, (ix + 0.5) * 0.25 AS x, (iy + 0.5) / 3 AS y, ix BETWEEN 6 AND 17 AND iy BETWEEN 3 AND 8 AS inside FROM c),
   d AS (SELECT *, greatest(6 - ix, ix - 17, 0) AS ox, greatest(3 - iy, iy - 8, 0) AS oy FROM g),
-  f AS (SELECT *, CASE WHEN inside THEN least(ix - 5, 18 - ix, iy - 2, 9 - iy)::DOUBLE ELSE -sqrt(ox * ox + oy * oy) END AS depth, x AS vx, 0.5 * y AS vy FROM d)"""
+  """ + X.order_field_sql("d", 24, 12) + """,
+  f AS (SELECT *, CASE WHEN inside THEN least(ix - 5, 18 - ix, iy - 2, 9 - iy)::DOUBLE ELSE -sqrt(ox * ox + oy * oy) END AS depth FROM fd)"""
 PX = "((0.25 + 1.0 / 3) / 2)"
 
 
@@ -78,14 +79,14 @@ def _block() -> grids.Grid:
     return grids.Grid.from_bounds((0.0, 0.0, 6.0, 4.0), (24, 12))
 
 
-def _cells(spark) -> DataFrame:
+def _cells(spark, sf_dir) -> DataFrame:
     inside = F.col("ix").between(6, 17) & F.col("iy").between(3, 8)
-    return _block().cells(spark).withColumns({"vx": F.col("x"), "vy": 0.5 * F.col("y"), "geom_idx": F.when(inside, 0).otherwise(-1)})
+    return X.order_field(_block().cells(spark), sf_dir, 24, 12).withColumn("geom_idx", F.when(inside, 0).otherwise(-1))
 
 
 @query(M + f" SELECT iy, ix, round(vx * (0.2 + 0.8 * least(1, greatest(0, depth / (0.8 / {PX})))), 4) + 0.0 AS vx, round(vy * (0.2 + 0.8 * least(1, greatest(0, depth / (0.8 / {PX})))), 4) + 0.0 AS vy FROM f")
 def boundary_decay(spark, sf_dir):
-    return rounded(cartograms.modulate(_cells(spark), _block(), raster.BoundaryDecay(0.8, 0.2)), ["iy", "ix"], "vx", "vy")
+    return rounded(cartograms.modulate(_cells(spark, sf_dir), _block(), raster.BoundaryDecay(0.8, 0.2)), ["iy", "ix"], "vx", "vy")
 
 
 @query(M + f""", s AS (SELECT *, lag(depth) OVER h AS l, lead(depth) OVER h AS n, lag(depth) OVER v AS u, lead(depth) OVER v AS o FROM f WINDOW h AS (PARTITION BY iy ORDER BY ix), v AS (PARTITION BY ix ORDER BY iy)),
@@ -93,44 +94,62 @@ def boundary_decay(spark, sf_dir):
   p AS (SELECT *, CASE WHEN gx * gx + gy * gy > 1e-20 THEN 0.9 * exp(-abs(depth) / (0.8 / {PX})) * (vx * gx + vy * gy) / (gx * gx + gy * gy) ELSE 0 END AS pull FROM k)
   SELECT iy, ix, round(vx - pull * gx, 4) + 0.0 AS vx, round(vy - pull * gy, 4) + 0.0 AS vy FROM p""")
 def boundary_normal_decay(spark, sf_dir):
-    return rounded(cartograms.modulate(_cells(spark), _block(), raster.BoundaryNormalDecay(0.8, 0.1)), ["iy", "ix"], "vx", "vy")
+    return rounded(cartograms.modulate(_cells(spark, sf_dir), _block(), raster.BoundaryNormalDecay(0.8, 0.1)), ["iy", "ix"], "vx", "vy")
 
 
-@query(M + """, t AS (SELECT *, least(1, greatest(0, (sqrt((ox * 0.25) ** 2 + (oy / 3.0) ** 2) - 0.5) / 0.6)) AS t FROM f)
-  SELECT iy, ix, round(CASE WHEN inside THEN 3.0 ELSE (1 - t) * 3 + t * 1.2 END, 4) + 0.0 AS rho FROM t""")
+@query(M + """, t AS (SELECT f.*, i.vx AS held, least(1, greatest(0, (sqrt((f.ox * 0.25) ** 2 + (f.oy / 3.0) ** 2) - 0.5) / 0.6)) AS t FROM f JOIN f i ON i.ix = least(17, greatest(6, f.ix)) AND i.iy = least(8, greatest(3, f.iy)))
+  SELECT iy, ix, round(CASE WHEN inside THEN vx ELSE (1 - t) * held + t * 1.2 END, 4) + 0.0 AS rho FROM t""")
 def border_extension(spark, sf_dir):
-    held = _cells(spark).select("iy", "ix", "geom_idx", F.when(F.col("geom_idx") == 0, 3.0).otherwise(1.0).alias("rho"), F.lit(1.2).alias("target"))
+    """Cells outside take the density of the nearest cell inside, and fade into the target."""
+    held = _cells(spark, sf_dir).select("iy", "ix", "geom_idx", F.col("vx").alias("rho"), F.lit(1.2).alias("target"))
     return rounded(cartograms.modulate(held, _block(), raster.BorderExtension(0.5, 0.6)), ["iy", "ix"], "rho")
 
 
+#: Smoothing by hand: a Gaussian along each axis, cut at four widths, the field mirrored about its edges.
 GAUSS = """, wx AS (SELECT range AS k, exp(-0.5 * (range / 1.2) ** 2) AS w FROM range(-5, 6)), wy AS (SELECT range AS k, exp(-0.5 * (range / 0.9) ** 2) AS w FROM range(-4, 5)),
-  b AS (SELECT iy, ix, coalesce(wx.w / (SELECT sum(w) FROM wx), 0) * coalesce(wy.w / (SELECT sum(w) FROM wy), 0) AS q FROM g LEFT JOIN wx ON wx.k = ix - 12 LEFT JOIN wy ON wy.k = iy - 6)"""
+  mx AS (SELECT c.range AS ix, w / (SELECT sum(w) FROM wx) AS w, CASE WHEN c.range + k < 0 THEN -1 - c.range - k WHEN c.range + k > 23 THEN 47 - c.range - k ELSE c.range + k END AS jx FROM range(0, 24) c, wx),
+  my AS (SELECT c.range AS iy, w / (SELECT sum(w) FROM wy) AS w, CASE WHEN c.range + k < 0 THEN -1 - c.range - k WHEN c.range + k > 11 THEN 23 - c.range - k ELSE c.range + k END AS jy FROM range(0, 12) c, wy),
+  b AS (SELECT my.iy, mx.ix, sum(mx.w * my.w * f.vx) AS px, sum(mx.w * my.w * f.vy) AS py FROM mx, my, f WHERE f.ix = mx.jx AND f.iy = my.jy GROUP BY 1, 2)"""
 
 
-@query(M + GAUSS + " SELECT iy, ix, round(q, 6) + 0.0 AS rho FROM b")
+@query(M + GAUSS + " SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(px * (SELECT avg(vx) FROM f) / (SELECT avg(px) FROM b), 4) + 0.0 AS rho FROM b")
 def density_smooth(spark, sf_dir):
-    """One dense cell spreads as the kernel does."""
-    held = _cells(spark).select("iy", "ix", "geom_idx", ((F.col("ix") == 12) & (F.col("iy") == 6)).cast("double").alias("rho"), F.lit(1.0).alias("target"))
-    return cartograms.modulate(held, _block(), raster.DensitySmooth(0.3)).select("iy", "ix", r("rho", 6).alias("rho"))
+    """Orders' totals smoothed; their mean stays."""
+    held = _cells(spark, sf_dir).select("iy", "ix", "geom_idx", F.col("vx").alias("rho"), F.lit(1.0).alias("target"))
+    return cartograms.modulate(held, _block(), raster.DensitySmooth(0.3)).select("iy", "ix", r("rho").alias("rho"))
 
 
-@query(M + GAUSS + " SELECT iy, ix, round(q, 6) + 0.0 AS vx, round(2 * q, 6) + 0.0 AS vy FROM b")
+@query(M + GAUSS + " SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(px, 4) + 0.0 AS vx, round(py, 4) + 0.0 AS vy FROM b")
 def velocity_smooth(spark, sf_dir):
-    one = ((F.col("ix") == 12) & (F.col("iy") == 6)).cast("double")
-    held = cartograms.modulate(_cells(spark).withColumns({"vx": one, "vy": 2 * one}), _block(), raster.Pipeline(raster.VelocitySmooth(0.3)))
-    return held.select("iy", "ix", r("vx", 6).alias("vx"), r("vy", 6).alias("vy"))
+    held = cartograms.modulate(_cells(spark, sf_dir), _block(), raster.Pipeline(raster.VelocitySmooth(0.3)))
+    return rounded(held, ["iy", "ix"], "vx", "vy")
 
 
-@query(M + " SELECT iy, ix, round(1.5 * 0.3 * sin(2 * pi() * 3 * ix / 24) / pi(), 6) + 0.0 AS vx, 0.0::DOUBLE AS vy FROM g")
+#: The levelling flow by a sum over all waves: rho' has the amplitude (a, b) along wave (p, q); its potential is that over the wave number squared.
+WAVES = """, n AS (SELECT iy, ix, vx / (SELECT avg(vx) FROM f) - 1 AS z FROM f), wv AS (SELECT p.range AS p, q.range AS q, 2 * pi() * p.range / 6 AS kx, 2 * pi() * CASE WHEN q.range > 6 THEN q.range - 12 ELSE q.range END / 4 AS ky FROM range(-12, 12) p, range(0, 12) q WHERE NOT (p.range = 0 AND q.range = 0)),
+  am AS (SELECT p, q, any_value(kx) AS kx, any_value(ky) AS ky, sum(z * cos(2 * pi() * (p * ix / 24.0 + q * iy / 12.0))) / 288 AS a, sum(z * sin(2 * pi() * (p * ix / 24.0 + q * iy / 12.0))) / 288 AS b FROM n, wv GROUP BY p, q),
+  vl AS (SELECT iy, ix, -sum(CASE WHEN p = -12 THEN 0 ELSE kx END / (kx * kx / 1.5 + ky * ky) * (b * cos(t) - a * sin(t))) AS ux, -sum(CASE WHEN q = 6 THEN CASE WHEN p IN (0, -12) THEN 0 WHEN p > 0 THEN -ky ELSE ky END ELSE ky END / (kx * kx / 1.5 + ky * ky) * (b * cos(t) - a * sin(t))) AS uy
+    FROM (SELECT n.iy, n.ix, am.*, 2 * pi() * (p * ix / 24.0 + q * iy / 12.0) AS t FROM n, am) GROUP BY iy, ix)"""
+
+
+@query(M + WAVES + " SELECT iy, ix, round(ux, 4) + 0.0 AS vx, round(uy, 4) + 0.0 AS vy FROM vl")
+def velocity_of_orders(spark, sf_dir):
+    """The flow that levels the orders' totals, stretched along x by the anisotropy, against a sum over all waves; those of two cells' length along one axis alone carry none."""
+    held = _cells(spark, sf_dir).withColumn("rho", F.col("vx"))
+    return rounded(cartograms.velocity_field(held, _block(), 1.5, 1.0), ["iy", "ix"], "vx", "vy")
+
+
+@query(M + f", am AS (SELECT avg(l_discount) * 10 AS a FROM lineitem) SELECT iy, ix, round(1.5 * a * sin(2 * pi() * 3 * ix / 24) / pi(), 6) + 0.0 AS vx, 0.0::DOUBLE AS vy FROM g, am")
 def velocity_of_a_wave(spark, sf_dir):
-    """A density that is one wave has a velocity in closed form, stretched along x by the anisotropy."""
-    held = _cells(spark).withColumn("rho", 2 + 0.6 * F.cos(2 * 3.141592653589793 * 3 * F.col("ix") / 24))
+    """A density that is one wave, as high as discounts are on average, has a velocity in closed form, stretched along x by the anisotropy."""
+    height = X.table(spark, sf_dir, "lineitem").agg((F.avg("l_discount") * 10).alias("a"))
+    held = _block().cells(spark).join(F.broadcast(height)).withColumn("rho", 2 + 2 * F.col("a") * F.cos(2 * 3.141592653589793 * 3 * F.col("ix") / 24))  # one row
     return cartograms.velocity_field(held, _block(), 1.5, 1.0).select("iy", "ix", r("vx", 6).alias("vx"), r("vy", 6).alias("vy"))
 
 
 @query(M + ", a AS (SELECT * FROM f WHERE ix % 4 = 0 AND iy % 4 = 0) SELECT iy, ix, round(vx * 0.9 * 4 * 0.25 / max(sqrt(vx * vx + vy * vy)) OVER (), 4) + 0.0 AS ux, round(vy * 0.9 * 4 * 0.25 / max(sqrt(vx * vx + vy * vy)) OVER (), 4) + 0.0 AS uy FROM a")
 def velocity_arrows(spark, sf_dir):
-    return rounded(fields.arrows(_cells(spark), 0.25, 4, 0.9), ["iy", "ix"], "ux", "uy")
+    return rounded(fields.arrows(_cells(spark, sf_dir), 0.25, 4, 0.9), ["iy", "ix"], "ux", "uy")
 
 
 ZERO = BOX + """, z AS (SELECT * REPLACE (CASE WHEN region_id % 4 = 0 THEN 0.0 ELSE value END AS value) FROM nm), gc AS (SELECT CAST(range // 20 AS INT) AS iy, CAST(range % 20 AS INT) AS ix, -1.25 + (range % 20 + 0.5) * 0.375 AS x, -1.25 + (range // 20 + 0.5) * 0.375 AS y FROM range(0, 400))"""
@@ -142,10 +161,12 @@ def density_zero_outside(spark, sf_dir):
     return rounded(fields.density_field(regions, grids.Grid.from_bounds((0.0, 0.0, 5.0, 5.0), 20, 0.25), zero_is_outside=True), ["iy", "ix"], "rho")
 
 
-@query("""SELECT * FROM (VALUES ('m2', 'km2', 0.000001::DOUBLE), ('km2', 'm2', 1000000.0), ('ha', 'm2', 10000.0), ('sqmi', 'km2', 2.589988), ('sqft', 'm2', 0.092903)) t(source, target, factor)""")
+@query(L + """ SELECT region_id, source, target, round(area * factor * 1000, 4) + 0.0 AS area FROM ar, (VALUES ('m2', 'km2', 0.000001::DOUBLE), ('km2', 'm2', 1000000.0), ('ha', 'm2', 10000.0), ('sqmi', 'km2', 2.589988110336), ('sqft', 'm2', 0.09290304)) t(source, target, factor)""")
 def area_scales(spark, sf_dir):
-    rows = [(a, b, measure.area_scale(a, b)) for a, b in (("m2", "km2"), ("km2", "m2"), ("ha", "m2"), ("sqmi", "km2"), ("sqft", "m2"))]
-    return spark.createDataFrame(rows, "source string, target string, factor double").select("source", "target", r("factor", 6).alias("factor"))
+    """Areas of regions in other units."""
+    units, area = (("m2", "km2"), ("km2", "m2"), ("ha", "m2"), ("sqmi", "km2"), ("sqft", "m2")), G.area(F.col("geom"))
+    regions = X.nation_lshape(spark, sf_dir)
+    return _union([regions.select("region_id", F.lit(a).alias("source"), F.lit(b).alias("target"), r(area * measure.area_scale(a, b) * 1000).alias("area")) for a, b in units])
 
 
 # Flows: where values are even nothing may move, and everything a result tells is known.
@@ -323,16 +344,20 @@ def transforms_composed(spark, sf_dir):
     return X.nation_values(spark, sf_dir).select("region_id", *(r(held[c]).alias(c) for c in ("x", "y", "rotation", "scale")), held["reflection"].alias("reflection"))
 
 
-@query("""SELECT symbol, round(area, 4) + 0.0 AS area, round(outer_r, 4) + 0.0 AS bounding_radius, round(inner_r, 4) + 0.0 AS inscribed_radius FROM (VALUES ('circle', 16 * sin(pi() / 16), 0.5, 0.5 * cos(pi() / 32)), ('square', 4.0, sqrt(0.5), 0.5),
-  ('hexagon', 1.5 * sqrt(3.0), 0.5, sqrt(3.0) / 4), ('hexagon_flat', 1.5 * sqrt(3.0), 0.5, sqrt(3.0) / 4), ('triangle', 0.75 * sqrt(3.0), 0.5, 0.25), ('triangle_down', 0.75 * sqrt(3.0), 0.5, 0.25), ('diamond', 2.0, 0.5, sqrt(0.125)),
-  ('pentagon', 2.5 * sin(radians(72)), 0.5, 0.5 * cos(radians(36))), ('pentagon_down', 2.5 * sin(radians(72)), 0.5, 0.5 * cos(radians(36))), ('star', 2 * sin(radians(36)), 0.5, 0.2)) t(symbol, area, outer_r, inner_r)""")
+NAMES = ("circle", "square", "hexagon", "hexagon_flat", "triangle", "triangle_down", "diamond", "pentagon", "pentagon_down", "star")
+
+
+@query(SIZES + """, sy(k, symbol, area, outer_r, inner_r) AS (VALUES (0, 'circle', 4 * sin(pi() / 16), 0.5, 0.5 * cos(pi() / 32)), (1, 'square', 1.0, sqrt(0.5), 0.5),
+  (2, 'hexagon', 0.375 * sqrt(3.0), 0.5, sqrt(3.0) / 4), (3, 'hexagon_flat', 0.375 * sqrt(3.0), 0.5, sqrt(3.0) / 4), (4, 'triangle', 0.1875 * sqrt(3.0), 0.5, 0.25), (5, 'triangle_down', 0.1875 * sqrt(3.0), 0.5, 0.25), (6, 'diamond', 0.5, 0.5, sqrt(0.125)),
+  (7, 'pentagon', 0.625 * sin(radians(72)), 0.5, 0.5 * cos(radians(36))), (8, 'pentagon_down', 0.625 * sin(radians(72)), 0.5, 0.5 * cos(radians(36))), (9, 'star', 0.5 * sin(radians(36)), 0.5, 0.2))
+  SELECT region_id, symbol, round(area * size * size, 4) + 0.0 AS area, round(outer_r * size, 4) + 0.0 AS bounding_radius, round(inner_r * size, 4) + 0.0 AS inscribed_radius FROM z, sy""")
 def symbol_shapes(spark, sf_dir):
-    """Unit symbols placed at twice their size, turned and mirrored, keep their areas."""
-    names = ("circle", "square", "hexagon", "hexagon_flat", "triangle", "triangle_down", "diamond", "pentagon", "pentagon_down", "star")
+    """Every symbol at every nation, as large as its orders, turned and mirrored: areas and radii follow the size."""
+    places = measure.symbol_sizes(X.nation_map(spark, sf_dir), "value", scale="sqrt", largest=0.5641895835477563).select("region_id", "size")
     parts = []
-    for k, name in enumerate(names):
-        pts = G.place(G.symbol_points(name), F.lit(3.0), F.lit(-1.0), F.lit(2.0), 0.1 * k, k % 2 == 1)
-        parts.append(spark.range(1).select(F.lit(name).alias("symbol"), r(G.ring_area(pts)).alias("area"), r(F.lit(G.bounding_radius(name))).alias("bounding_radius"), r(F.lit(G.inscribed_radius(name))).alias("inscribed_radius")))
+    for k, name in enumerate(NAMES):
+        pts = G.place(G.symbol_points(name), F.col("region_id").cast("double"), F.lit(-1.0), F.col("size"), 0.1 * k, k % 2 == 1)
+        parts.append(places.select("region_id", F.lit(name).alias("symbol"), r(G.ring_area(pts)).alias("area"), r(F.col("size") * G.bounding_radius(name)).alias("bounding_radius"), r(F.col("size") * G.inscribed_radius(name)).alias("inscribed_radius")))
     return _union(parts)
 
 
@@ -381,34 +406,35 @@ def least_cost_assignment(spark, sf_dir):
     return found.agg(r(F.sum("cost")).alias("cost"), F.countDistinct("j").alias("tiles"))
 
 
-@query("SELECT a.range AS i, b.range AS j, CAST(abs(a.range % 8 - b.range % 8) + abs(a.range // 8 - b.range // 8) AS INT) AS hops FROM range(0, 64) a, range(0, 64) b")
+@query(BOX + " SELECT CAST(a.region_id AS BIGINT) AS i, CAST(b.region_id AS BIGINT) AS j, CAST(abs(a.x0 - b.x0) + abs(a.y0 - b.y0) AS INT) AS hops FROM nm a, nm b")
 def tile_hops(spark, sf_dir):
-    edges = tilings.SQUARE.lattice_edges(tilings.SQUARE.tiles(spark, (0.0, 0.0, 8.0, 8.0), tile_size=1.0, margin=0.0))
-    return cartograms.tile_hops(edges.select(F.col("src").alias("i"), F.col("dst").alias("j"))).select("i", "j", "hops")
+    """Steps across edges between the nations' squares."""
+    edges = adjacency.box_pairs(X.nation_map(spark, sf_dir), min_shared=0.5)
+    return cartograms.tile_hops(edges.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))).select("i", "j", "hops")
 
 
 @query("SELECT CAST(8 AS BIGINT) AS tiles, TRUE AS middle_taken")
 def tile_holes_filled(spark, sf_dir):
     """Eight regions round an empty tile: one of them moves in."""
-    edges = tilings.SQUARE.lattice_edges(tilings.SQUARE.tiles(spark, (0.0, 0.0, 3.0, 3.0), tile_size=1.0, margin=0.0)).select(F.col("src").alias("i"), F.col("dst").alias("j"))
-    placed = spark.range(8).select(F.col("id").alias("region_id"), F.when(F.col("id") < 4, F.col("id")).otherwise(F.col("id") + 1).alias("tile_id"))
+    n = F.col("region_id").cast("long")
+    square = X.nation_map(spark, sf_dir).where("region_id % 5 < 3 and region_id < 15").withColumn("region_id", F.expr("region_id div 5 * 3 + region_id % 5"))
+    edges = adjacency.box_pairs(square, min_shared=0.5).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"))
+    placed = square.where("region_id < 8").select(n.alias("region_id"), F.when(n < 4, n).otherwise(n + 1).alias("tile_id"))
     held = cartograms.tile_repairs(placed, edges)
     return held.agg(F.countDistinct("tile_id").alias("tiles"), (F.count_if(F.col("tile_id") == 4) == 1).alias("middle_taken"))
 
 
-@query("""WITH s AS (SELECT CAST(range AS INT) AS iteration, 0.9 / (1 + range) + 0.02 * (range % 3) AS v FROM range(1, 11))
+@query(f"""WITH {SERIES}, s AS (SELECT iteration, mean_log_error AS v FROM sr WHERE iteration <= 10)
   SELECT iteration, round(avg(v) OVER w, 6) + 0.0 AS mean, round(var_pop(v) OVER w, 6) + 0.0 AS variance FROM s WINDOW w AS (ORDER BY iteration)""")
 def moving_stats(spark, sf_dir):
     """The first steps of an adaptive moving mean and variance are the plain ones."""
-    i = F.col("id")
-    series = spark.range(1, 11).select(i.cast("int").alias("iteration"), (0.9 / (1 + i) + 0.02 * (i % 3)).alias("v"))
-    held = cartograms.moving_stats(series)
+    held = cartograms.moving_stats(_series(spark, sf_dir).where("iteration <= 10").select("iteration", F.col("mean_log_error").alias("v")))
     return held.select("iteration", r("mean", 6).alias("mean"), r("variance", 6).alias("variance"))
 
 
-@query("SELECT range AS tile_id, round(-(range // 4 + 0.5), 4) + 0.0 AS cx, round(range % 4 + 0.5, 4) + 0.0 AS cy, 90.0::DOUBLE AS rotation, 1.0::DOUBLE AS area FROM range(0, 16)")
+@query(BOX + " SELECT CAST(region_id AS BIGINT) AS tile_id, round(-(region_id // 5 + 0.5), 4) + 0.0 AS cx, round(region_id % 5 + 0.5, 4) + 0.0 AS cy, 90.0::DOUBLE AS rotation, 1.0::DOUBLE AS area FROM nm")
 def rotated_tiles(spark, sf_dir):
-    held = tilings.rotated(tilings.SQUARE.tiles(spark, (0.0, 0.0, 4.0, 4.0), tile_size=1.0, margin=0.0), 90.0)
+    held = tilings.rotated(tilings.SQUARE.tiles(spark, X.nation_bounds(spark, sf_dir), tile_size=1.0, margin=0.0), 90.0)
     return held.select("tile_id", r("cx").alias("cx"), r("cy").alias("cy"), "rotation", r(G.area(F.col("geom"))).alias("area"))
 
 
@@ -567,9 +593,9 @@ def saved_workflow(spark, sf_dir):
     return _union(parts)
 
 
-@query("SELECT kind, CAST(range AS INT) AS iteration, round(0.9 / (1 + range), 4) + 0.0 AS mean_log_error FROM range(1, 31), (VALUES ('csv'), ('json')) t(kind)")
+@query(f"WITH {SERIES} SELECT kind, iteration, round(mean_log_error, 4) + 0.0 AS mean_log_error FROM sr, (VALUES ('csv'), ('json')) t(kind)")
 def exported_history(spark, sf_dir):
-    series = spark.range(1, 31).select(F.col("id").cast("int").alias("iteration"), (0.9 / (1 + F.col("id"))).alias("mean_log_error"))
+    series = _series(spark, sf_dir).select("iteration", "mean_log_error")
     path, shape = files.scratch(spark), "iteration int, mean_log_error double"
     for kind in ("csv", "json"):
         files.export_history(series, f"{path}/{kind}", kind)

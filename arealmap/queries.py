@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
@@ -171,35 +171,51 @@ def layout_input_total(spark, sf_dir):
     return rounded(held, ["region_id"], "x", "y", "size")
 
 
-@query("""WITH g AS (SELECT range AS id FROM range(0, 32 * 25)) SELECT CAST(id // 32 AS INT) AS iy, CAST(id % 32 AS INT) AS ix,
-  round(-0.5 + (id % 32 + 0.5) * (11.0 / 32), 4) + 0.0 AS x, round(-0.4 + (id // 32 + 0.5) * (8.8 / 25), 4) + 0.0 AS y FROM g""")
+#: A grid of 32 cells along the longer side of the part map, with a margin of a twentieth.
+PART_GRID = f"""{X.PART_BOUNDS}, pg AS (SELECT *, w * 1.1 AS ww, h * 1.1 AS hh, CASE WHEN w >= h THEN 32 ELSE greatest(1, CAST(floor(w * 1.1 * 32 / (h * 1.1)) AS INT)) END AS sx, CASE WHEN w >= h THEN greatest(1, CAST(floor(h * 1.1 * 32 / (w * 1.1)) AS INT)) ELSE 32 END AS sy FROM pb)"""
+
+
+def _part_grid(spark, sf_dir) -> grids.Grid:
+    return grids.Grid.from_bounds(X.part_bounds(spark, sf_dir), 32, 0.05)
+
+
+@query(f"""WITH {PART_GRID}, g AS (SELECT i.range AS ix, j.range AS iy FROM range(0, 32) i, range(0, 32) j)
+  SELECT CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(-0.05 * w + (ix + 0.5) * (ww / sx), 4) + 0.0 AS x, round(-0.05 * h + (iy + 0.5) * (hh / sy), 4) + 0.0 AS y FROM g, pg WHERE ix < sx AND iy < sy""")
 def grid_cells(spark, sf_dir):
-    return rounded(grids.Grid.from_bounds((0.0, 0.0, 10.0, 8.0), 32, 0.05).cells(spark), ["iy", "ix"], "x", "y")
+    return rounded(_part_grid(spark, sf_dir).cells(spark), ["iy", "ix"], "x", "y")
 
 
-@query("""SELECT * FROM (VALUES (0, 64, 51), (1, 128, 102), (2, 256, 204)) t(level, sx, sy)""")
+@query(f"""WITH {X.PART_BOUNDS}, v AS (SELECT w, h, w >= h AS wide, round_even(64 * CASE WHEN w >= h THEN h / w ELSE w / h END, 0) AS near FROM pb),
+  k AS (SELECT *, near + d.range AS other FROM v, range(-4, 5) d WHERE near + d.range > 4),
+  o AS (SELECT wide, CAST(arg_min(other, (abs(CASE WHEN wide THEN (w / 64) / (h / other) ELSE (w / other) / (h / 64) END - 1), other)) AS INT) AS other FROM k GROUP BY wide)
+  SELECT CAST(range AS INT) AS level, CAST(CASE WHEN wide THEN 64 ELSE other END * 2 ** range AS INT) AS sx, CAST(CASE WHEN wide THEN other ELSE 64 END * 2 ** range AS INT) AS sy FROM o, range(0, 3)""")
 def multilevel_grid_sizes(spark, sf_dir):
-    held = grids.multilevel((0.0, 0.0, 100.0, 80.0), 64, 3)
+    held = grids.multilevel(X.part_bounds(spark, sf_dir), 64, 3)
     return spark.createDataFrame([(k, g.sx, g.sy) for k, g in enumerate(held)], "level int, sx int, sy int")
 
 
 @query("""WITH c AS (SELECT i.range AS i, j.range AS j FROM range(0, 10) i, range(0, 10) j) SELECT CAST(i * 10 + j AS BIGINT) AS cell_id,
   CAST(round(-0.5 + 0.3 + i * 0.6, 4) AS DOUBLE) AS x, CAST(round(-0.5 + 0.3 + j * 0.6, 4) AS DOUBLE) AS y, 0.36::DOUBLE AS area FROM c""")
 def square_grid(spark, sf_dir):
-    held = grids.generate_grid(spark, (0.0, 0.0, 5.0, 5.0), "square", cell_size=0.6, margin=0.1)
+    held = grids.generate_grid(spark, X.nation_bounds(spark, sf_dir), "square", cell_size=0.6, margin=0.1)
     return held.select("cell_id", r("x").alias("x"), r("y").alias("y"), r(G.area(F.col("geom"))).alias("area"))
 
 
 @query("""WITH k AS (SELECT r.range AS r, c.range AS c FROM range(0, 11) r, range(0, 10) c WHERE c.range < CASE WHEN r.range % 2 = 0 THEN ceil(6.0 / (sqrt(3.0) * 0.4) + 1) ELSE ceil(6.0 / (sqrt(3.0) * 0.4) + 0.5) END)
   SELECT round(-0.5 + c * sqrt(3.0) * 0.4 + (r % 2) * sqrt(3.0) * 0.2, 4) + 0.0 AS x, CAST(round(-0.5 + r * 0.6, 4) AS DOUBLE) AS y, round(1.5 * sqrt(3.0) * 0.16, 4) + 0.0 AS area FROM k""")
 def hex_grid(spark, sf_dir):
-    held = grids.generate_grid(spark, (0.0, 0.0, 5.0, 5.0), "hexagon", cell_size=0.4, margin=0.1)
+    held = grids.generate_grid(spark, X.nation_bounds(spark, sf_dir), "hexagon", cell_size=0.4, margin=0.1)
     return held.select(r("x").alias("x"), r("y").alias("y"), r(G.area(F.col("geom"))).alias("area"))
 
 
-@query("""WITH t AS (SELECT range AS id FROM range(0, 64)) SELECT CAST(a.id AS BIGINT) AS src, CAST(b.id AS BIGINT) AS dst FROM t a JOIN t b ON abs(a.id % 8 - b.id % 8) + abs(a.id // 8 - b.id // 8) = 1""")
+@query(f"""WITH {X.PART_BOUNDS}, t AS (SELECT i.range * 50 + j.range AS id, i.range AS i, j.range AS j, (SELECT CAST(h AS BIGINT) FROM pb) AS h FROM range(0, 400) i, range(0, 50) j WHERE i.range < (SELECT h FROM pb)),
+  e AS (SELECT i, j, i + 1 AS i2, j AS j2 FROM t UNION ALL SELECT i, j, i, j + 1 FROM t), ok AS (SELECT * FROM e WHERE i2 < (SELECT h FROM pb) AND j2 < 50)
+  SELECT CAST(j + 0.5 AS DOUBLE) AS x, CAST(i + 0.5 AS DOUBLE) AS y, CAST(j2 + 0.5 AS DOUBLE) AS x2, CAST(i2 + 0.5 AS DOUBLE) AS y2 FROM ok UNION ALL SELECT j2 + 0.5, i2 + 0.5, j + 0.5, i + 0.5 FROM ok""")
 def square_tiling_edges(spark, sf_dir):
-    return tilings.SQUARE.lattice_edges(tilings.SQUARE.tiles(spark, (0.0, 0.0, 8.0, 8.0), tile_size=1.0, margin=0.0))
+    """Neighbours across edges among unit tiles over the part map, both ways, by their centres."""
+    tiles = tilings.SQUARE.tiles(spark, X.part_bounds(spark, sf_dir), tile_size=1.0, margin=0.0)
+    at = lambda k, x, y: tiles.select(F.col("tile_id").alias(k), r("cx").alias(x), r("cy").alias(y))
+    return tilings.SQUARE.lattice_edges(tiles).join(at("src", "x", "y"), "src").join(at("dst", "x2", "y2"), "dst").select("x", "y", "x2", "y2")
 
 
 @query("""SELECT CAST(6 AS BIGINT) AS most, 0.0::DOUBLE AS area_off""")
@@ -327,63 +343,64 @@ def density_display_ratio(spark, sf_dir):
     return fields.density_display(fields.density_field(regions, _grid(), mean_density=mean), mean).select("iy", "ix", r("shown").alias("shown"))
 
 
-FIELD = f"WITH {CELLS}, fd AS (SELECT *, 0.3 * x - 0.1 * y AS vx, 0.05 * x * y AS vy FROM gc)"
+FIELD = f"WITH {CELLS}, {X.order_field_sql('gc', 20, 20)}"
 
 
-def _field(spark) -> DataFrame:
-    return _grid().cells(spark).withColumns({"vx": 0.3 * F.col("x") - 0.1 * F.col("y"), "vy": 0.05 * F.col("x") * F.col("y")})
+def _field(spark, sf_dir) -> DataFrame:
+    return X.order_field(_grid().cells(spark), sf_dir, 20, 20)
 
 
 @query(FIELD + " SELECT round(max(sqrt(vx * vx + vy * vy)), 4) + 0.0 AS max_speed, round(greatest(max(abs(vx)), max(abs(vy))), 4) + 0.0 AS max_component FROM fd")
 def field_maxima(spark, sf_dir):
-    return rounded(vertices.field_maxima(_field(spark)), [], "max_speed", "max_component")
+    return rounded(vertices.field_maxima(_field(spark, sf_dir)), [], "max_speed", "max_component")
 
 
-@query(FIELD.replace("WITH", f"WITH {X.POINTS},", 1) + " SELECT point_id, round(x + 0.5 * (0.3 * x - 0.1 * y), 4) + 0.0 AS x, round(y + 0.5 * 0.05 * x * y, 4) + 0.0 AS y FROM pt")
+@query(f"WITH {X.POINTS} SELECT point_id, round(x + 0.5 * (0.3 * x - 0.1 * y), 4) + 0.0 AS x, round(y + 0.5 * 0.05 * x * y, 4) + 0.0 AS y FROM pt")
 def displacement_step(spark, sf_dir):
     """The field is bilinear, so interpolation is exact and the oracle needs no grid."""
-    return rounded(vertices.displace(X.user_points(spark, sf_dir), _field(spark), _grid(), 0.5), ["point_id"], "x", "y")
+    field = _grid().cells(spark).withColumns({"vx": 0.3 * F.col("x") - 0.1 * F.col("y"), "vy": 0.05 * F.col("x") * F.col("y")})
+    return rounded(vertices.displace(X.user_points(spark, sf_dir), field, _grid(), 0.5), ["point_id"], "x", "y")
 
 
 @query(FIELD + """, th AS (SELECT *, atan2(y - 2.5, x - 2.5) AS t FROM fd)
   SELECT iy, ix, round((2 * cos(t) ** 2 + sin(t) ** 2) * vx + cos(t) * sin(t) * vy, 4) + 0.0 AS vx, round(cos(t) * sin(t) * vx + (2 * sin(t) ** 2 + cos(t) ** 2) * vy, 4) + 0.0 AS vy FROM th""")
 def directional_tensor_radial(spark, sf_dir):
-    return rounded(fields.directional(_field(spark), fields.radial(_grid())), ["iy", "ix"], "vx", "vy")
+    return rounded(fields.directional(_field(spark, sf_dir), fields.radial(_grid())), ["iy", "ix"], "vx", "vy")
 
 
 @query(FIELD + """, th AS (SELECT *, atan2(y - 2.5, x - 2.5) + pi() / 2 AS t FROM fd)
   SELECT iy, ix, round((3 * cos(t) ** 2 + 0.5 * sin(t) ** 2) * vx + 2.5 * cos(t) * sin(t) * vy, 4) + 0.0 AS vx, round(2.5 * cos(t) * sin(t) * vx + (3 * sin(t) ** 2 + 0.5 * cos(t) ** 2) * vy, 4) + 0.0 AS vy FROM th""")
 def directional_tensor_tangential(spark, sf_dir):
-    return rounded(fields.directional(_field(spark), fields.tangential(_grid()), 3.0, 0.5), ["iy", "ix"], "vx", "vy")
+    return rounded(fields.directional(_field(spark, sf_dir), fields.tangential(_grid()), 3.0, 0.5), ["iy", "ix"], "vx", "vy")
 
 
 @query(FIELD + """, w AS (SELECT iy, ix, 1 / ((x - 0.1) ** 2 + (y - 0.2) ** 2) AS a, 1 / ((x - 4) ** 2 + (y - 3) ** 2) AS b FROM fd)
   SELECT iy, ix, round(atan2(a * sin(0.3) + b * sin(1.2), a * cos(0.3) + b * cos(1.2)), 4) + 0.0 AS theta FROM w""")
 def idw_direction_field(spark, sf_dir):
-    held = fields.seeded_direction(_field(spark), [(0.1, 0.2, 0.3), (4.0, 3.0, 1.2)])
+    held = fields.seeded_direction(_field(spark, sf_dir), [(0.1, 0.2, 0.3), (4.0, 3.0, 1.2)])
     return rounded(held, ["iy", "ix"], "theta")
 
 
 @query(FIELD + """, w AS (SELECT *, exp(-0.5 * ((x - 1) ** 2 + (y - 1) ** 2) / 0.64) AS a FROM fd)
   SELECT iy, ix, round((2 * a + (1 - a)) * vx, 4) + 0.0 AS vx, round((a + (1 - a)) * vy, 4) + 0.0 AS vy FROM w""")
 def localized_tensor(spark, sf_dir):
-    return rounded(fields.localized(_field(spark), [(1.0, 1.0, 0.0, 0.8)]), ["iy", "ix"], "vx", "vy")
+    return rounded(fields.localized(_field(spark, sf_dir), [(1.0, 1.0, 0.0, 0.8)]), ["iy", "ix"], "vx", "vy")
 
 
 @query(FIELD + " SELECT iy, ix, round(vx * 2, 4) + 0.0 AS vx, round(vy * x, 4) + 0.0 AS vy FROM fd")
 def multiplicative_modulator(spark, sf_dir):
-    return rounded(fields.multiply(_field(spark), 2.0, F.col("x")), ["iy", "ix"], "vx", "vy")
+    return rounded(fields.multiply(_field(spark, sf_dir), 2.0, F.col("x")), ["iy", "ix"], "vx", "vy")
 
 
 @query(FIELD + " SELECT iy, ix, round(vx * 1.37, 6) + 0.0 AS vx, round(vy * 0.61, 6) + 0.0 AS vy FROM fd")
 def axis_aligned_tensor(spark, sf_dir):
-    held = fields.axis_aligned(_field(spark), 1.37, 0.61)
+    held = fields.axis_aligned(_field(spark, sf_dir), 1.37, 0.61)
     return held.select("iy", "ix", r("vx", 6).alias("vx"), r("vy", 6).alias("vy"))
 
 
 @query(FIELD + """, m AS (SELECT max(sqrt(vx ** 2 + vy ** 2)) AS top FROM fd) SELECT iy, ix, round(sqrt(vx ** 2 + vy ** 2) / top, 4) + 0.0 AS magnitude, round((atan2(vy, vx) + pi()) / (2 * pi()), 4) + 0.0 AS direction FROM fd, m WHERE ix % 4 = 0 AND iy % 4 = 0""")
 def velocity_display(spark, sf_dir):
-    return rounded(fields.velocity_display(_field(spark), 4), ["iy", "ix"], "magnitude", "direction")
+    return rounded(fields.velocity_display(_field(spark, sf_dir), 4), ["iy", "ix"], "magnitude", "direction")
 
 
 def _label_sql(d2: str) -> str:
@@ -461,33 +478,47 @@ def compactness_score(spark, sf_dir):
     return rounded(topology.compactness(_moved(spark, sf_dir)[0]), ["region_id", "grp"], "score")
 
 
-SERIES = """sr AS (SELECT CAST(range AS INT) AS iteration, 0.9 / (1 + range) + 0.02 * (range % 3) AS mean_log_error, 1.7 / (1 + range) AS max_log_error FROM range(1, 31))"""
+#: Thirty steps of a run; how many orders fall to a step makes its mean rise and fall.
+SERIES = f"""{X.order_sums_sql(30)}, sr AS (SELECT CAST(range AS INT) AS iteration, 0.9 / (1 + range) + 0.02 * (coalesce(orders, 0) % 3) AS mean_log_error, 1.7 / (1 + range) AS max_log_error FROM range(1, 31) LEFT JOIN oc ON k = range - 1)"""
 
 
-def _series(spark) -> DataFrame:
-    i = F.col("id")
-    return spark.range(1, 31).select(i.cast("int").alias("iteration"), (0.9 / (1 + i) + 0.02 * (i % 3)).alias("mean_log_error"), (1.7 / (1 + i)).alias("max_log_error"))
+def _series(spark, sf_dir) -> DataFrame:
+    i, n = F.col("id"), F.coalesce("orders", F.lit(0))
+    steps = spark.range(1, 31).join(X.order_sums(spark, sf_dir, 30), F.col("id") - 1 == F.col("k"), "left")
+    return steps.select(i.cast("int").alias("iteration"), (0.9 / (1 + i) + 0.02 * (n % 3)).alias("mean_log_error"), (1.7 / (1 + i)).alias("max_log_error"))
 
 
 @query(f"""WITH {SERIES}, l AS (SELECT *, CASE WHEN mean_log_error > lag(mean_log_error) OVER (ORDER BY iteration) THEN 1 ELSE 0 END AS up FROM sr), c AS (SELECT *, sum(up) OVER (ORDER BY iteration) AS rises FROM l)
   SELECT iteration, CAST(rises AS BIGINT) AS rises, CASE WHEN mean_log_error < log2(1.05) AND max_log_error < log2(1.10) THEN 'converged' WHEN rises > 5 THEN 'stalled' ELSE 'running' END AS status FROM c""")
 def convergence_status(spark, sf_dir):
-    return measure.convergence_status(_series(spark)).select("iteration", F.col("rises").cast("long").alias("rises"), "status")
+    return measure.convergence_status(_series(spark, sf_dir)).select("iteration", F.col("rises").cast("long").alias("rises"), "status")
+
+
+YEARS = """y AS (SELECT CAST(row_number() OVER (ORDER BY year(o_orderdate)) - 1 AS INT) AS idx, count(*) AS n FROM orders GROUP BY year(o_orderdate))"""
+
+
+def _years(spark, sf_dir) -> DataFrame:
+    """(idx, n): the orders of each year, few rows."""
+    by = X.table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    return by.select((F.row_number().over(Window.orderBy("year")) - 1).alias("idx"), "n")
 
 
-@query("""WITH p AS (SELECT range AS frame, range / 20.0 AS progress FROM range(0, 21)), s AS (SELECT range AS idx, range * range AS v FROM range(0, 6)),
-  b AS (SELECT idx, v, lead(v) OVER (ORDER BY idx) AS nxt FROM s)
-  SELECT CAST(frame AS BIGINT) AS frame, round(coalesce(idx + (progress * 25 - v) / (nxt - v), 5.0), 4) + 0.0 AS position FROM p LEFT JOIN b ON progress * 25 >= v AND progress * 25 < nxt""")
+@query(f"""WITH p AS (SELECT range AS frame, range / 20.0 AS progress FROM range(0, 21)), {YEARS}, s AS (SELECT idx, sum(n) OVER (ORDER BY idx) - first(n) OVER (ORDER BY idx) AS v FROM y),
+  b AS (SELECT idx, v, lead(v) OVER (ORDER BY idx) AS nxt, max(v) OVER () AS top FROM s)
+  SELECT CAST(frame AS BIGINT) AS frame, round(coalesce(idx + (progress * top - v) / (nxt - v), (SELECT max(idx) FROM s)), 4) + 0.0 AS position FROM p LEFT JOIN b ON progress * top >= v AND progress * top < nxt""")
 def linear_over_position(spark, sf_dir):
-    series = spark.range(6).select(F.col("id").alias("idx"), (F.col("id") * F.col("id")).cast("double").alias("v"))
+    """Frames spaced by how the orders of the years add up."""
+    along = Window.orderBy("idx")  # a row for each year
+    series = _years(spark, sf_dir).select("idx", (F.sum("n").over(along) - F.first("n").over(along)).cast("double").alias("v"))
     return rounded(frames.linear_over(frames.progress(spark, 21), series), ["frame"], "position")
 
 
-@query("""WITH p AS (SELECT range AS frame, range / 20.0 AS progress FROM range(0, 21)), s AS (SELECT * FROM (VALUES (0, 2.0), (1, -1.0), (2, 1.0), (3, 5.0)) t(idx, w)),
-  c AS (SELECT idx, greatest(w, 0) / 8.0 AS sh, sum(greatest(w, 0)) OVER (ORDER BY idx) / 8.0 AS hi FROM s)
+@query(f"""WITH p AS (SELECT range AS frame, range / 20.0 AS progress FROM range(0, 21)), {YEARS}, s AS (SELECT idx, CASE WHEN idx = 1 THEN -1.0 ELSE n END AS w FROM y),
+  c AS (SELECT idx, greatest(w, 0) / sum(greatest(w, 0)) OVER () AS sh, sum(greatest(w, 0)) OVER (ORDER BY idx) / sum(greatest(w, 0)) OVER () AS hi FROM s)
   SELECT CAST(frame AS BIGINT) AS frame, round(max(idx + (progress - (hi - sh)) / sh), 4) + 0.0 AS position FROM p JOIN c ON sh > 0 AND progress >= hi - sh AND (progress < hi OR (progress >= 1 AND hi >= 1)) GROUP BY 1""")
 def weights_position(spark, sf_dir):
-    series = spark.createDataFrame([(0, 2.0), (1, -1.0), (2, 1.0), (3, 5.0)], "idx int, w double")
+    """Frames dealt to the years by their orders; a year of negative weight gets none."""
+    series = _years(spark, sf_dir).select("idx", F.when(F.col("idx") == 1, F.lit(-1.0)).otherwise(F.col("n").cast("double")).alias("w"))
     return rounded(frames.by_weights(frames.progress(spark, 21), series), ["frame"], "position")
 
 
@@ -521,7 +552,7 @@ def style_overrides(spark, sf_dir):
 @query(f"""WITH {SERIES}, rn AS (SELECT 0 AS run_id, * FROM sr WHERE iteration <= 10 UNION ALL SELECT 1, * FROM sr WHERE iteration <= 7 UNION ALL SELECT 2, * FROM sr WHERE iteration <= 20)
   SELECT run_id, iteration, CAST(iteration + CASE run_id WHEN 0 THEN 0 WHEN 1 THEN 10 ELSE 17 END AS BIGINT) AS step FROM rn""")
 def workflow_convergence(spark, sf_dir):
-    s = _series(spark)
+    s = _series(spark, sf_dir)
     runs = [s.where(F.col("iteration") <= n).withColumn("run_id", F.lit(k)) for k, n in enumerate((10, 7, 20))]
     return frames.workflow_series(runs[0].unionByName(runs[1]).unionByName(runs[2])).select("run_id", "iteration", F.col("step").cast("long").alias("step"))
 

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import geometry as G
-from .operators import adjacency, auction, borders, fields, grids, rasters, walks
+from .kernels import flow, raster
+from .operators import adjacency, auction, borders, fields, grids, history, rasters, walks
 from .plans import cartograms
-from .queries import BOX, L, query, r
+from .queries import BOX, SERIES, L, _series, query, r
+from .sources import files, manifest
 
 GRID20 = """gc AS (SELECT CAST(range // 20 AS INT) AS iy, CAST(range % 20 AS INT) AS ix, -1.25 + (range % 20 + 0.5) * 0.375::DOUBLE AS cx, -1.25 + (range // 20 + 0.5) * 0.375::DOUBLE AS cy FROM range(0, 400))"""
 #: Regions that hold a centre by the parity of borders to its right.
@@ -238,3 +240,68 @@ def auction_assignment(spark, sf_dir):
     found = auction.auction(costs, epsilon=0.03)
     proven = auction.gap(costs, found).select((F.col("gap") < 1).alias("proven"))
     return found.agg(F.countDistinct("i", "j").alias("pairs"), F.sum("cost").alias("cost")).join(proven)
+
+
+#: What every customer had ordered by each day of an order, as a run's history; asked for at the end of each year.
+SPENT = """sn AS (SELECT o_custkey AS run_id, CAST(date_diff('day', TIMESTAMP '1992-01-01', o_orderdate) AS INT) AS iteration, sum(o_totalprice) AS value FROM orders GROUP BY ALL),
+  aq AS (SELECT DISTINCT run_id, CAST(365 * y.range AS INT) AS iteration FROM sn, range(1, 8) y)"""
+
+
+def _spent(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    orders = X.table(spark, sf_dir, "orders")
+    snaps = orders.groupBy(F.col("o_custkey").alias("run_id"), F.date_diff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")).alias("iteration")).agg(F.sum("o_totalprice").alias("value"))
+    asked = snaps.select("run_id").distinct().withColumn("iteration", F.explode(F.array(*(F.lit(365 * y) for y in range(1, 8)))))
+    return snaps, asked
+
+
+@query(f"WITH {SPENT} SELECT aq.run_id, aq.iteration, sn.iteration AS recorded, round(sn.value, 2) + 0.0 AS value FROM aq ASOF JOIN sn ON aq.run_id = sn.run_id AND aq.iteration >= sn.iteration")
+def history_as_of(spark, sf_dir):
+    """Each customer's last order at or before the end of each year; before the first there is none."""
+    snaps, asked = _spent(spark, sf_dir)
+    return history.as_of(snaps, asked, ["run_id"]).select("run_id", "iteration", "recorded", r("value", 2).alias("value"))
+
+
+@query(f"""WITH {SERIES}, l AS (UNPIVOT (SELECT iteration, mean_log_error, max_log_error FROM sr) ON mean_log_error, max_log_error INTO NAME variable VALUE value)
+  SELECT iteration, variable, round(value, 4) + 0.0 AS value, round(value - lag(value) OVER (PARTITION BY variable ORDER BY iteration), 4) + 0.0 AS change FROM l""")
+def history_by_variable(spark, sf_dir):
+    """A run's errors in long form, and how they changed from step to step."""
+    long = history.series(_series(spark, sf_dir), ["iteration"], ["mean_log_error", "max_log_error"])
+    return history.changes(long, []).select("iteration", "variable", r("value").alias("value"), r("change").alias("change"))
+
+
+@query("SELECT asked, recorded, TRUE AS moved, TRUE AS as_recorded, 25 AS regions FROM (VALUES (1, 1), (5, 1), (7, 6), (12, 11)) t(asked, recorded)")
+def flow_as_of(spark, sf_dir):
+    """A moving map with snapshots at steps 1, 6 and 11, asked at others: each answer is the last snapshot before, and areas have moved by then."""
+    found = cartograms.flow(X.nation_map(spark, sf_dir), options=flow.Options(grid_size=64, n_iter=14, mean_tol=1e-9, max_tol=1e-9, stall_patience=None, snapshot_every=5))
+    held = found.at(1, 5, 7, 12).join(found.snapshots.select(F.col("iteration").alias("recorded"), "region_id", F.col("geom").alias("then")), ["recorded", "region_id"])
+    return held.groupBy(F.col("iteration").alias("asked"), "recorded").agg((F.max(F.abs(G.area(F.col("geom")) - 1)) > 1e-3).alias("moved"), F.bool_and(F.col("geom") == F.col("then")).alias("as_recorded"), F.count("*").cast("int").alias("regions"))
+
+
+@query(BOX + " SELECT CAST(region_id AS BIGINT) AS region_id, 2 AS runs, TRUE AS same, TRUE AS moved FROM nm")
+def workflow_continued(spark, sf_dir):
+    """A workflow saved after its first run, loaded and gone on with: the same shapes as without the stop."""
+    first = flow.Options(grid_size=64, n_iter=6, mean_tol=1e-9, max_tol=1e-9, velocity_mod=raster.Pipeline(raster.VelocitySmooth(0.2)), prescale_components=False)
+    work, path = cartograms.Workflow(X.nation_map(spark, sf_dir)), files.scratch(spark)
+    work.morph(first)
+    work.save(path)
+    again = cartograms.Workflow.load(spark, path)
+    for w in (work, again):
+        w.morph(w.options[-1], n_iter=4)
+    held = work.table().select("region_id", F.col("geom").alias("a")).join(again.table().select("region_id", F.col("geom").alias("b")), "region_id")
+    return held.select("region_id", F.lit(len(again.results)).alias("runs"), (F.col("a") == F.col("b")).alias("same"), (F.abs(G.area(F.col("b")) - 1) > 1e-9).alias("moved"))
+
+
+@query(BOX + """, t AS (SELECT 'nations' AS name, CAST(region_id AS BIGINT) AS id, value FROM nm UNION ALL SELECT 'orders', o_orderkey, o_totalprice FROM orders) SELECT name, count(*) AS rows, round(sum(value), 2) + 0.0 AS total, 0.25::DOUBLE AS dt, 'square' AS symbol, 2 AS saves FROM t GROUP BY 1""")
+def saved_runs(spark, sf_dir):
+    """Two saves of two tables with options: the last one comes back whole, with its options."""
+    path = files.scratch(spark)
+    nations = X.nation_values(spark, sf_dir).select(F.col("region_id").cast("long").alias("id"), "value")
+    orders = X.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("value"))
+    manifest.save_run(path, {"nations": nations.limit(1)}, options=flow.Options())
+    manifest.save_run(path, {"nations": nations, "orders": orders}, options=flow.Options(dt=0.25), style={"symbol": "square"})
+    tables, told = manifest.load_run(spark, path)
+    out = None
+    for name, df in tables.items():
+        one = df.agg(F.count("*").alias("rows"), r(F.sum("value"), 2).alias("total")).select(F.lit(name).alias("name"), "rows", "total", F.lit(told["options"].dt).alias("dt"), F.lit(told["style"]["symbol"]).alias("symbol"), F.lit(len(manifest.numbers(spark, path))).alias("saves"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -25,7 +25,8 @@ from ..kernels import planar as P
 from ..kernels import repair as R
 from ..kernels import voronoi as V
 from ..kernels.raster import poisson_velocity
-from ..operators import adjacency, borders, measure, styling, tilings, topology
+from ..operators import adjacency, borders, history, measure, styling, tilings, topology
+from ..sources import manifest
 
 
 def with_map(regions: DataFrame) -> DataFrame:
@@ -77,6 +78,25 @@ class FlowResult:
         """(map_id, run_id, phase, seconds): where a run's time went."""
         return self.rows.where("kind = 'phase'").select("map_id", "run_id", F.col("status").alias("phase"), "seconds")
 
+    def at(self, *iterations: int) -> DataFrame:
+        """(map_id, run_id, iteration, recorded, region_id, geom): every run's regions as they last stood at these iterations."""
+        return history.as_of(self.snapshots, self._asked(iterations), ["map_id", "run_id"])
+
+    def points_at(self, *iterations: int) -> DataFrame:
+        return history.as_of(self.point_snapshots, self._asked(iterations), ["map_id", "run_id"])
+
+    def errors_at(self, *iterations: int) -> DataFrame:
+        """(map_id, run_id, iteration, recorded, status, errors): the last step at or before these iterations."""
+        return history.as_of(self.convergence, self._asked(iterations), ["map_id", "run_id"])
+
+    def _asked(self, iterations) -> DataFrame:
+        runs = self.convergence.select("map_id", "run_id").distinct()
+        return runs.withColumn("iteration", F.explode(F.array(*(F.lit(i).cast("int") for i in iterations))))
+
+    def series(self, *variables: str) -> DataFrame:
+        """(map_id, run_id, iteration, variable, value) of the errors, in long form."""
+        return history.series(self.convergence, ["map_id", "run_id", "iteration"], list(variables or ("mean_log_error", "max_log_error", "mean_error_pct", "max_error_pct")))
+
     def density(self, regions: DataFrame, value: str = "value") -> DataFrame:
         """(map_id, run_id, iteration, region_id, density) of the snapshots: value by area."""
         named = with_map(regions).select("map_id", F.col("region_id").cast("long").alias("region_id"), F.col(value).cast("double").alias("v"))
@@ -145,6 +165,24 @@ class Workflow:
         self.value, self.scale = value, scale
         self.original = with_map(regions).withColumn("region_id", F.col("region_id").cast("long"))
         self.results: list[FlowResult] = []
+        #: The options of each run.
+        self.options: list[L.Options] = []
+
+    def save(self, path: str) -> int:
+        """The original map, every run's rows and the runs' options, as one save of ``sources.manifest``."""
+        tables = {"original": self.original} | {f"run{k}": x.rows for k, x in enumerate(self.results)}
+        return manifest.save_run(path, tables, kind="workflow", value=self.value, scale=self.scale, runs=len(self.results), options=self.options)
+
+    @classmethod
+    def load(cls, spark, path: str, number: int | None = None) -> Workflow:
+        """A saved workflow, to be gone on with."""
+        tables, told = manifest.load_run(spark, path, number)
+        if told.get("kind") != "workflow":
+            raise ValueError("the save isn't a workflow's")
+        out = cls(tables["original"], told["value"], told["scale"])
+        out.results = [FlowResult(tables[f"run{k}"]) for k in range(told["runs"])]
+        out.options = told["options"]
+        return out
 
     def state(self) -> DataFrame:
         return measure.original_state(self.original, self.value, self.scale)
@@ -159,21 +197,24 @@ class Workflow:
 
     def morph(self, options: L.Options = L.Options(), **changes) -> FlowResult:
         self.results.append(flow(self._latest(), self.value, options.with_(**changes), run_id=len(self.results) + 1))
+        self.options.append(options.with_(**changes))
         return self.results[-1]
 
     def morph_multiresolution(self, min_resolution: int = 128, levels: int = 3, margin: float = 0.5, square: bool = True, options: L.Options = L.Options(), **changes) -> FlowResult:
         """Coarse to fine from the last geometry; the levels together are one step of the workflow."""
         held = self._latest()
         self.results.append(multiresolution(held, self.value, min_resolution, levels, margin, square, options.with_(**changes)))
+        self.options.append(options.with_(**changes))
         return self.results[-1]
 
     def pop(self, n: int = 1) -> None:
         if n > len(self.results):
             raise ValueError("the original state stays")
-        del self.results[len(self.results) - n :]
+        del self.results[len(self.results) - n :], self.options[len(self.options) - n :]
 
     def reset(self) -> None:
         self.results.clear()
+        self.options.clear()
 
     def convergence(self) -> DataFrame:
         if not self.results:
@@ -289,9 +330,21 @@ LAID = "kind string, map_id string, region_id long, x double, y double, size dou
 
 @dataclass
 class LayoutResult:
-    """Tables of a layout: places of the symbols, the run's numbers step by step, and how it ended."""
+    """Tables of a layout: places of the symbols, the run's numbers step by step, how it ended, and what it was made with."""
 
     rows: DataFrame
+    made: dict | None = None
+
+    def save(self, path: str) -> int:
+        """Rows and what the layout was made with, as one save of ``sources.manifest``."""
+        return manifest.save_run(path, {"rows": self.rows}, kind="layout", made=self.made)
+
+    @classmethod
+    def load(cls, spark, path: str, number: int | None = None) -> LayoutResult:
+        tables, told = manifest.load_run(spark, path, number)
+        if told.get("kind") != "layout":
+            raise ValueError("the save isn't a layout's")
+        return cls(tables["rows"], told["made"])
 
     @property
     def places(self) -> DataFrame:
@@ -334,7 +387,8 @@ def layout_result(regions: DataFrame, value: str | None = None, name: str = "phy
         out.append(base | {"kind": "end", "iteration": info["iterations"], "status": L.CONVERGED if info.get("converged", True) else L.COMPLETED})
         return pd.DataFrame(out)[names]
 
-    return LayoutResult(adjacency._kept(prepared.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, LAID)))
+    made = {"layout": name, "value": value, "mode": mode, "options": given, "sizes": sizes}
+    return LayoutResult(adjacency._kept(prepared.groupBy("map_id").cogroup(edges.groupBy("map_id")).applyInPandas(run, LAID)), made)
 
 
 def layout(regions: DataFrame, value: str | None = None, name: str = "physics", mode: str = "binary", edges: DataFrame | None = None, options: dict | None = None, **sizes) -> DataFrame:
@@ -362,10 +416,27 @@ class SymbolCartogram:
     symbols: DataFrame
     history: DataFrame | None = None
     status: DataFrame | None = None
+    #: What the symbols were styled with, and the rules for single ones.
+    style: dict | None = None
+    rules: DataFrame | None = None
+    made: dict | None = None
+
+    def save(self, path: str) -> int:
+        """Regions, places, the run's numbers and rules, with layout and style, as one save of ``sources.manifest``; symbols are made again."""
+        tables = {k: v for k, v in (("regions", self.regions), ("places", self.places), ("history", self.history), ("status", self.status), ("rules", self.rules)) if v is not None}
+        return manifest.save_run(path, tables, kind="symbols", style=self.style, made=self.made)
+
+    @classmethod
+    def load(cls, spark, path: str, number: int | None = None) -> SymbolCartogram:
+        tables, told = manifest.load_run(spark, path, number)
+        if told.get("kind") != "symbols":
+            raise ValueError("the save isn't a symbol cartogram's")
+        bare = cls(tables["regions"], tables["places"], tables["places"], tables.get("history"), tables.get("status"), made=told["made"])
+        return bare.restyle(tables.get("rules"), **told["style"])
 
     def restyle(self, rules: DataFrame | None = None, symbol: str = "circle", fit_mode: str = "inside", canonical: str = "circle", **style) -> SymbolCartogram:
         shown = styling.symbols(styling.overrides(self.places.drop("scale"), rules, symbol, **style), canonical, fit_mode)
-        return replace(self, symbols=shown)
+        return replace(self, symbols=shown, style={"symbol": symbol, "fit_mode": fit_mode, "canonical": canonical} | style, rules=rules)
 
     def table(self) -> DataFrame:
         """The source's columns beside each symbol."""
@@ -386,7 +457,7 @@ def symbol_cartogram(regions: DataFrame, value: str | None = None, preset: str |
     else:
         laid = layout_result(regions, value, chosen["layout"], options=chosen.get("options"))
         found, history, status = laid.places, laid.history, laid.status
-    return SymbolCartogram(regions, found, found, history, status).restyle(rules, chosen["symbol"])
+    return SymbolCartogram(regions, found, found, history, status, made=chosen | {"value": value}).restyle(rules, chosen["symbol"])
 
 
 def modulate(cells: DataFrame, grid, step) -> DataFrame:

@@ -11,7 +11,7 @@ from .kernels import flow, raster
 from .operators import adjacency, auction, borders, fields, grids, history, rasters, walks
 from .plans import cartograms
 from .queries import BOX, SERIES, L, _series, query, r
-from .sources import files, manifest
+from .sources import census, files, manifest
 
 GRID20 = """gc AS (SELECT CAST(range // 20 AS INT) AS iy, CAST(range % 20 AS INT) AS ix, -1.25 + (range % 20 + 0.5) * 0.375::DOUBLE AS cx, -1.25 + (range // 20 + 0.5) * 0.375::DOUBLE AS cy FROM range(0, 400))"""
 #: Regions that hold a centre by the parity of borders to its right.
@@ -305,3 +305,50 @@ def saved_runs(spark, sf_dir):
         one = df.agg(F.count("*").alias("rows"), r(F.sum("value"), 2).alias("total")).select(F.lit(name).alias("name"), "rows", "total", F.lit(told["options"].dt).alias("dt"), F.lit(told["style"]["symbol"]).alias("symbol"), F.lit(len(manifest.numbers(spark, path))).alias("saves"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+#: The equal-area projection of longitudes and latitudes, and areas of belts, by the ellipsoid's own formulas.
+ALBERS = """e AS (SELECT sqrt((2 - 1 / 298.257222101::DOUBLE) / 298.257222101::DOUBLE) AS e), p AS (SELECT *, e * e AS e2 FROM e),
+  st2 AS (SELECT k, lat, cos(radians(lat)) / sqrt(1 - e2 * sin(radians(lat)) ** 2) AS m, (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) ** 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) AS q
+    FROM p, (VALUES (0, 40.0::DOUBLE), (1, 20.0), (2, 60.0)) t(k, lat)),
+  cn AS (SELECT (a.m ** 2 - b.m ** 2) / (b.q - a.q) AS n, a.m ** 2 AS mm, a.q AS qa, o.q AS qo FROM st2 a, st2 b, st2 o WHERE a.k = 1 AND b.k = 2 AND o.k = 0), cc AS (SELECT *, mm + n * qa AS c FROM cn)"""
+
+
+def _in_degrees(spark, sf_dir, steps: int = 1) -> DataFrame:
+    """Nations as boxes of three by two degrees, with points along their sides."""
+    n = F.col("region_id")
+    x0, y0 = -110.0 + 3 * (n % 5), 30.0 + 2 * F.floor(n / 5)
+    along = [k / steps for k in range(steps)]
+    pts = [*((t, 0.0) for t in along), *((1.0, t) for t in along), *((1 - t, 1.0) for t in along), *((0.0, 1 - t) for t in along), (0.0, 0.0)]
+    # A list of places put at each nation, not a literal for every point of every one.
+    places = F.transform(F.array(*(G.point(a, b) for a, b in pts)), lambda p: G.point_of(x0 + 3 * p["x"], y0 + 2 * p["y"]))
+    return X.nation_values(spark, sf_dir).withColumn("geom", G.geom("Polygon", G.ring(places)))
+
+
+@query(f"""WITH {X.NATION}, {ALBERS}, g AS (SELECT region_id, -110.0 + 3 * x0 AS lon, 30.0 + 2 * y0 AS lat FROM nm),
+  h AS (SELECT *, (1 - e2) * (sin(radians(lat)) / (1 - e2 * sin(radians(lat)) ** 2) - ln((1 - e * sin(radians(lat))) / (1 + e * sin(radians(lat)))) / (2 * e)) AS q,
+    (1 - e2) * (sin(radians(lat + 2)) / (1 - e2 * sin(radians(lat + 2)) ** 2) - ln((1 - e * sin(radians(lat + 2))) / (1 + e * sin(radians(lat + 2)))) / (2 * e)) AS q2 FROM g, p),
+  k AS (SELECT *, 6378137 * sqrt(c - n * q) / n AS rho, 6378137 * sqrt(c - n * qo) / n AS rho0, n * radians(lon + 96) AS t FROM h, cc)
+  SELECT region_id, round(rho * sin(t), 0) + 0.0 AS x, round(rho0 - rho * cos(t), 0) + 0.0 AS y, round(6378137.0 ** 2 * radians(3) * (q2 - q) / 2 / 1e10, 2) + 0.0 AS area FROM k""")
+def census_projection(spark, sf_dir):
+    """Boxes of longitude and latitude: where their corners come to lie, and that they keep the areas that they have on the ellipsoid."""
+    held = census.projected(_in_degrees(spark, sf_dir, 24))
+    first = F.col("geom.rings")[0]["pts"][0]
+    return held.select("region_id", r(first["x"], 0).alias("x"), r(first["y"], 0).alias("y"), r(G.area(F.col("geom")) / 1e10, 2).alias("area"))
+
+
+CODES = [x[0] for x in census.states() if x[0] not in ("02", "15", "72")]
+
+
+@query(f"""WITH {X.NATION}, {ALBERS}, sc(k, code, letters, name, region, division) AS (VALUES {", ".join(f"({k}, '{x[0]}', '{x[1]}', '{x[2]}', '{x[3]}', '{x[4]}')" for k, x in enumerate(y for y in census.states() if y[0] in CODES))}),
+  pp AS (SELECT c_nationkey AS region_id, count(*) AS people, count(*) FILTER (c_acctbal < 0) AS poor FROM customer GROUP BY 1),
+  h AS (SELECT nm.region_id, (1 - e2) * (sin(radians(32 + 2 * y0)) / (1 - e2 * sin(radians(32 + 2 * y0)) ** 2) - ln((1 - e * sin(radians(32 + 2 * y0))) / (1 + e * sin(radians(32 + 2 * y0)))) / (2 * e)) - (1 - e2) * (sin(radians(30 + 2 * y0)) / (1 - e2 * sin(radians(30 + 2 * y0)) ** 2) - ln((1 - e * sin(radians(30 + 2 * y0))) / (1 + e * sin(radians(30 + 2 * y0)))) / (2 * e)) AS belt FROM nm, p)
+  SELECT nm.region_id, letters AS state_abbreviation, sc.name AS state_name, region, division, round(people / 1e6, 6) + 0.0 AS millions, round(1e4 * people / (6378137.0 ** 2 * radians(3) * belt / 2 / 1e6), 2) + 0.0 AS per_ten_thousand, round(poor / people, 4) + 0.0 AS below
+  FROM nm JOIN sc ON sc.k = nm.region_id JOIN pp ON pp.region_id = nm.region_id JOIN h ON h.region_id = nm.region_id WHERE nm.region_id % 7 <> 6""")
+def census_of_customers(spark, sf_dir):
+    """Nations as states, customers as people: lookups by code, shares, and density by projected area; every seventh row is Alaska's and goes."""
+    people = X.table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("region_id")).agg(F.count("*").alias("Population"), F.count_if(F.col("c_acctbal") < 0).alias("Below Poverty Level"), F.count_if(F.col("c_acctbal") >= 0).alias("Above Poverty Level"))
+    code = F.when(F.col("region_id") % 7 == 6, F.lit("02")).otherwise(F.array(*map(F.lit, CODES))[F.col("region_id")])
+    raw = _in_degrees(spark, sf_dir, 48).join(people, "region_id").withColumns({"STATE": code, "Total Poverty": F.col("Population")})
+    held = census.census_map(raw, poverty=True)
+    return held.select("region_id", F.col("State Abbreviation").alias("state_abbreviation"), F.col("State Name").alias("state_name"), F.col("Region").alias("region"), F.col("Division").alias("division"), r("Population (Millions)", 6).alias("millions"), r(1e4 * F.col("Population Density"), 2).alias("per_ten_thousand"), r(F.col("Below Poverty Level %")).alias("below"))

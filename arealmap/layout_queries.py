@@ -38,12 +38,14 @@ def grid_spacings(spark, sf_dir):
     return found.select("made_from", *(r(c).alias(c) for c in ("xmin", "ymin", "xmax", "ymax")), "sx", "sy", r("dx").alias("dx"), r("dy").alias("dy"))
 
 
-@query("""SELECT shape, symbol, adapted_to, round(2 * k * 0.95, 4) + 0.0 AS size FROM (VALUES ('square', 'circle', '', 0.5), ('square', 'square', '', 0.5), ('square', 'hexagon', '', 0.5),
+@query(BOX + """, z AS (SELECT region_id, 2 * sqrt(value) / max(sqrt(value)) OVER () AS cell FROM nm) SELECT region_id, shape, symbol, adapted_to, round(cell * k * 0.95, 4) + 0.0 AS size FROM z, (VALUES ('square', 'circle', '', 0.5), ('square', 'square', '', 0.5), ('square', 'hexagon', '', 0.5),
   ('square', 'hexagon', 'hexagon', 1 / sqrt(3.0)), ('hexagon', 'circle', '', sqrt(3.0) / 2), ('hexagon', 'square', '', 0.75), ('hexagon', 'square', 'square', 1.0), ('hexagon', 'hexagon', '', 1.0)) t(shape, symbol, adapted_to, k)""")
 def grid_symbol_sizes(spark, sf_dir):
+    """Symbols that fit cells as large as each nation's orders."""
     cases = [("square", "circle", ""), ("square", "square", ""), ("square", "hexagon", ""), ("square", "hexagon", "hexagon"), ("hexagon", "circle", ""), ("hexagon", "square", ""), ("hexagon", "square", "square"), ("hexagon", "hexagon", "")]
-    rows = [(a, b, c, grids.symbol_size(a, 2.0, b, adapted_to=c or None)) for a, b, c in cases]
-    return rounded(spark.createDataFrame(rows, "shape string, symbol string, adapted_to string, size double"), ["shape", "symbol", "adapted_to"], "size")
+    told = F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("shape", "symbol", "adapted_to", "k"), (a, b, c, grids.symbol_size(a, 1.0, b, adapted_to=c or None)), strict=True))) for a, b, c in cases))
+    cells = measure.symbol_sizes(X.nation_map(spark, sf_dir), "value", scale="sqrt", largest=2.0).select("region_id", "size", F.inline(told))
+    return cells.select("region_id", "shape", "symbol", "adapted_to", r(F.col("size") * F.col("k")).alias("size"))
 
 
 @query("""SELECT round(-0.5 + c.range * 0.6, 4) + 0.0 AS x, round(-0.5 + r.range * 1.2 / sqrt(3.0), 4) + 0.0 AS y, round(0.72 / sqrt(3.0), 4) + 0.0 AS area FROM range(0, 10) r, range(0, 11) c""")
@@ -361,11 +363,14 @@ def symbol_shapes(spark, sf_dir):
     return _union(parts)
 
 
-@query("""SELECT canonical, styled, mode, round(v, 4) + 0.0 AS scale FROM (VALUES ('circle', 'square', 'inside', sqrt(0.5)), ('square', 'circle', 'inside', 1.0), ('square', 'diamond', 'inside', 1.0), ('square', 'diamond', 'fill', sqrt(2.0)),
+@query(SIZES + """ SELECT region_id, canonical, styled, mode, round(v * size, 4) + 0.0 AS size FROM z, (VALUES ('circle', 'square', 'inside', sqrt(0.5)), ('square', 'circle', 'inside', 1.0), ('square', 'diamond', 'inside', 1.0), ('square', 'diamond', 'fill', sqrt(2.0)),
   ('circle', 'square', 'area', sqrt(pi() / 4)), ('square', 'diamond', 'area', sqrt(2.0)), ('hexagon', 'hexagon', 'inside', 1.0), ('hexagon', 'hexagon_flat', 'inside', sqrt(3.0) / 2), ('hexagon', 'hexagon_flat', 'fill', 1.0)) t(canonical, styled, mode, v)""")
 def symbol_fits(spark, sf_dir):
+    """Each nation's symbol fitted into others' shapes."""
     cases = [("circle", "square", "inside"), ("square", "circle", "inside"), ("square", "diamond", "inside"), ("square", "diamond", "fill"), ("circle", "square", "area"), ("square", "diamond", "area"), ("hexagon", "hexagon", "inside"), ("hexagon", "hexagon_flat", "inside"), ("hexagon", "hexagon_flat", "fill")]
-    return rounded(spark.createDataFrame([(*c, styling.fit_scale(*c)) for c in cases], "canonical string, styled string, mode string, scale double"), ["canonical", "styled", "mode"], "scale")
+    told = F.array(*(F.struct(F.lit(a).alias("canonical"), F.lit(b).alias("styled"), F.lit(m).alias("mode"), F.lit(float(styling.fit_scale(a, b, m))).alias("scale")) for a, b, m in cases))
+    places = measure.symbol_sizes(X.nation_map(spark, sf_dir), "value", scale="sqrt", largest=0.5641895835477563).select("region_id", "size", F.inline(told))
+    return places.select("region_id", "canonical", "styled", "mode", r(F.col("size") * F.col("scale")).alias("size"))
 
 
 @query("SELECT symbol, round(a, 4) + 0.0 AS area, round(b, 4) + 0.0 AS bounding_radius FROM (VALUES ('rectangle', 2 * 0.25 / 1.25, 0.5), ('turned_square', 1.0, sqrt(0.5)), ('mirrored_star', 0.5 * sin(radians(36)), 0.5), ('ih41', 1.0 / 4 / (0.65 ** 2 + 0.25), 0.5)) t(symbol, a, b)")
@@ -441,12 +446,13 @@ def rotated_tiles(spark, sf_dir):
 @query("SELECT spec, 0.09::DOUBLE AS area, tall FROM (VALUES ('rectangle', 1.0::DOUBLE), ('rectangle_2', 2.0), ('bricks', 1.0), ('ih41', 1.0)) t(spec, tall)")
 def named_tilings(spark, sf_dir):
     """Tilings by name, among them presets and types, and rectangles by height over width."""
+    bounds = X.nation_bounds(spark, sf_dir)
     held = {"rectangle": tilings.quadrilateral("rectangle"), "rectangle_2": tilings.quadrilateral("rectangle", ratio=2.0), "bricks": tilings.resolve("bricks"), "ih41": tilings.resolve("ih41")}
     parts = []
     for name, tiling in held.items():
         b = G.bounds(F.col("geom"))
         tall = (b["ymax"] - b["ymin"]) / (b["xmax"] - b["xmin"]) if name.startswith("rect") else F.lit(1.0)
-        parts.append(tiling.tiles(spark, tile_size=0.3).agg(r(F.avg(G.area(F.col("geom")))).alias("area"), r(F.avg(tall)).alias("tall")).select(F.lit(name).alias("spec"), "area", "tall"))
+        parts.append(tiling.tiles(spark, bounds, tile_size=0.3).agg(r(F.avg(G.area(F.col("geom")))).alias("area"), r(F.avg(tall)).alias("tall")).select(F.lit(name).alias("spec"), "area", "tall"))
     return _union(parts)
 
 

@@ -221,7 +221,7 @@ def square_tiling_edges(spark, sf_dir):
 @query("""SELECT CAST(6 AS BIGINT) AS most, 0.0::DOUBLE AS area_off""")
 def hexagon_tiling_edges(spark, sf_dir):
     """Inner hexagons have six neighbours, and all have one area."""
-    held = tilings.HEXAGON.tiles(spark, n_tiles=64)
+    held = tilings.HEXAGON.tiles(spark, X.nation_bounds(spark, sf_dir), n_tiles=64)
     most = tilings.HEXAGON.lattice_edges(held).groupBy("src").count().agg(F.max("count").alias("most"))
     return most.join(held.agg(r(F.max(G.area(F.col("geom"))) - F.min(G.area(F.col("geom")))).alias("area_off")))
 
@@ -229,19 +229,19 @@ def hexagon_tiling_edges(spark, sf_dir):
 def _lattice_sql(s: str, two: str, v1: tuple[str, str], v2: tuple[str, str], off: tuple[str, str]) -> str:
     return f"""WITH k AS (SELECT i.range AS i, j.range AS j, a.range AS a FROM range(-30, 31) i, range(-30, 31) j, range(0, 2) a),
   c AS (SELECT a, i * ({v1[0]}) + j * ({v2[0]}) + a * ({off[0]}) AS x, i * ({v1[1]}) + j * ({v2[1]}) + a * ({off[1]}) AS y FROM k)
-  SELECT CAST(a AS INT) AS aspect, round(x, 4) + 0.0 AS cx, round(y, 4) + 0.0 AS cy FROM c WHERE x BETWEEN -1.2 - {s} AND 1.2 + {s} AND y BETWEEN -1.2 - {s} AND 1.2 + {s}"""
+  SELECT CAST(a AS INT) AS aspect, round(x, 4) + 0.0 AS cx, round(y, 4) + 0.0 AS cy FROM c WHERE x BETWEEN -0.5 - {s} AND 5.5 + {s} AND y BETWEEN -0.5 - {s} AND 5.5 + {s}"""
 
 
 @query(_lattice_sql("0.3", "", ("0.0", "-0.3 * sqrt(2.0)"), ("0.3 * sqrt(2.0)", "0.0"), ("0.1 * sqrt(2.0)", "0.1 * sqrt(2.0)")))
 def triangle_tiling_centers(spark, sf_dir):
     """Right isosceles triangles: pairs of them make a square lattice."""
-    return rounded(tilings.triangle("right_isosceles").tiles(spark, tile_size=0.3), ["aspect"], "cx", "cy")
+    return rounded(tilings.triangle("right_isosceles").tiles(spark, X.nation_bounds(spark, sf_dir), tile_size=0.3), ["aspect"], "cx", "cy")
 
 
 @query("""SELECT 1.0::DOUBLE AS unit_area, 12.0::DOUBLE AS most_touching, 3.0::DOUBLE AS most_edges""")
 def triangle_tiling_adjacency(spark, sf_dir):
     """Equilateral triangles have three neighbours across edges and touch twelve."""
-    held = tilings.triangle().tiles(spark, tile_size=0.3)
+    held = tilings.triangle().tiles(spark, X.nation_bounds(spark, sf_dir), tile_size=0.3)
     edges = tilings.vertex_edges(held, 0.003)
     both = edges.select("src", "shared").unionByName(edges.select(F.col("dst").alias("src"), "shared"))
     by = both.groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("shared") >= 2).alias("e"))
@@ -251,7 +251,7 @@ def triangle_tiling_adjacency(spark, sf_dir):
 
 @query("""SELECT 1.0::DOUBLE AS unit_area, 4.0::DOUBLE AS most_edges""")
 def quadrilateral_tiling_adjacency(spark, sf_dir):
-    held = tilings.quadrilateral("trapezoid", top_ratio=0.6).tiles(spark, tile_size=0.3)
+    held = tilings.quadrilateral("trapezoid", top_ratio=0.6).tiles(spark, X.nation_bounds(spark, sf_dir), tile_size=0.3)
     edges = tilings.adjacency(held, "edge", 0.003)
     both = edges.select("src").unionByName(edges.select(F.col("dst").alias("src")))
     most = both.groupBy("src").count().agg(F.max("count").cast("double").alias("most_edges"))
@@ -753,9 +753,9 @@ def shape_interpolation(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('ih1', 1.0::DOUBLE, 6), ('ih4', 1.0, 6), ('ih41', 1.0, 4), ('ih46', 1.0, 4), ('ih47', 1.0, 4), ('ih84', 1.0, 3)) t(type, unit_area, neighbours)")
 def isohedral_tilings(spark, sf_dir):
     """Tiles of every type have one area, and inner ones as many neighbours as edges."""
-    out = None
+    out, bounds = None, X.nation_bounds(spark, sf_dir)
     for name, (kinds, _) in isohedral.TYPES.items():
-        tiles = isohedral.Isohedral(name).tiles(spark, tile_size=0.3)
+        tiles = isohedral.Isohedral(name).tiles(spark, bounds, tile_size=0.3)
         edges = tilings.vertex_edges(tiles, 1e-6).where("shared >= 2")
         most = edges.select("src").unionByName(edges.select(F.col("dst").alias("src"))).groupBy("src").count().agg(F.max("count").cast("int").alias("neighbours"))
         one = tiles.agg(r(F.avg(G.area(F.col("geom"))) / 0.09).alias("unit_area")).join(most).select(F.lit(name).alias("type"), "unit_area", "neighbours")

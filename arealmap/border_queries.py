@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as X
 from .functions import geometry as G
-from .kernels import flow, raster
-from .operators import adjacency, auction, borders, fields, grids, history, rasters, walks
+from .kernels import flow, raster, voronoi
+from .operators import adjacency, auction, borders, fields, grids, history, measure, rasters, vertices, walks
 from .plans import cartograms
 from .queries import BOX, SERIES, L, _series, query, r
 from .sources import census, files, manifest
@@ -352,3 +352,72 @@ def census_of_customers(spark, sf_dir):
     raw = _in_degrees(spark, sf_dir, 48).join(people, "region_id").withColumns({"STATE": code, "Total Poverty": F.col("Population")})
     held = census.census_map(raw, poverty=True)
     return held.select("region_id", F.col("State Abbreviation").alias("state_abbreviation"), F.col("State Name").alias("state_name"), F.col("Region").alias("region"), F.col("Division").alias("division"), r("Population (Millions)", 6).alias("millions"), r(1e4 * F.col("Population Density"), 2).alias("per_ten_thousand"), r(F.col("Below Poverty Level %")).alias("below"))
+
+
+# What a moving flow tells, held against what its shapes say.
+
+MOVING = flow.Options(grid_size=64, n_iter=12, mean_tol=1e-9, max_tol=1e-9, stall_patience=None, snapshot_every=4, save_internals=True)
+
+
+@query(BOX + """, s AS (SELECT i.range AS seq FROM range(0, 5) i) SELECT CAST(region_id AS BIGINT) AS region_id, CAST(seq AS INT) AS seq, TRUE AS on_border, CAST(x0 + CASE WHEN seq IN (1, 2) THEN 1 ELSE 0 END AS DOUBLE) AS x, CAST(y0 + CASE WHEN seq IN (2, 3) THEN 1 ELSE 0 END AS DOUBLE) AS y, TRUE AS moved FROM nm, s""")
+def flow_points_on_borders(spark, sf_dir):
+    """Points put on the corners of regions end where the corners end, and most corners move."""
+    regions = X.nation_map(spark, sf_dir)
+    corners = vertices.explode_vertices(regions.select("region_id", "geom"))
+    points = corners.select((F.col("region_id") * 10 + F.col("seq")).cast("long").alias("point_id"), "x", "y")
+    found = cartograms.flow(regions, options=MOVING, points=points)
+    ended = vertices.explode_vertices(found.regions.select("region_id", "geom")).select((F.col("region_id") * 10 + F.col("seq")).alias("point_id"), F.col("x").alias("ex"), F.col("y").alias("ey"))
+    held = found.points.join(ended, "point_id").join(points.select("point_id", F.col("x").alias("bx"), F.col("y").alias("by")), "point_id")
+    near = (F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey")) < 1e-9).alias("on_border")
+    most = held.agg((F.count_if(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by")) > 1e-3) > 100).alias("moved"))
+    return held.select(F.expr("point_id div 10").alias("region_id"), F.expr("int(point_id % 10)").alias("seq"), near, F.col("bx").alias("x"), F.col("by").alias("y")).join(most)
+
+
+@query("SELECT iteration, TRUE AS same, CAST(25 AS BIGINT) AS regions, TRUE AS fell FROM (VALUES (1), (5), (9), (12)) t(iteration)")
+def flow_errors_of_snapshots(spark, sf_dir):
+    """Errors that a run tells for an iteration are those of its shapes then, and they fall from one snapshot to the next."""
+    regions = X.nation_map(spark, sf_dir)
+    found = cartograms.flow(regions, options=MOVING)
+    wanted = measure.original_state(regions).select(F.col("region_id").cast("long").alias("region_id"), "target_area")
+    error = F.abs(F.log2(G.area(F.col("geom")) / F.col("target_area")))
+    own = found.snapshots.join(wanted, "region_id").groupBy("iteration").agg(F.avg(error).alias("mean"), F.max(error).alias("max"), F.count("*").alias("regions"))
+    told = found.errors_at(1, 5, 9, 12).join(own, "iteration")
+    before = F.lag("mean").over(Window.partitionBy("map_id").orderBy("iteration"))  # four snapshots
+    same = (F.abs(F.col("mean") - F.col("mean_log_error")) < 1e-6) & (F.abs(F.col("max") - F.col("max_log_error")) < 1e-6)
+    return told.select("iteration", same.alias("same"), "regions", (before.isNull() | (F.col("mean") < before)).alias("fell"))
+
+
+@query(BOX + """, gc AS (SELECT CAST(range // 64 AS INT) AS iy, CAST(range % 64 AS INT) AS ix, -2.5 + (range % 64 + 0.5) * 10 / 64 AS x, -2.5 + (range // 64 + 0.5) * 10 / 64 AS y FROM range(0, 4096))
+  SELECT iy, ix, round(coalesce(value, (SELECT sum(value) / 25 FROM nm)) / 1e6, 4) + 0.0 AS rho, coalesce(region_id, -1) AS geom_idx FROM gc LEFT JOIN nm ON x > x0 AND x < x0 + 1 AND y > y0 AND y < y0 + 1""")
+def flow_fields_of_orders(spark, sf_dir):
+    """The density field that a flow starts from is that of the nations' orders, cell by cell."""
+    held = cartograms.flow(X.nation_map(spark, sf_dir), options=MOVING).fields.where("iteration = 1")
+    return held.select("iy", "ix", r(F.col("rho") / 1e6).alias("rho"), "geom_idx")
+
+
+@query(BOX + " SELECT CAST(region_id AS BIGINT) AS region_id, 3 AS ran, 1 AS kept, TRUE AS first_again, TRUE AS moved, 1.0::DOUBLE AS area_after_reset FROM nm")
+def workflow_popped(spark, sf_dir):
+    """Three runs, two taken back: the shapes are those of the first; then all are, and the map is as it was."""
+    work = cartograms.Workflow(X.nation_map(spark, sf_dir))
+    for _ in range(3):
+        work.morph(MOVING, n_iter=3, save_internals=False)
+    ran, first = len(work.results), work.results[0].regions.select("region_id", F.col("geom").alias("then"))
+    work.pop(2)
+    held = work.table().select("region_id", "geom").join(first, "region_id").select("region_id", F.lit(ran).alias("ran"), F.lit(len(work.results)).alias("kept"), (F.col("geom") == F.col("then")).alias("first_again"), (F.abs(G.area(F.col("geom")) - 1) > 1e-6).alias("moved"))
+    work.reset()
+    return held.join(work.table().select("region_id", r("area").alias("area_after_reset")), "region_id")
+
+
+@query("SELECT CAST(25 AS BIGINT) AS cells, 55.9::DOUBLE AS area, TRUE AS evener, TRUE AS centred")
+def voronoi_exact_of_an_uneven_map(spark, sf_dir):
+    """Exact Lloyd steps on columns of uneven width: cells tile the map, come out evener, and seeds end in their cells' centres, which none did."""
+    n = F.col("region_id")
+    wide = lambda k: F.pow(k.cast("double"), F.lit(1.5))
+    y = F.floor(n / 5).cast("double")
+    uneven = X.nation_map(spark, sf_dir).withColumn("geom", G.box(wide(n % 5), y, wide(n % 5 + 1), y + 1))
+    found = cartograms.voronoi_result(uneven, voronoi.Options(n_iter=150, exact=True))
+    cv = lambda df, c: df.agg((F.stddev_pop(c) / F.avg(c)).alias("cv"))
+    after = found.cells.withColumn("area", G.area(F.col("geom"))).withColumn("c", G.centroid(F.col("geom")))
+    before = cv(uneven.withColumn("area", G.area(F.col("geom"))), "area").select(F.col("cv").alias("was"))
+    far = after.agg(F.count("*").alias("cells"), r(F.sum("area"), 1).alias("area"), (F.max(F.hypot(F.col("c.x") - F.col("x"), F.col("c.y") - F.col("y"))) < 0.05).alias("centred"))
+    return far.join(cv(after, "area")).join(before).select("cells", "area", (F.col("cv") < 0.9 * F.col("was")).alias("evener"), "centred")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import few_at_a_time, worker_cache
 
 #: Words that a worker remembers; memory only, results don't depend on it.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 #: Rows of one output batch.
 ROWS = 256
 #: The word pattern of the tokenizer file; white space as its library has it.
@@ -89,7 +89,7 @@ class Tokenizer:
             self.automaton.add_word(k, (len(k), i))
             self.shorter[i] = next((spelt[k[:n]] for n in range(len(k) - 1, 0, -1) if k[:n] in spelt), -1)
         self.automaton.make_automaton()
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.words = _Words(self.encode_word)
         # The pattern over lower-cased text; texts of ASCII alone have a plainer form of it.
         self.find = regex.compile(WORD.replace(r"\s", SPACES)).findall
@@ -116,7 +116,7 @@ class Tokenizer:
         Walk the border back through the merges that made the two tokens, latest merge
         first; a merge across the border that ranks before the merge just undone would have won.
         """
-        key = (left, right)
+        key = left << 32 | right
         if (known := self.fits.get(key)) is not None:
             return known
         bound, good = len(self.sizes), True
@@ -136,7 +136,7 @@ class Tokenizer:
                     break
             else:
                 break
-        if len(self.fits) > 4 * CACHE_WORDS:
+        if len(self.fits) >= CACHE_WORDS:
             self.fits.clear()
         self.fits[key] = good
         return good

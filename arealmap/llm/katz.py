@@ -9,8 +9,8 @@ of P.  Unknown histories fall back with weight one.
 
 How it is stored and evaluated.  A task tokenises a chunk of documents and
 sends to each partition of the bigram table one compressed block: the distinct
-bigrams of that partition in the chunk, and the documents of the chunk in
-which they stand.  The table is partitioned by the bigram's second word, so a
+bigrams of that partition in the chunk, and the numbers of the documents in
+which they stand; ids travel once for each chunk.  The table is partitioned by the bigram's second word, so a
 partition holds all of that word's counts.  It adds up its blocks, answers
 every token for which the bigram was seen, and leaves three kinds of blocks:
 sums per document, summaries per history (for alpha), and the tokens that must
@@ -55,7 +55,7 @@ K, BIG = 5, 0.5
 #: Frequent words at most, and the share of the documents they are found in.
 HOT_WORDS, HOT_SAMPLE = 1024, 16
 #: Bytes of text in a chunk and, about, tokens in a partition of the table.
-CHUNK_BYTES, PARTITION_TOKENS = 16 << 20, 4_000_000
+CHUNK_BYTES, PARTITION_TOKENS = 8 << 20, 3_000_000
 #: Bytes of text a token takes, for the number of partitions only.
 TOKEN_BYTES = 6
 #: Add-constant of the baseline.
@@ -183,7 +183,10 @@ def _count_words(listed: np.ndarray | None):
 
 
 def _send(parts: int, hot: np.ndarray):
-    """Chunks of documents to blocks (part, chunk, docs, body)."""
+    """Chunks of documents to blocks (part, chunk, docs, body): one of the chunk's ids, without a body, and one for each partition that it has tokens for."""
+
+    def block(part: int, key: int, docs: bytes, body: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([key], pa.int64()), pa.array([docs], pa.binary()), pa.array([body], pa.binary())], ["part", "chunk", "docs", "body"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,7 +202,10 @@ def _send(parts: int, hot: np.ndarray):
             fresh = np.concatenate([[True], (second[1:] != second[:-1]) | (first[1:] != first[:-1]) | (part[1:] != part[:-1])])
             names = np.array([0 if x[0] is None else x[0] for x in held], np.int64)
             flags = np.array([x[1] + 2 * (x[0] is None) for x in held], np.uint8)
-            docs = _pack(np.diff(names, prepend=0), flags)
+            key = task << 32 | number
+            # The documents' ids go once for each chunk, past the table; a block has the numbers of those in it.
+            yield block((task + number) % parts, key, _pack(np.diff(names, prepend=0), flags), b"")
+            train = flags & 1
             edges = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
             for p, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
                 if lo == hi:
@@ -207,8 +213,8 @@ def _send(parts: int, hot: np.ndarray):
                 begins = np.flatnonzero(fresh[lo:hi])
                 w2, w1 = second[lo:hi][begins], first[lo:hi][begins]
                 heads = np.flatnonzero(np.concatenate([[True], w2[1:] != w2[:-1]]))
-                body = _pack(w2[heads], _narrow(np.diff(np.append(heads, len(w2)))), w1, _narrow(np.diff(np.append(begins, hi - lo))), _narrow(doc[lo:hi]))
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([task << 32 | number], pa.int64()), pa.array([docs], pa.binary()), pa.array([body], pa.binary())], ["part", "chunk", "docs", "body"])
+                present, where = np.unique(doc[lo:hi], return_inverse=True)
+                yield block(p, key, b"", _pack(w2[heads], _narrow(np.diff(np.append(heads, len(w2)))), w1, _narrow(np.diff(np.append(begins, hi - lo))), _narrow(np.diff(present, prepend=0)), train[present], _narrow(where)))
 
     return run
 
@@ -226,10 +232,10 @@ def _row(kind: str, key: int, docs: bytes = b"", body: bytes = b"", numbers: lis
     return {"kind": kind, "key": key, "docs": docs, "body": body, "numbers": numbers or []}
 
 
-def _doc_sums(key: int, docs: bytes, sums: np.ndarray) -> dict:
-    """One block of the sums (documents of a chunk by SUMS), without documents that have none."""
+def _doc_sums(key: int, present: np.ndarray, sums: np.ndarray) -> dict:
+    """One block of the sums (some documents of a chunk by SUMS), without documents that have none."""
     there = np.flatnonzero(sums.any(axis=1))
-    return _row("sum", key, docs, _pack(_narrow(there), *(sums[there, i] if i < 2 else _narrow(sums[there, i].astype(np.int64)) for i in range(SUMS))))
+    return _row("sum", key, body=_pack(_narrow(present[there]), *(sums[there, i] if i < 2 else _narrow(sums[there, i].astype(np.int64)) for i in range(SUMS))))
 
 
 def _by_class(counts: np.ndarray) -> np.ndarray:
@@ -242,15 +248,19 @@ def _reduce(parts: int, hot: np.ndarray, hot_counts: np.ndarray, train_docs: int
     def run(rows: pa.Table) -> pa.Table:
         out, w1s, w2s, sizes, doc, flags, places, offset = [], [], [], [], [], [], [], 0
         for chunk, docs, body in zip(rows.column("chunk").to_pylist(), rows.column("docs").to_pylist(), rows.column("body").to_pylist(), strict=True):
-            heads, runs, w1, counts, where = _unpack(body)
-            told = _unpack(docs)[1]
+            if not body:
+                out.append(_row("sum", chunk, docs))
+                continue
+            heads, runs, w1, counts, present, told, where = _unpack(body)
             w2s.append(np.repeat(heads, runs))
             w1s.append(w1)
             sizes.append(counts.astype(np.int64))
             doc.append(where.astype(np.int64) + offset)
-            flags.append(told & 1)
-            places.append((chunk, docs, offset, offset + len(told)))
+            flags.append(told)
+            places.append((chunk, np.cumsum(present.astype(np.int64)), offset, offset + len(told)))
             offset += len(told)
+        if not places:
+            return pa.Table.from_pylist(out, _BLOCKS)
         w1, w2, sizes, doc, train = map(np.concatenate, (w1s, w2s, sizes, doc, flags))
         del w1s, w2s, flags
         order = np.lexsort((w1, w2))
@@ -286,18 +296,20 @@ def _reduce(parts: int, hot: np.ndarray, hot_counts: np.ndarray, train_docs: int
         unseen, kind = np.flatnonzero(~seen), _by_class(c1)
         if len(unseen):
             sums[:, 4 + K :] = np.bincount(doc[unseen] * (K + 2) + kind[unseen], minlength=n_docs * (K + 2)).reshape(n_docs, K + 2)
-        out += [_doc_sums(chunk, docs, sums[lo:hi]) for chunk, docs, lo, hi in places]
+        out += [_doc_sums(chunk, present, sums[lo:hi]) for chunk, present, lo, hi in places]
         del sums, logs, c, c1, seen, end
         # Tokens that back off, to their history; those of frequent histories by chunk.
         if len(unseen):
             history, at = w1[pair[unseen]], doc[unseen]
-            common = _in(history, hot) >= 0
-            for chunk, docs, lo, hi in places:
-                mine = (at >= lo) & (at < hi)
-                to = np.where(common[mine], np.uint64(chunk % parts), _deal(history[mine], parts))
-                for q in np.unique(to):
-                    of = np.flatnonzero(mine)[to == q]
-                    out.append(_row("backoff", int(q), chunk.to_bytes(8, "little") + docs, _pack(history[of], _narrow(at[of] - lo))))
+            chunks, numbers = np.array([x[0] for x in places], np.int64), np.concatenate([x[1] for x in places])
+            of_chunk = np.searchsorted([x[3] for x in places], at, side="right")
+            to = np.where(_in(history, hot) >= 0, chunks[of_chunk].astype(np.uint64) % np.uint64(parts), _deal(history, parts))
+            order = np.argsort(to, kind="stable")
+            ends = np.searchsorted(to[order], np.arange(parts + 1, dtype=np.uint64))
+            for q, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if lo < hi:  # one block for each partition of histories, whatever the number of chunks
+                    x = order[lo:hi]
+                    out.append(_row("backoff", q, chunks.tobytes(), _pack(history[x], _narrow(of_chunk[x]), _narrow(numbers[at[x]]))))
         # Summaries of histories.
         held = np.flatnonzero(count)
         if len(held):
@@ -391,12 +403,19 @@ def _back_off(model: Model):
         total = np.stack([np.bincount(where, weights=columns[:, i], minlength=len(known)) for i in range(PER_HISTORY)], axis=1)
         # Each token already had the history's count taken off as if its bigram were seen.
         worth = np.log10(model.alpha(total) * total[:, K + 1])
-        out = []
-        for docs, history, doc in asked:
-            at = _in(history, known)
-            sums = np.zeros((len(_unpack(docs[8:])[1]), SUMS))
-            sums[:, 0] = np.bincount(doc[at >= 0], weights=worth[at[at >= 0]], minlength=len(sums))
-            out.append(_doc_sums(int.from_bytes(docs[:8], "little"), docs[8:], sums))
+        chunk = np.concatenate([np.frombuffer(docs, np.int64)[of] for docs, _, of, _ in asked])
+        doc = np.concatenate([x[3].astype(np.int64) for x in asked])
+        at = _in(np.concatenate([x[1] for x in asked]), known)
+        chunk, doc, gain = chunk[at >= 0], doc[at >= 0], worth[at[at >= 0]]
+        # In a fixed order, so that sums of floats agree from run to run.
+        order = np.lexsort((gain, doc, chunk))
+        chunk, doc, gain = chunk[order], doc[order], gain[order]
+        out, turns = [], np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])) if len(chunk) else []
+        for lo, hi in zip(turns[:-1], turns[1:], strict=True):
+            present, where = np.unique(doc[lo:hi], return_inverse=True)
+            sums = np.zeros((len(present), SUMS))
+            sums[:, 0] = np.bincount(where, weights=gain[lo:hi], minlength=len(present))
+            out.append(_doc_sums(int(chunk[lo]), present, sums))
         return pa.Table.from_pylist(out, _BLOCKS)
 
     return run
@@ -408,10 +427,10 @@ def _finish(model: Model, train_docs: int):
     shape = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def run(rows: pa.Table) -> pa.Table:
-        names, flags = _unpack(rows.column("docs")[0].as_py())
+        names, flags = _unpack(next(x for x in rows.column("docs").to_pylist() if x))
         sums = np.zeros((len(names), SUMS))
         # In a fixed order, so that sums of floats agree from run to run.
-        for body in sorted(rows.column("body").to_pylist()):
+        for body in sorted(x for x in rows.column("body").to_pylist() if x):
             there, *columns = _unpack(body)
             sums[there] += np.stack(columns, axis=1)
         score = sums @ worth - (math.log10(train_docs) if train_docs else 0.0)

@@ -155,7 +155,10 @@ def multiresolution(regions: DataFrame, value: str = "value", min_resolution: in
     from ..operators.vertices import total_bounds
 
     b = total_bounds(regions.drop("map_id") if "map_id" in regions.columns else regions).first()
-    return flow(regions, value, options, grids=multilevel((b.xmin, b.ymin, b.xmax, b.ymax), min_resolution, levels, margin, square))
+    grids = multilevel((b.xmin, b.ymin, b.xmax, b.ymax), min_resolution, levels, margin, square)
+    if not grids:
+        raise ValueError("the map is too narrow for grids of this resolution")
+    return flow(regions, value, options, grids=grids)
 
 
 class Workflow:

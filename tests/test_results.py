@@ -107,3 +107,25 @@ def test_voronoi_result(spark, sf_dir):
     assert {x.what for x in found.repair_report(regions, found.cells).collect()} == {"violated", "orientation"}
     with pytest.raises(ValueError):
         cartograms.symbol_cartogram(regions, "value", "none such")
+
+
+@pytest.mark.parametrize("parts", [1, 3400, 300_000, 330_000])
+def test_grids_of_narrow_part_maps(spark, tmp_path, parts):
+    """Maps so long that no count near the short side's is over 4 have no levels, as in SQL."""
+    import duckdb
+
+    from arealmap import queries as maps
+
+    spark.range(7, 7 + parts, 1, 2).select(F.col("id").alias("p_partkey"), F.lit(1).alias("p_size"), F.lit(1.0).alias("p_retailprice")).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(x) for x in maps.multilevel_grid_sizes(spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(maps.ORACLES["multilevel_grid_sizes"]).fetchall())
+    assert bool(got) == (parts < 320_000)
+
+
+def test_flow_over_levels_of_a_narrow_map(spark):
+    strip = spark.createDataFrame([(1, 1.0, 0.0), (2, 2.0, 500.0)], "region_id long, value double, x double")
+    strip = strip.select("region_id", "value", G.box(F.col("x"), F.lit(0.0), F.col("x") + 500.0, F.lit(1.0)).alias("geom"))
+    with pytest.raises(ValueError, match="too narrow"):
+        cartograms.multiresolution(strip, min_resolution=64)

@@ -106,6 +106,11 @@ def few_at_a_time(batches, rows: int = 2000):
     for batch in batches:
         for i in range(0, batch.num_rows, rows):
             yield batch.slice(i, rows)
+    give_back()
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the system."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:

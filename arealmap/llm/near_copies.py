@@ -8,9 +8,13 @@ Candidates.  SimHash components (BK-trees, see ``simhash``) give the first
 ones: each member beside the component's first row.  The others come from a
 prefix filter, which is exact: with the shingles of every text in one order,
 rare ones first, texts alike share one of the first 1 - ``similarity`` of them.
-Round one compares only neighbours by size among the texts of a shingle, which
-joins most of a large group; round two compares the rows of one shingle whose
-classes still differ, so a group of any size makes no pairs of its own then.
+Round one compares the texts of a shingle, in order of how many prefix shingles
+no other text has, each with the one before it and with the first, which joins
+most of a large group to what it was copied from; round two compares the rows of
+one shingle whose classes still differ, so a group of any size makes no pairs of
+its own then.  Unlike texts of one origin would: three exact bounds keep most
+of their pairs from being built, by sizes, by the shingles that no other text
+has, and by sketches (parities of shingles, classed by hash).
 
 Every link is a comparison of whole sets.  ``radius``, the sample that tells
 common shingles and the bounds below change the work, never the result.
@@ -33,10 +37,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import durable, few_at_a_time, small_side, spread_join, unwrapped, worker_cache, wrapped
+from .common import durable, few_at_a_time, give_back, release, small_side, spread_join, unwrapped, worker_cache, wrapped
 from .katz import _ODD, _mix, _power_tables, word_hashes
 from .simhash import components, grouped
 
@@ -47,7 +51,9 @@ SAMPLE_ROWS, COMMON_ROWS = 10_000, 50_000
 #: Rows of one shingle in one block; more only where that is less than 4 / BUCKETS of all.
 BLOCK_ROWS, BUCKETS = 20_000, 1 << 16
 #: Prefix rows that one task of round two holds, and pairs built at once.
-TASK_ROWS, STEP = 500_000, 1 << 18
+TASK_ROWS, STEP = 250_000, 1 << 18
+#: Bits of a text's sketch, a power of two.
+SKETCH_BITS = 512
 #: Stands where a text has fewer words than a shingle.
 _NONE = np.uint64(1)
 
@@ -73,6 +79,11 @@ def _fingerprint(held: np.ndarray) -> int:
     return int(np.packbits(ones * 2 > len(held)).view(np.int64)[0])
 
 
+def _sketch(held: np.ndarray) -> bytes:
+    """Of each class of shingles by hash, whether their number is odd: two texts differ in as many shingles as in these bits at least."""
+    return np.packbits(np.bincount(held & (SKETCH_BITS - 1), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles that several rows of a sample have, and in how many they stand."""
 
@@ -91,11 +102,11 @@ def _common(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _marks(words: int, similarity: float, common: np.ndarray, times: np.ndarray):
-    """Of each text: its SimHash, the number of its shingles, and the first of them, rare ones first."""
+    """Of each text: its SimHash, the number of its shingles, the first of them, rare ones first, and a sketch of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few_at_a_time(batches):
-            prints, sizes, firsts = [], [], []
+            prints, sizes, firsts, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 held = shingles(text, words)
                 rank = np.zeros(len(held), np.int64)
@@ -106,9 +117,10 @@ def _marks(words: int, similarity: float, common: np.ndarray, times: np.ndarray)
                 firsts.append(held[np.lexsort((held, rank))[:keep]])
                 prints.append(_fingerprint(held))
                 sizes.append(len(held))
+                sketches.append(_sketch(held))
             ends = np.cumsum([0, *map(len, firsts)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *firsts])))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), lists], ["doc_id", "sha", "fingerprint", "size", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("sha"), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()), lists, pa.array(sketches, pa.binary())], ["doc_id", "sha", "fingerprint", "size", "tokens", "sketch"])
 
     return run
 
@@ -123,25 +135,39 @@ def _frequent(tokens: DataFrame) -> DataFrame:
     return durable(counts.where(F.col("count") > most).select("token", F.ceil(F.col("count") / most).cast("int").alias("parts")), "frequent")
 
 
-def _needed(similarity: float, x: str, y: str):
-    """Shingles of both prefixes that texts alike of sizes x <= y share at least.
+def _prefix(similarity: float, size: str):
+    """First shingles of a text, of which texts alike share some."""
+    return F.col(size) - F.ceil(similarity * F.col(size) - 1e-9) + 1
 
-    What two texts share lies in both prefixes, or behind the prefix that ends first.
-    """
-    return similarity / (1 + similarity) * (F.col(x) + F.col(y)) - F.ceil(similarity * F.col(y) - 1e-9) + 1 - 1e-6
+
+def _overlap(similarity: float, x: Column, y: Column) -> Column:
+    """Shingles that texts alike of these sizes share at least."""
+    return similarity / (1 + similarity) * (x + y)
+
+
+def _bytes_of(values: pa.BinaryArray) -> np.ndarray:
+    """The bytes of all values, one after the other; none is null."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    return np.frombuffer(values.buffers()[2], np.uint8)[ends[0] : ends[-1]]
 
 
 def _across(similarity: float):
-    """(a, b, need): the pairs of a shingle's rows whose classes differ and whose sizes allow them to be alike."""
+    """(a, b, need): the pairs of a shingle's rows whose classes differ, and whose sizes, sketches and shingles of their own allow them to be alike.
+
+    ``need``: shingles of both prefixes that they share at least; what two texts share lies in both
+    prefixes, or behind the prefix that ends first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for x in batches if x.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        piece, kind, size, row, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "kind", "size", "row", "side"))
+        piece, kind, size, most, row, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "kind", "size", "most", "row", "side"))
         order = np.lexsort((row, size, kind, piece))
-        piece, kind, size, row, side = (x[order] for x in (piece, kind, size, row, side))
+        piece, kind, size, most, row, side = (x[order] for x in (piece, kind, size, most, row, side))
+        bits = np.concatenate([_bytes_of(x) for x in rows.column("sketch").chunks]).reshape(len(order), -1).view(np.uint64)
+        del held, rows
         n = len(piece)
         turns = np.append(np.flatnonzero((piece[1:] != piece[:-1]) | (kind[1:] != kind[:-1])) + 1, n)
         class_end = np.repeat(turns, np.diff(turns, prepend=0))
@@ -158,9 +184,17 @@ def _across(similarity: float):
             at = to
             low, high = np.minimum(size[one], size[two]), np.maximum(size[one], size[two])
             fit = (low >= similarity * high - 1e-9) & ((side[one] != side[two]) | (side[one] == 2))
+            fit &= np.minimum(most[one], most[two]) >= similarity / (1 + similarity) * (low + high) - 1e-6
+            one, two, low, high = one[fit], two[fit], low[fit], high[fit]
+            apart = np.zeros(len(one), np.int64)
+            for word in range(bits.shape[1]):
+                apart += np.bitwise_count(bits[order[one], word] ^ bits[order[two], word])
+            fit = (low + high - apart) / 2 >= similarity / (1 + similarity) * (low + high) - 1e-6
             one, two, low, high = one[fit], two[fit], low[fit], high[fit]
             need = similarity / (1 + similarity) * (low + high) - np.ceil(similarity * high - 1e-9) + 1 - 1e-6
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[one], row[two])), pa.array(np.maximum(row[one], row[two])), pa.array(need)], ["a", "b", "need"])
+        del piece, kind, size, most, row, side, order, bits
+        give_back()
 
     return run
 
@@ -230,10 +264,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
     ``row`` numbers the rows; ``first`` tells the one that stays, which ``first_id`` and ``first_sha`` name.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
-    found = texts.mapInArrow(_marks(words, similarity, *_common(texts, words)), "doc_id long, sha string, fingerprint long, size long, tokens array<long>")
+    found = texts.mapInArrow(_marks(words, similarity, *_common(texts, words)), "doc_id long, sha string, fingerprint long, size long, tokens array<long>, sketch binary")
     marks = durable(found.withColumn("row", F.monotonically_increasing_id()), "marks")
-    sizes = marks.select("row", "size")
-    # Only shingle and row are moved; sizes join what is left.
     tokens = marks.select("row", F.explode("tokens").alias("token"))
     frequent, keys, others = _frequent(tokens), ["token"], F.lit(False)
     if frequent.take(1):  # rows of a very frequent shingle are compared with neighbours in several chains; one alone in its chain has others still
@@ -241,29 +273,37 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
         others = F.col("parts").isNotNull()
     order = Window.partitionBy(*keys).orderBy("row")
     beside = tokens.withColumns({"before": F.lag("row").over(order), "after": F.lead("row").over(order)})
-    shared = durable(beside.where(F.col("before").isNotNull() | F.col("after").isNotNull() | others).select("token", "row", "before"), "shared")
-
-    def sized(pairs: DataFrame) -> DataFrame:
-        """(a, b, n, need) of pairs (a, b, n): ``n`` shared shingles found, and how many texts of these sizes need."""
-        for c in "ab":
-            pairs = pairs.join(sizes.select(F.col("row").alias(c), F.col("size").alias("size_" + c)), c)
-        pairs = pairs.select("a", "b", "n", F.least("size_a", "size_b").alias("low"), F.greatest("size_a", "size_b").alias("high"))
-        return pairs.where(F.col("low") >= similarity * F.col("high") - 1e-9).select("a", "b", "n", _needed(similarity, "low", "high").alias("need"))
-
+    met = durable(beside.where(F.col("before").isNotNull() | F.col("after").isNotNull() | others).select(*keys, "row"), "met")
+    # Only shingle and row are moved; sizes join what is left.  A prefix shingle that no other row has can't be shared.
+    sizes = marks.select("row", "size").join(met.groupBy("row").agg(F.count("*").alias("n")), "row")
+    alone = F.least(F.col("size"), _prefix(similarity, "size")) - F.col("n")
+    sizes = durable(sizes.select("row", "size", (F.col("size") - alone).alias("most")), "sizes")
+    shared = durable(met.join(small_side(sizes), "row"), "shared")
+    release(met)
+
+    # Fewest shingles of its own first: what most rows of a shingle were copied from is at the head.
+    order = Window.partitionBy(*keys).orderBy(F.col("size") - F.col("most"), "row")
+    one = F.struct("row", "size", "most")
+    beside = shared.select(one.alias("x"), F.array(F.first(one).over(order), F.lag(one).over(order)).alias("ys")).select("x", F.explode("ys").alias("y"))
+    low, high = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+    fit = (low >= similarity * high - 1e-9) & (F.least("x.most", "y.most") >= _overlap(similarity, low, high) - 1e-6)
+    beside = beside.where("x.row <> y.row").where(fit).groupBy(F.col("x.row").alias("a"), F.col("y.row").alias("b"))
+    beside = beside.agg(F.count("*").alias("n"), F.min(_overlap(similarity, low, high) - F.ceil(similarity * high - 1e-9)).alias("need"))
     near = grouped(marks.select("row", "doc_id", "fingerprint"), radius).select(F.col("row").alias("a"), F.col("first_row").alias("b"))
-    met = shared.where("before is not null").groupBy(F.col("before").alias("a"), F.col("row").alias("b")).agg(F.count("*").alias("n"))
-    first = _verified(texts, marks, near.unionByName(sized(met).where(F.col("n") >= 0.25 * F.col("need")).select("a", "b")), words, similarity)
+    first = _verified(texts, marks, near.unionByName(beside.where(F.col("n") >= 0.25 * F.col("need")).select("a", "b")), words, similarity)
 
     kinds = durable(components(first).select(F.col("node").alias("row"), F.col("root").alias("kind")), "classes")
-    told = shared.select("token", "row").join(small_side(kinds), "row", "left").withColumn("kind", F.coalesce("kind", "row"))
-    mixed = told.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("n")).where("low <> high").select("token", "n")
-    mixed = durable(mixed.join(F.broadcast(frequent), "token", "left").select("token", "n", F.coalesce("parts", F.lit(1)).alias("parts")), "mixed")
+    told = shared.select("token", "row", "size", "most").join(small_side(kinds), "row", "left").withColumn("kind", F.coalesce("kind", "row"))
+    mixed = told.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min("size").alias("least"), F.count("*").alias("n")).where("low <> high").select("token", "least", "n")
+    mixed = durable(mixed.join(F.broadcast(frequent), "token", "left").select("token", "least", "n", F.coalesce("parts", F.lit(1)).alias("parts")), "mixed")
     work = mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()[0]
-    held = spread_join(told, mixed, ["token"], "n", "row").join(sizes, "row")
+    # Rows that could share enough with none of the shingle's rows, not even with the smallest, have no pair there.
+    held = spread_join(told, mixed, ["token"], "n", "row").where(F.col("most") >= _overlap(similarity, F.col("size"), F.greatest("least", similarity * F.col("size"))) - 1e-6)
     held = held.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(low == high, 2).when(F.col("part") == low, 0).otherwise(1).alias("side")
-    held = held.select(F.xxhash64("token", low, high).alias("piece"), "row", "size", "kind", side).repartition(max(12, work // TASK_ROWS), "piece")
+    held = held.join(marks.select("row", "sketch"), "row")
+    held = held.select(F.xxhash64("token", low, high).alias("piece"), "row", "size", "most", "kind", "sketch", side).repartition(max(12, work // TASK_ROWS), "piece")
     found = held.mapInArrow(_across(similarity), "a long, b long, need double").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
     second = _verified(texts, marks, found.where("n >= need").select("a", "b"), words, similarity)
 

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -213,3 +214,34 @@ def test_similar_groups_at_the_threshold(spark):
     assert len(set(want.values())) == 70
     found = near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.first_id for x in found} == want
+
+
+def test_unlike_copies_of_one_text_make_few_pairs(spark, monkeypatch):
+    """Most copies differ too much from each other: neither pairs of a shingle's rows nor comparisons grow with their square."""
+    rng, rows = np.random.default_rng(10), []
+    base = [f"b{i}" for i in range(150)]
+    for k in range(160):
+        text = list(base)
+        for at in rng.choice(25, k % 7, replace=False) * 6:
+            text[at] = f"c{k}x{at}"
+        rows.append((k, " ".join(text)))
+    held = [near_copies.shingles(x, 5) for _, x in rows]
+    n = len(rows)
+    columns = {"piece": [1] * n, "kind": range(n), "size": [len(x) for x in held], "most": [len(x) for x in held], "row": range(n), "side": [2] * n, "sketch": [near_copies._sketch(x) for x in held]}
+    batch = pa.RecordBatch.from_pydict({c: list(v) for c, v in columns.items()})
+    made = {(a, b) for x in near_copies._across(0.8)(iter([batch.slice(0, 70), batch.slice(70)])) for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist(), strict=True)}
+    share = lambda a, b: len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+    alike = {(a, b) for a in range(n) for b in range(a + 1, n) if share(held[a], held[b]) >= 0.8}
+    assert alike <= made and len(made - alike) < 0.1 * (n * (n - 1) / 2 - len(alike))
+
+    compared, verified = [], near_copies._verified
+
+    def counted(texts, marks, pairs, *more):
+        compared.append(pairs.count())
+        return verified(texts, marks, pairs, *more)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    want = alike_by_hand(rows)
+    found = near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.first_id for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
+    assert max(compared) < 4 * n

@@ -12,7 +12,8 @@ Round one compares the texts of a shingle, in order of how many prefix shingles
 no other text has, each with the one before it and with the first, which joins
 most of a large group to what it was copied from; round two compares the rows of
 one shingle whose classes still differ, so a group of any size makes no pairs of
-its own then.  Unlike texts of one origin would: three exact bounds keep most
+its own then.  Shingles with the same first row are gone through in one task, so
+texts that share many of them make one pair.  Unlike texts of one origin would: three exact bounds keep most
 of their pairs from being built, by sizes, by the shingles that no other text
 has, and by sketches (parities of shingles, classed by hash).
 
@@ -51,9 +52,11 @@ SAMPLE_ROWS, COMMON_ROWS = 10_000, 50_000
 #: Rows of one shingle in one block; more only where that is less than 4 / BUCKETS of all.
 BLOCK_ROWS, BUCKETS = 20_000, 1 << 16
 #: Prefix rows that one task of round two holds, and pairs built at once.
-TASK_ROWS, STEP = 250_000, 1 << 18
+TASK_ROWS, STEP = 125_000, 1 << 18
+#: Prefix rows of shingles with the same first row that go to one task together.
+HEAD_ROWS = 50_000
 #: Bits of a text's sketch, a power of two.
-SKETCH_BITS = 512
+SKETCH_BITS = 4096
 #: Stands where a text has fewer words than a shingle.
 _NONE = np.uint64(1)
 
@@ -152,10 +155,12 @@ def _bytes_of(values: pa.BinaryArray) -> np.ndarray:
 
 
 def _across(similarity: float):
-    """(a, b, need): the pairs of a shingle's rows whose classes differ, and whose sizes, sketches and shingles of their own allow them to be alike.
+    """(a, b, n, need): the pairs of rows that share pieces, whose classes differ, and whose sizes, sketches and shingles of their own allow them to be alike.
 
-    ``need``: shingles of both prefixes that they share at least; what two texts share lies in both
-    prefixes, or behind the prefix that ends first.
+    A piece is a shingle of both prefixes.  A row's sketch stands in one of its entries in the task at least, else null.  ``n``: pieces of this task that the two share; ``need``:
+    shingles of both prefixes that they share at least; what two texts share lies in both prefixes,
+    or behind the prefix that ends first.  Pieces of the same rows are gone through once, and a task
+    tells a pair once, unless it has more than STEP of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,35 +170,64 @@ def _across(similarity: float):
         rows = pa.Table.from_batches(held)
         piece, kind, size, most, row, side = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("piece", "kind", "size", "most", "row", "side"))
         order = np.lexsort((row, size, kind, piece))
-        piece, kind, size, most, row, side = (x[order] for x in (piece, kind, size, most, row, side))
-        bits = np.concatenate([_bytes_of(x) for x in rows.column("sketch").chunks]).reshape(len(order), -1).view(np.uint64)
-        del held, rows
-        n = len(piece)
-        turns = np.append(np.flatnonzero((piece[1:] != piece[:-1]) | (kind[1:] != kind[:-1])) + 1, n)
+        # Row by row from here: ``place`` tells which of the distinct rows an entry is.
+        row, index, place = np.unique(row, return_index=True, return_inverse=True)
+        sketch = rows.column("sketch")
+        known, first = np.unique(rows.column("row").to_numpy()[sketch.is_valid().to_numpy()], return_index=True)
+        bits = np.concatenate([_bytes_of(x) for x in sketch.drop_null().chunks]).reshape(-1, SKETCH_BITS // 8)[first[np.searchsorted(known, row)]].view(np.uint64)
+        kind, size, most = kind[index], size[index], most[index]
+        place, side, piece = place[order], side[order].astype(np.int64), piece[order]
+        del held, rows, sketch, known, first
+        turns = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, len(piece))
+        times, seen, members = np.zeros(len(turns), np.int64), {}, place * 3 + side
+        for i, (start, end) in enumerate(zip([0, *turns[:-1].tolist()], turns.tolist(), strict=True)):
+            times[seen.setdefault(members[start:end].tobytes(), i)] += 1
+        del seen, members
+        many = np.diff(turns, prepend=0)
+        kept = np.repeat(times > 0, many)
+        place, side, many, times = place[kept], side[kept], many[times > 0], times[times > 0]
+        n = len(place)
+        piece, times, piece_end = np.repeat(np.arange(len(many)), many), np.repeat(times, many), np.repeat(np.cumsum(many), many)
+        turns = np.append(np.flatnonzero((piece[1:] != piece[:-1]) | (kind[place[1:]] != kind[place[:-1]])) + 1, n)
         class_end = np.repeat(turns, np.diff(turns, prepend=0))
-        turns = np.append(np.flatnonzero(piece[1:] != piece[:-1]) + 1, n)
-        piece_end = np.repeat(turns, np.diff(turns, prepend=0))
         many = piece_end - class_end
         ends = np.cumsum(many)
-        at = 0
+
+        def summed(pair: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            pair, which = np.unique(pair, return_inverse=True)
+            return pair, np.bincount(which, n, len(pair)).astype(np.int64)
+
+        def told(pair: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            one, two = pair // len(row), pair % len(row)
+            low, high = np.minimum(size[one], size[two]), np.maximum(size[one], size[two])
+            need = similarity / (1 + similarity) * (low + high) - np.ceil(similarity * high - 1e-9) + 1 - 1e-6
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(row[one], row[two])), pa.array(np.maximum(row[one], row[two])), pa.array(n), pa.array(need)], ["a", "b", "n", "need"])
+
+        at, found = 0, (np.empty(0, np.int64), np.empty(0, np.int64))
         while at < n:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
             one = np.repeat(np.arange(at, to), many[at:to])
             begin = ends[at:to] - many[at:to] - (ends[at - 1] if at else 0)
             two = np.arange(len(one)) - np.repeat(begin, many[at:to]) + class_end[one]
             at = to
+            fit = (side[one] != side[two]) | (side[one] == 2)
+            one, two, count = place[one[fit]], place[two[fit]], times[one[fit]]
             low, high = np.minimum(size[one], size[two]), np.maximum(size[one], size[two])
-            fit = (low >= similarity * high - 1e-9) & ((side[one] != side[two]) | (side[one] == 2))
-            fit &= np.minimum(most[one], most[two]) >= similarity / (1 + similarity) * (low + high) - 1e-6
-            one, two, low, high = one[fit], two[fit], low[fit], high[fit]
-            apart = np.zeros(len(one), np.int64)
-            for word in range(bits.shape[1]):
-                apart += np.bitwise_count(bits[order[one], word] ^ bits[order[two], word])
-            fit = (low + high - apart) / 2 >= similarity / (1 + similarity) * (low + high) - 1e-6
-            one, two, low, high = one[fit], two[fit], low[fit], high[fit]
-            need = similarity / (1 + similarity) * (low + high) - np.ceil(similarity * high - 1e-9) + 1 - 1e-6
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(row[one], row[two])), pa.array(np.maximum(row[one], row[two])), pa.array(need)], ["a", "b", "need"])
-        del piece, kind, size, most, row, side, order, bits
+            fit = (low >= similarity * high - 1e-9) & (np.minimum(most[one], most[two]) >= similarity / (1 + similarity) * (low + high) - 1e-6)
+            # Entries of a piece lie by class, size and row, so a pair has one order in all pieces.
+            pair, count = summed(one[fit] * len(row) + two[fit], count[fit])
+            one, two = pair // len(row), pair % len(row)
+            apart = np.zeros(len(pair), np.int64)
+            for i in range(0, len(pair), STEP // 16):
+                apart[i : i + STEP // 16] = np.bitwise_count(bits[one[i : i + STEP // 16]] ^ bits[two[i : i + STEP // 16]]).sum(axis=1, dtype=np.int64)
+            both = size[one] + size[two]
+            fit = (both - apart) / 2 >= similarity / (1 + similarity) * both - 1e-6
+            found = summed(np.concatenate([found[0], pair[fit]]), np.concatenate([found[1], count[fit]]))
+            if len(found[0]) > STEP:
+                yield told(*found)
+                found = found[0][:0], found[1][:0]
+        yield told(*found)
+        del place, side, piece, kind, size, most, row, order, bits
         give_back()
 
     return run
@@ -294,17 +328,25 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, rad
 
     kinds = durable(components(first).select(F.col("node").alias("row"), F.col("root").alias("kind")), "classes")
     told = shared.select("token", "row", "size", "most").join(small_side(kinds), "row", "left").withColumn("kind", F.coalesce("kind", "row"))
-    mixed = told.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min("size").alias("least"), F.count("*").alias("n")).where("low <> high").select("token", "least", "n")
-    mixed = durable(mixed.join(F.broadcast(frequent), "token", "left").select("token", "least", "n", F.coalesce("parts", F.lit(1)).alias("parts")), "mixed")
+    mixed = told.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.min("size").alias("least"), F.min("row").alias("head"), F.count("*").alias("n")).where("low <> high").select("token", "least", "head", "n")
+    mixed = durable(mixed.join(F.broadcast(frequent), "token", "left").select("token", "least", "head", "n", F.coalesce("parts", F.lit(1)).alias("parts")), "mixed")
     work = mixed.agg(F.coalesce(F.sum(F.col("n") * F.col("parts")), F.lit(0))).first()[0]
+    # Shingles with the same first row go to one task, where a pair that shares many of them is one row; a task's worth of them is dealt over several.
+    crowded = mixed.groupBy("head").agg(F.sum("n").alias("rows")).where(F.col("rows") > HEAD_ROWS).select("head", F.ceil(F.col("rows") / HEAD_ROWS).cast("int").alias("cuts"))
+    homed = mixed.join(F.broadcast(crowded), "head", "left").select("token", "least", "n", "parts", F.xxhash64("head", F.pmod(F.xxhash64("token"), F.coalesce("cuts", F.lit(1)))).alias("home"))
     # Rows that could share enough with none of the shingle's rows, not even with the smallest, have no pair there.
-    held = spread_join(told, mixed, ["token"], "n", "row").where(F.col("most") >= _overlap(similarity, F.col("size"), F.greatest("least", similarity * F.col("size"))) - 1e-6)
+    held = spread_join(told, homed, ["token"], "n", "row").where(F.col("most") >= _overlap(similarity, F.col("size"), F.greatest("least", similarity * F.col("size"))) - 1e-6)
     held = held.withColumn("part", F.pmod(F.xxhash64("row"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     low, high = F.least("part", "other"), F.greatest("part", "other")
     side = F.when(low == high, 2).when(F.col("part") == low, 0).otherwise(1).alias("side")
-    held = held.join(marks.select("row", "sketch"), "row")
-    held = held.select(F.xxhash64("token", low, high).alias("piece"), "row", "size", "most", "kind", "sketch", side).repartition(max(12, work // TASK_ROWS), "piece")
-    found = held.mapInArrow(_across(similarity), "a long, b long, need double").groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
+    piece = F.xxhash64("token", low, high)
+    held = held.select(F.when(F.col("parts") > 1, piece).otherwise(F.col("home")).alias("home"), "row", "size", "most", "kind", F.struct(piece.alias("piece"), side).alias("entry"))
+    # A sketch travels once for each row and home.
+    held = held.repartition("row").groupBy("row", "home", "size", "most", "kind").agg(F.collect_list("entry").alias("entries")).join(marks.select("row", "sketch"), "row")
+    held = held.select("home", "row", "size", "most", "kind", "sketch", F.posexplode("entries").alias("at", "entry"))
+    held = held.select("home", "entry.piece", "row", "size", "most", "kind", F.when(F.col("at") == 0, F.col("sketch")).alias("sketch"), "entry.side")
+    held = held.repartition(max(12, work // TASK_ROWS), "home").drop("home")
+    found = held.mapInArrow(_across(similarity), "a long, b long, n long, need double").groupBy("a", "b").agg(F.sum("n").alias("n"), F.min("need").alias("need"))
     second = _verified(texts, marks, found.where("n >= need").select("a", "b"), words, similarity)
 
     nodes = durable(components(first.unionByName(second)), "groups")

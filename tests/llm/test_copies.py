@@ -245,3 +245,55 @@ def test_unlike_copies_of_one_text_make_few_pairs(spark, monkeypatch):
     found = near_copies.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {x.doc_id: x.first_id for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
     assert max(compared) < 4 * n
+
+
+def family(n, words, changed, name, seed=11):
+    """Texts of one origin, each with so many of its words changed."""
+    rng, base = np.random.default_rng(seed), [f"{name}{i}" for i in range(words)]
+    texts = []
+    for k in range(n):
+        text = list(base)
+        for at in rng.choice(words // 6, changed, replace=False) * 6:
+            text[at] = f"{name}c{k}x{at}"
+        texts.append(" ".join(text))
+    return texts
+
+
+def test_texts_that_share_many_shingles_make_one_pair(spark, monkeypatch):
+    """Once in a task, however many pieces they share; and long unlike texts none."""
+    held = [near_copies.shingles(x, 5) for name in "ab" for x in family(6, 150, 1, name)]
+    pieces = [(p, r) for p in range(40) for r in range(12) if r // 6 == p % 2 and (r + p) % 7]
+    batch = pa.RecordBatch.from_pylist([{"piece": p, "kind": r, "size": len(held[r]), "most": len(held[r]), "row": r, "side": 2, "sketch": near_copies._sketch(held[r])} for p, r in pieces])
+    made = [(x["a"], x["b"], x["n"]) for out in near_copies._across(0.8)(iter([batch.slice(0, 99), batch.slice(99)])) for x in out.to_pylist()]
+    both = Counter((a, b) for p, a in pieces for q, b in pieces if p == q and a < b)
+    assert sorted(made) == sorted((a, b, n) for (a, b), n in both.items())
+
+    docs = list(enumerate([*family(40, 1800, 90, "l"), *family(30, 300, 5, "s")]))
+    made, across = spark.sparkContext.accumulator(0), near_copies._across
+
+    def counted(similarity):
+        run = across(similarity)
+
+        def more(batches):
+            for out in run(batches):
+                made.add(out.num_rows)
+                yield out
+
+        return more
+
+    monkeypatch.setattr(near_copies, "_across", counted)
+    want = alike_by_hand(docs)
+    found = near_copies.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.first_id for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
+    assert made.value < len(docs)
+
+
+@pytest.mark.parametrize("step", [16, 1 << 18])
+def test_shingles_of_one_first_row_over_many_tasks(spark, step, monkeypatch):
+    """Also when a task tells its pairs in many parts."""
+    monkeypatch.setattr(near_copies, "HEAD_ROWS", 2)
+    monkeypatch.setattr(near_copies, "STEP", step)
+    docs = list(enumerate([x for k in range(6) for x in family(12, 150, 3, f"f{k}", k)]))
+    want = alike_by_hand(docs)
+    found = near_copies.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {x.doc_id: x.first_id for x in found} == {i: g for i, g in want.items() if list(want.values()).count(g) > 1}
